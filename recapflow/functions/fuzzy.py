@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _positions(seq) -> dict:
@@ -95,16 +96,16 @@ def partial_token_set_ratio(a: str, b: str) -> float:
     return max(best, _best_window(long, short)) if len(short) == len(long) else best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def partial_token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def word_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")

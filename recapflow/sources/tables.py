@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recapflow.functions.ordered import ordinal
 from recapflow.schemas import TABLES, table_schema
 
 _LAYOUT = {
@@ -65,19 +66,6 @@ def insert_new(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Seque
     return first.join(old.select(*keys), list(keys), "left_anti").select(*cols)
 
 
-def next_ids(df: DataFrame, order: Sequence[str], start: Column | int, out: str = "id") -> DataFrame:
-    """Consecutive ids in ``order`` after ``start``, numbered without gathering the rows: range
-    partitions are numbered on their own and shifted by the sizes of the partitions before them."""
-    sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    inside = Window.partitionBy("__p").orderBy(*order)
-    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sorted_df.groupBy("__p").count().select(
-        "__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift")
-    )
-    base = start if isinstance(start, Column) else F.lit(start)
-    return (
-        sorted_df.withColumn("__n", F.row_number().over(inside))
-        .join(sizes, "__p")
-        .withColumn(out, (base + F.col("__shift") + F.col("__n")).cast("bigint"))
-        .drop("__p", "__n", "__shift")
-    )
+def next_ids(df: DataFrame, order: Sequence[str], bucket: Column, start: int = 0, out: str = "id") -> DataFrame:
+    """Consecutive ids in ``order`` after ``start``; only one row per ``bucket`` is ever gathered."""
+    return ordinal(df, [], order, out, bucket).withColumn(out, (F.col(out) + start).cast("bigint"))
