@@ -1 +1,6 @@
+"""Named queries over the driver tables."""
 
+from recapflow.plans import session_queries  # noqa: F401
+from recapflow.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
