@@ -3,6 +3,8 @@ Spark has no such function, so small Arrow-batched helpers compute them per pair
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,28 +74,40 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def _best_window(short: str, long: str) -> float:
+def _best_window(short: str, long: str, floor: float) -> float:
+    """Best score above ``floor`` of ``short`` against the windows of its length in ``long`` (shorter ones at
+    the ends), 0 when none reaches it. One step of the window changes the common subsequence by at most one,
+    so a window that misses the best score by k characters lets k - 1 windows be passed over."""
     if not short or not long:
         return 0.0
-    n, best = len(short), 0.0
-    for end in range(1, len(long) + n):
+    n, best, end = len(short), 0.0, 1
+    masks = _positions(short)
+    full = (1 << n) - 1
+    while end < len(long) + n:
         window = long[max(0, end - n):end]
-        ceiling = _similarity(min(n, len(window)), n + len(window))
-        if ceiling > best:
-            best = max(best, _similarity(lcs_length(short, window), n + len(window)))
+        state = full
+        for item in window:
+            hit = state & masks.get(item, 0)
+            state = ((state + hit) | (state - hit)) & full
+        common = n - state.bit_count()
+        score = _similarity(common, n + len(window))
+        if score >= floor:
+            best = max(best, score)
+        end += max(1, math.ceil(max(best, floor) * (n + len(window)) / 200 - common - 1e-9))
     return best
 
 
-def partial_token_set_ratio(a: str, b: str) -> float:
-    """100 as soon as one token is shared, otherwise the best aligned window of the shorter side."""
+def partial_token_set_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """100 as soon as one token is shared, otherwise the best aligned window of the shorter side; 0 when that
+    is below ``floor``."""
     ta, tb, both, only_a, only_b = _parts(a, b)
     if not ta or not tb:
         return 0.0
     if both:
         return 100.0
     short, long = sorted((only_a, only_b), key=len)
-    best = _best_window(short, long)
-    return max(best, _best_window(long, short)) if len(short) == len(long) else best
+    best = _best_window(short, long, floor)
+    return max(best, _best_window(long, short, max(best, floor))) if len(short) == len(long) else best
 
 
 @F.pandas_udf(T.DoubleType())
@@ -102,8 +116,8 @@ def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def partial_token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+def partial_token_set_score(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
+    return pd.Series([partial_token_set_ratio(x, y, f) for x, y, f in zip(a, b, floor)], dtype="float64")
 
 
 @F.pandas_udf(T.LongType())

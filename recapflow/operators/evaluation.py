@@ -97,7 +97,7 @@ def fact_recall(summaries: DataFrame, facts: DataFrame, groups: Sequence[str] =
     else:
         marked = pairs.withColumn("shared", F.arrays_overlap(words_f, words_t))
         easy = marked.where("shared").select(*groups, F.lit(True).alias("hit"))
-        hard = marked.where("NOT shared").select(*groups, (partial_token_set_score(fact, text) >= FACT_SCORE).alias("hit"))
+        hard = marked.where("NOT shared").select(*groups, (partial_token_set_score(fact, text, F.lit(FACT_SCORE)) >= FACT_SCORE).alias("hit"))
         found = easy.unionByName(hard)
     share = found.groupBy(*groups).agg(F.round(F.avg(F.col("hit").cast("double")), 4).alias("fact_recall"))
     return summaries.select(*groups).distinct().join(share, groups, "left").na.fill(1.0, ["fact_recall"])

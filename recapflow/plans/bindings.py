@@ -243,7 +243,7 @@ SQL: dict[str, str] = {
         CASE event_type WHEN 'view' THEN 'yes' WHEN 'click' THEN 'no' WHEN 'signup' THEN 'not_sure' ELSE 'maybe' END AS vote FROM events""",
     "ev_recaps": """SELECT user_id + 1 AS id, user_id AS session_id, CASE user_id % 3 WHEN 0 THEN (max(event_id) - 2000) || ':stamp'
         WHEN 1 THEN 'stale-feedback' ELSE max(event_id) || ':' END AS cache_key FROM events GROUP BY user_id""",
-    "seg0": r"""SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '')) AS n_words FROM conversations""",
+    "seg0": r"""SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_words FROM conversations""",
     "segments": """SELECT conv_id AS session_id, conv_id % 5 AS channel_id, conv_id * 1000 + turn AS id,
         CAST(upto - gap - 4 * n_words AS BIGINT) / 10.0::DOUBLE AS t_start, CAST(upto - gap AS BIGINT) / 10.0::DOUBLE AS t_end,
         CAST(n_words AS BIGINT) AS n_words, text, turn, role, pos,
