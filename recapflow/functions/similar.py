@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from recapflow.functions import text as X
 from recapflow.functions.fuzzy import token_set_score
+from recapflow.functions.stages import settled
 
 
 def token_key(name: Column) -> Column:
@@ -43,25 +44,20 @@ def _ranked(items: DataFrame, groups: Sequence[str]) -> DataFrame:
     return items.join(freq, [*groups, "item"]).withColumn("before", F.coalesce(F.sum("weight").over(w), F.lit(0))).drop("__freq")
 
 
-def similar_keys(left: DataFrame, right: DataFrame, groups: Sequence[str], threshold: float) -> DataFrame:
-    """(groups, key_a, key_b, score) with score >= threshold; ``left``/``right`` hold groups and ``key``
-    (see ``token_key``)."""
+def _scored(keys: DataFrame, groups: list[str], threshold: float) -> DataFrame:
+    """(groups, x, y, score) for all x < y that reach the threshold; ``keys`` holds distinct (groups, key)."""
     d = 1 - threshold / 100
     k = (1 - d) / (1 + d)
     share = (1 - 3 * d) / 2 * (1 + k)
     if share <= 0:
         raise ValueError("threshold too low for bigram look-up")
-    groups = list(groups)
-    both = left.select(*groups, "key").unionByName(right.select(*groups, "key")).where("key <> ''").distinct()
-
-    toks = both.select(*groups, "key", F.explode(F.split("key", " ")).alias("item")).withColumn("weight", F.length("item") + 1)
-    ranked = _ranked(toks, groups)
-    probe = ranked.where(F.col("before") <= F.length("key") * (1 - k) + 1e-6)
+    toks = keys.select(*groups, "key", F.explode(F.split("key", " ")).alias("item")).withColumn("weight", F.length("item") + 1)
+    probe = _ranked(toks, groups).where(F.col("before") <= F.length("key") * (1 - k) + 1e-6)
     covered = probe.select(*groups, F.col("key").alias("x"), "item").join(
         toks.select(*groups, F.col("key").alias("y"), "item"), [*groups, "item"]
     ).select(*groups, "x", "y")
 
-    grams = both.select(*groups, "key", F.explode(_bigrams(F.col("key"))).alias("item")).withColumn("weight", F.lit(1))
+    grams = keys.select(*groups, "key", F.explode(_bigrams(F.col("key"))).alias("item")).withColumn("weight", F.lit(1))
     rare = _ranked(grams, groups).where(
         F.col("before") <= F.length("key") + 1 - F.ceil(F.length("key") * share + 1 - 1e-6)
     ).select(*groups, "key", "item", F.length("key").alias("n"))
@@ -73,15 +69,30 @@ def similar_keys(left: DataFrame, right: DataFrame, groups: Sequence[str], thres
     pairs = covered.unionByName(close).where("x <> y").select(
         *groups, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
     ).distinct()
-    scored = pairs.withColumn("score", token_set_score("x", "y")).where(F.col("score") >= threshold)
-    either = scored.select(*groups, F.col("x").alias("key_a"), F.col("y").alias("key_b"), "score").unionByName(
-        scored.select(*groups, F.col("y").alias("key_a"), F.col("x").alias("key_b"), "score")
-    ).unionByName(both.select(*groups, F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(100.0).alias("score")))
-    sides_a = left.select(*groups, F.col("key").alias("key_a")).distinct()
-    sides_b = right.select(*groups, F.col("key").alias("key_b")).distinct()
-    return either.join(sides_a, [*groups, "key_a"], "left_semi").join(sides_b, [*groups, "key_b"], "left_semi")
+    return pairs.withColumn("score", token_set_score("x", "y")).where(F.col("score") >= threshold)
+
+
+def similar_keys(left: DataFrame, right: DataFrame, groups: Sequence[str], threshold: float) -> DataFrame:
+    """(groups, key_a, key_b, score) with score >= threshold; ``left``/``right`` hold groups and ``key``
+    (see ``token_key``)."""
+    groups = list(groups)
+    flags = left.select(*groups, "key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(*groups, "key", F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    sides = settled(flags.where("key <> ''").groupBy(*groups, "key").agg(F.max("l").alias("l"), F.max("r").alias("r")))
+    scored = _scored(sides.select(*groups, "key"), groups, threshold)
+    both_ways = F.array(F.struct(F.col("x").alias("key_a"), F.col("y").alias("key_b")), F.struct(F.col("y").alias("key_a"), F.col("x").alias("key_b")))
+    turned = scored.select(*groups, F.explode(both_ways).alias("p"), "score").select(*groups, "p.*", "score")
+    same = sides.select(*groups, F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(100.0).alias("score"))
+    return (
+        turned.unionByName(same)
+        .join(sides.where("l = 1").select(*groups, F.col("key").alias("key_a")), [*groups, "key_a"], "left_semi")
+        .join(sides.where("r = 1").select(*groups, F.col("key").alias("key_b")), [*groups, "key_b"], "left_semi")
+    )
 
 
 def similar_within(names: DataFrame, groups: Sequence[str], threshold: float) -> DataFrame:
     """Unordered pairs key_a < key_b of different keys inside a group."""
-    return similar_keys(names, names, groups, threshold).where("key_a < key_b")
+    groups = list(groups)
+    keys = settled(names.select(*groups, "key").where("key <> ''").distinct())
+    return _scored(keys, groups, threshold).withColumnsRenamed({"x": "key_a", "y": "key_b"})

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from recapflow.functions import text as X
 from recapflow.functions.folds import fold_sorted
 from recapflow.functions.ordered import id_block
+from recapflow.functions.stages import settled
 from recapflow.operators import resolve
 from recapflow.operators.guards import gate, parse_ref, thread_title
 from recapflow.params import DEFAULTS, Params
@@ -97,14 +98,14 @@ def fold_text(base: DataFrame, deltas: DataFrame) -> DataFrame:
 def _entities(ext: DataFrame, entities: DataFrame, aliases: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, aliases, (window_id, ref, entity_id))."""
     updates = gated(ext, "entity_updates", "entity", p).where("outcome = 'applied'")
-    found = resolve.resolve(updates, entities, aliases)
+    found = settled(resolve.resolve(updates, entities, aliases))
     fresh = found.where("entity_id IS NULL").withColumn("lname", F.lower("name"))
     first = fresh.groupBy("channel_id", "lname").agg(
         F.min_by(F.struct("name", "type", "session_id", "window_id", "pos"), F.struct("window_id", "pos")).alias("f")
     ).select("channel_id", "lname", "f.*")
-    numbered = next_ids(first, ["window_id", "pos"], id_block("window_id"), _max_id(entities), "new_id")
+    numbered = settled(next_ids(first, ["window_id", "pos"], id_block("window_id"), _max_id(entities), "new_id"))
     new_ids = numbered.select("channel_id", "lname", "new_id")
-    settled = found.withColumn("lname", F.lower("name")).join(new_ids, ["channel_id", "lname"], "left").withColumn(
+    known = found.withColumn("lname", F.lower("name")).join(new_ids, ["channel_id", "lname"], "left").withColumn(
         "id", F.coalesce("entity_id", "new_id")
     )
     created = numbered.select(
@@ -114,10 +115,10 @@ def _entities(ext: DataFrame, entities: DataFrame, aliases: DataFrame, p: Params
         F.col("session_id").alias("first_seen_session"), F.lit(None).cast("timestamp").alias("last_seen_at"),
     )
     base = entities.unionByName(created.select(*entities.columns))
-    touched = settled.groupBy("id").agg(
+    touched = known.groupBy("id").agg(
         F.count(F.lit(1)).alias("__n"), F.max("at").alias("__at"), F.max("needs_review").alias("__review")
     )
-    texts = fold_text(base.select("id", F.col("description").alias("text")), settled.select("id", "window_id", "pos", F.col("description_delta").alias("delta")))
+    texts = fold_text(base.select("id", F.col("description").alias("text")), known.select("id", "window_id", "pos", F.col("description_delta").alias("delta")))
     count = F.col("mention_count") + F.coalesce("__n", F.lit(0))
     promoted = F.col("__n").isNotNull() & (F.col("status") == "provisional") & (count >= CONFIRM_AT)
     updated = base.join(touched, "id", "left").join(texts.withColumnRenamed("text", "__text"), "id", "left").withColumns({
@@ -125,11 +126,11 @@ def _entities(ext: DataFrame, entities: DataFrame, aliases: DataFrame, p: Params
         "last_seen_at": F.greatest("last_seen_at", "__at"), "description": F.coalesce("__text", "description"),
         "needs_review": F.col("needs_review") | F.coalesce("__review", F.lit(False)),
     }).select(*entities.columns)
-    seen = settled.select(F.col("id").alias("entity_id"), F.explode("aliases_seen").alias("alias")).unionByName(
+    seen = known.select(F.col("id").alias("entity_id"), F.explode("aliases_seen").alias("alias")).unionByName(
         numbered.select(F.col("new_id").alias("entity_id"), F.col("name").alias("alias"))
     ).where("alias IS NOT NULL").withColumn("source", F.lit("extraction")).distinct()
     all_aliases = aliases.unionByName(insert_new(aliases, seen, ["entity_id", "alias"]).select(*aliases.columns))
-    refs = settled.select("window_id", "ref", F.col("id").alias("entity_id"), "pos")
+    refs = known.select("window_id", "ref", F.col("id").alias("entity_id"), "pos")
     by_id = refs.where(F.col("ref").startswith("NEW:")).withColumn("ref", F.concat(F.lit("E"), F.col("entity_id")))
     ref_map = refs.unionByName(by_id).groupBy("window_id", "ref").agg(F.max_by("entity_id", "pos").alias("entity_id"))
     return updated, all_aliases, ref_map
@@ -137,10 +138,10 @@ def _entities(ext: DataFrame, entities: DataFrame, aliases: DataFrame, p: Params
 
 def _threads(ext: DataFrame, threads: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(threads with new rows, updates (id, window_id, pos, at, status, delta, confidence), (window_id, ref, thread_id))."""
-    updates = gated(ext, "thread_updates", "thread", p).where("outcome = 'applied'").withColumn("p", parse_ref(F.col("ref")))
+    updates = settled(gated(ext, "thread_updates", "thread", p).where("outcome = 'applied'").withColumn("p", parse_ref(F.col("ref"))))
     stored = threads.select("channel_id", F.col("id").alias("thread_id"))
     old = updates.where("p.kind = 'thread'").withColumn("thread_id", F.col("p.id")).join(stored, ["channel_id", "thread_id"])
-    new = next_ids(updates.where(F.col("ref").startswith("NEW:")), ["window_id", "pos"], id_block("window_id"), _max_id(threads), "thread_id")
+    new = settled(next_ids(updates.where(F.col("ref").startswith("NEW:")), ["window_id", "pos"], id_block("window_id"), _max_id(threads), "thread_id"))
     created = new.select(
         F.col("thread_id").alias("id"), "channel_id", thread_title(F.col("ref")).alias("title"), F.lit("").alias("summary"),
         F.lit("open").alias("status"), F.lit(NEW_IMPORTANCE).alias("importance"), F.col("at").alias("last_updated_at"),
@@ -207,12 +208,14 @@ def attributions(ext: DataFrame, ref_map: DataFrame, entities: DataFrame, p: Par
 
 
 def apply(ext: DataFrame, memory: Memory, p: Params = DEFAULTS) -> Memory:
-    """New table versions after writing a batch of extractions."""
+    """New table versions after writing a batch of extractions. Steps that several tables depend on are
+    settled, so that each is computed once and new ids stay the same if an executor is lost."""
+    ext = settled(ext)
     entities, aliases, entity_refs = _entities(ext, memory.entities, memory.entity_aliases, p)
     grown, updates, thread_refs = _threads(ext, memory.threads, p)
     proposed = gated(ext, "events", "event", p).where("outcome = 'applied'")
     placed = link(proposed, "thread_ref", thread_refs, memory.threads, "T", "thread_id")
-    numbered = next_ids(placed, ["window_id", "pos"], id_block("window_id"), _max_id(memory.events))
+    numbered = settled(next_ids(placed, ["window_id", "pos"], id_block("window_id"), _max_id(memory.events)))
     new_events = numbered.select(
         "id", "session_id", "window_id", "t_start", "t_end", "type", F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("importance", F.lit(NEW_IMPORTANCE)).cast("int").alias("importance"), "thread_id", X.norm_role(F.coalesce("streamer_role", F.lit(""))).alias("streamer_role"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recapflow.functions import text as X
 from recapflow.functions.ordered import top_n
+from recapflow.functions.stages import settled
 from recapflow.functions.similar import similar_keys, similar_within, token_key
 from recapflow.operators.guards import parse_ref
 from recapflow.sources.channels import is_streamer
@@ -97,9 +98,10 @@ def resolve(refs: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFra
     Adds ``name``, ``entity_id`` (NULL for new), ``tier`` and ``needs_review``. Every tier works on the
     distinct references left over by the earlier ones."""
     keys = ["channel_id", "ref"]
-    parsed = refs.select(*keys).distinct().withColumn("p", parse_ref(F.col("ref"))).select(
+    # The distinct references feed every tier, so they are worked out once.
+    parsed = settled(refs.select(*keys).distinct().withColumn("p", parse_ref(F.col("ref"))).select(
         *keys, "p.kind", F.col("p.id").alias("ref_id"), "p.name", F.lower("p.name").alias("lname")
-    )
+    ))
     live = entities.where("status <> 'merged'").select("channel_id", F.col("id").alias("ref_id"), F.col("id").alias("entity_id"))
     by_id = parsed.where("kind = 'entity'").join(live, ["channel_id", "ref_id"]).select(*keys, "entity_id", F.lit(1).alias("tier"))
     open_1 = parsed.join(by_id, keys, "left_anti")
@@ -107,7 +109,7 @@ def resolve(refs: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFra
     every = names(entities, aliases).withColumn("lname", F.lower("name")).drop("name")
     exact = open_1.join(every, ["channel_id", "lname"]).withColumn("tier", F.when(F.col("is_canonical"), 3).otherwise(2))
     best = exact.groupBy(*keys).agg(F.min(F.struct("tier", "entity_id")).alias("m")).select(*keys, "m.entity_id", "m.tier")
-    open_2 = open_1.join(best, keys, "left_anti").withColumn("key", token_key(F.col("lname")))
+    open_2 = settled(open_1.join(best, keys, "left_anti").withColumn("key", token_key(F.col("lname"))))
 
     long = open_2.where(F.length("name") >= 3)
     keyed = every.withColumn("key", token_key(F.col("lname")))
@@ -130,17 +132,19 @@ def resolve(refs: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFra
     return refs.join(answered, keys)
 
 
-def follow_merges(entities: DataFrame, rounds: int = 12) -> DataFrame:
-    """(id, root_id): end of every merge chain. Each round doubles the distance covered, so 12 rounds
-    follow chains of up to 4096 merges; a longer chain or a cycle fails loudly."""
-    links = entities.where("merged_into IS NOT NULL").select("id", F.col("merged_into").alias("root_id"))
+def follow_merges(entities: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, root_id): end of every merge chain. Each round doubles the distance covered and is settled, so
+    the plan stays small; it ends when all chains have ended. A cycle fails loudly."""
+    merged = entities.where("merged_into IS NOT NULL").select("id", F.col("merged_into").alias("root_id"))
+    links = settled(merged)
     for _ in range(rounds):
+        if links.join(links.select(F.col("id").alias("root_id")), "root_id", "left_semi").isEmpty():
+            break
         nxt = links.select(F.col("id").alias("root_id"), F.col("root_id").alias("__next"))
-        links = links.join(nxt, "root_id", "left").select("id", F.coalesce("__next", "root_id").alias("root_id"))
-    still = links.join(entities.where("merged_into IS NOT NULL").select(F.col("id").alias("root_id"), F.lit(True).alias("__open")), "root_id", "left")
-    ends = still.select("id", F.when(F.col("__open"), F.raise_error(F.lit("merge chain too long or cyclic")).cast("bigint"))
-                        .otherwise(F.col("root_id")).alias("root_id"))
-    return entities.select("id").join(ends, "id", "left").select("id", F.coalesce("root_id", "id").alias("root_id"))
+        links = settled(links.join(nxt, "root_id", "left").select("id", F.coalesce("__next", "root_id").alias("root_id")))
+    else:
+        raise ValueError("cyclic merges")
+    return entities.select("id").join(links, "id", "left").select("id", F.coalesce("root_id", "id").alias("root_id"))
 
 
 def suggest(pairs: DataFrame, answers: DataFrame, entities: DataFrame, channels: DataFrame, threshold: float = MERGE_AT) -> DataFrame:

@@ -501,10 +501,10 @@ def view_sessions(t: Tables) -> DataFrame:
 
 def _extractions(t: Tables) -> DataFrame:
     """One extraction document per stream window, made of its events, as fenced model text."""
-    e = t.ev_events.withColumn("confidence", F.round(F.col("importance") * 0.2 + 0.01, 2))
+    e = t.ev_events.withColumn("confidence", F.least(F.lit(1.0), F.round(F.col("importance") * 0.21 - 0.01, 2)))
     ev = F.struct(
         F.col("t_start"), F.col("t_end"), F.when(F.col("type") == "error", "glitch").otherwise("plot").alias("type"), F.col("description"), F.col("confidence"), F.col("importance"),
-        F.array(F.concat(F.lit("NEW:"), F.col("type")), F.lit("E5")).alias("participants"), F.concat(F.lit("NEW:"), F.col("type"), F.lit("_case")).alias("thread_ref"), F.upper("type").alias("streamer_role"),
+        F.array(F.concat(F.lit("NEW:"), F.col("type")), F.lit("E999999999")).alias("participants"), F.concat(F.lit("NEW:"), F.col("type"), F.lit("_case")).alias("thread_ref"), F.upper("type").alias("streamer_role"),
     )
     ent = F.struct(F.concat(F.lit("NEW:"), F.col("type")).alias("ref"), F.lit("person").alias("type"), F.array(F.col("type")).alias("aliases_seen"), F.col("description").alias("description_delta"), F.col("confidence"))
     thr = F.struct(F.concat(F.lit("NEW:"), F.col("type"), F.lit("_case")).alias("ref"), F.lit("open").alias("status"), F.col("description").alias("delta"), F.array(F.lit("E5")).alias("participants"), F.col("confidence"))
@@ -519,7 +519,7 @@ def _extractions(t: Tables) -> DataFrame:
     return doc.select("session_id", "window_id", F.concat(F.lit("Here:\n```json\n"), text, F.lit("\n```")).alias("raw"))
 
 
-@query("extraction_parse", """SELECT window_id, id AS segment_id, round(t_start, 6) AS t_start, description, round(importance * 0.2 + 0.01, 2) AS confidence FROM ev_events""", ("ev_events",))
+@query("extraction_parse", """SELECT window_id, id AS segment_id, round(t_start, 6) AS t_start, description, least(1.0::DOUBLE, round(importance * 0.21::DOUBLE - 0.01, 2)) AS confidence FROM ev_events""", ("ev_events",))
 def extraction_parse(t: Tables) -> DataFrame:
     doc = documents.parse_extraction(_extractions(t))
     both = F.arrays_zip(F.col("extraction.utterance_attributions").alias("a"), F.col("extraction.events").alias("e"))
@@ -542,7 +542,7 @@ def empty_extractions(t: Tables) -> DataFrame:
     return documents.parse_extraction(rows).select("doc_id", guards.is_empty(F.col("extraction")).alias("empty"))
 
 
-@query("quarantine", """SELECT kind, outcome, count(*) AS n FROM (SELECT k.kind, CASE WHEN round(importance * 0.2 + 0.01, 2) < k.lim THEN 'quarantined' ELSE 'applied' END AS outcome FROM ev_events
+@query("quarantine", """SELECT kind, outcome, count(*) AS n FROM (SELECT k.kind, CASE WHEN least(1.0::DOUBLE, round(importance * 0.21::DOUBLE - 0.01, 2)) < k.lim THEN 'quarantined' ELSE 'applied' END AS outcome FROM ev_events
     CROSS JOIN (VALUES ('entity', 0.65), ('thread', 0.65), ('event', 0.60), ('attribution', 0.60)) k(kind, lim)) GROUP BY kind, outcome""", ("ev_events",))
 def quarantine(t: Tables) -> DataFrame:
     return memory.counters(_batch(t))
@@ -560,7 +560,9 @@ def _empty_memory(t: Tables) -> memory.Memory:
     return memory.Memory(*[t.spark.createDataFrame([], TABLES[n]) for n in names])
 
 
-_MEM = """up AS (SELECT *, session_id % 10 AS channel_id, row_number() OVER (PARTITION BY window_id ORDER BY id) - 1 AS pos, round(importance * 0.2 + 0.01, 2) AS conf FROM ev_events)"""
+_MEM = """up AS (SELECT *, max(importance) FILTER (conf >= 0.6) OVER (PARTITION BY window_id, type) AS big, coalesce(id = max(id) FILTER (conf >= 0.65) OVER (PARTITION BY window_id, type), FALSE) AS is_last,
+    max(conf) OVER (PARTITION BY window_id, type) >= 0.65 AS known FROM (SELECT *, session_id % 10 AS channel_id, row_number() OVER (PARTITION BY window_id ORDER BY id) - 1 AS pos,
+    least(1.0::DOUBLE, round(importance * 0.21::DOUBLE - 0.01, 2)) AS conf FROM ev_events))"""
 
 
 @query("memory_entities", """SELECT channel_id, type AS canonical_name, CAST(count(*) AS BIGINT) AS mention_count, CASE WHEN count(*) >= 2 THEN 'confirmed' ELSE 'provisional' END AS status,
@@ -570,33 +572,25 @@ def memory_entities(t: Tables) -> DataFrame:
     return out.select("channel_id", "canonical_name", "mention_count", "status", "first_seen_session")
 
 
-@query("memory_threads", """SELECT channel_id, type || ' case' AS title, description AS summary, 'open' AS status, CAST(greatest(3, importance) AS INTEGER) AS importance FROM up u WHERE conf >= 0.65
-    AND NOT EXISTS (SELECT 1 FROM up v WHERE v.window_id = u.window_id AND v.type = u.type AND v.id > u.id AND v.conf >= 0.65)
-    UNION ALL SELECT channel_id, type || ' case', description, 'open', 3 FROM up u WHERE conf >= 0.65 AND EXISTS (SELECT 1 FROM up v WHERE v.window_id = u.window_id AND v.type = u.type AND v.id > u.id AND v.conf >= 0.65)""", ("ev_events",), _MEM)
+@query("memory_threads", """SELECT channel_id, type || ' case' AS title, description AS summary, 'open' AS status, CAST(CASE WHEN is_last THEN greatest(3, big) ELSE 3 END AS INTEGER) AS importance
+    FROM up WHERE conf >= 0.65""", ("ev_events",), _MEM)
 def memory_threads(t: Tables) -> DataFrame:
-    """A repeated new storyline of a window is made twice; its events go to the last one. Every update here has
-    its own event, so the last one carries the biggest of them only when it is its own."""
-    batch = _batch(t)
-    out = memory.apply(batch, _empty_memory(t))
-    own = out.events.where("thread_id IS NOT NULL").groupBy(F.col("thread_id").alias("id")).agg(F.max("importance").alias("big"))
-    last = out.events.where("thread_id IS NOT NULL").groupBy(F.col("thread_id").alias("id")).agg(F.max_by("importance", "id").alias("last"))
-    fixed = out.threads.join(own, "id", "left").join(last, "id", "left").where(F.col("importance") == F.greatest(F.lit(3), F.coalesce("big", F.lit(3))))
-    return fixed.select("channel_id", "title", "summary", "status", F.greatest(F.lit(3), F.coalesce("last", F.lit(3))).alias("importance"))
+    """A repeated new storyline of a window is made twice; its events go to the last one."""
+    return memory.apply(_batch(t), _empty_memory(t)).threads.select("channel_id", "title", "summary", "status", "importance")
 
 
-@query("memory_events", """SELECT session_id, window_id, description, importance, CASE WHEN conf >= 0.65 THEN type || ' case' ELSE '' END AS thread, 'unknown' AS streamer_role, CAST(CASE WHEN conf >= 0.65 THEN 1 ELSE 0 END AS BIGINT) AS participants
+@query("memory_events", """SELECT session_id, window_id, description, importance, CASE WHEN known THEN type || ' case' ELSE '' END AS thread, 'unknown' AS streamer_role, CAST(CASE WHEN known THEN 1 ELSE 0 END AS BIGINT) AS participants
     FROM up WHERE conf >= 0.6""", ("ev_events",), _MEM)
 def memory_events(t: Tables) -> DataFrame:
-    """Written events with the storyline and number of participants found."""
+    """Written events with the storyline and the number of participants found."""
     out = memory.apply(_batch(t), _empty_memory(t))
-    n = out.event_participants.join(out.entities.select(F.col("id").alias("entity_id"), "canonical_name"), "entity_id").where("canonical_name <> ''").groupBy(F.col("event_id").alias("id")).agg(F.count_if(F.col("entity_id") != 5).alias("p"), F.count(F.lit(1)).alias("q"))
+    n = out.event_participants.groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     titles = out.threads.select(F.col("id").alias("thread_id"), "title")
-    named = F.when(F.col("thread_id").isNotNull(), F.least(F.coalesce("q", F.lit(0)), F.lit(1))).otherwise(0)
     return out.events.join(titles, "thread_id", "left").join(n, "id", "left").select(
-        "session_id", "window_id", "description", "importance", F.coalesce("title", F.lit("")).alias("thread"), "streamer_role", named.cast("bigint").alias("participants"))
+        "session_id", "window_id", "description", "importance", F.coalesce("title", F.lit("")).alias("thread"), "streamer_role", F.coalesce("n", F.lit(0)).alias("participants"))
 
 
-@query("memory_attributions", """SELECT id AS segment_id, CASE WHEN conf >= 0.6 THEN 'narration' ELSE 'unclear' END AS kind, left(repeat(description, 10), 60) AS evidence, conf >= 0.65 AS named FROM up""", ("ev_events",), _MEM)
+@query("memory_attributions", """SELECT id AS segment_id, CASE WHEN conf >= 0.6 THEN 'narration' ELSE 'unclear' END AS kind, left(repeat(description, 10), 60) AS evidence, conf >= 0.6 AND known AS named FROM up""", ("ev_events",), _MEM)
 def memory_attributions(t: Tables) -> DataFrame:
     out = memory.apply(_batch(t), _empty_memory(t)).attributions
     return out.select("segment_id", "kind", "evidence", F.col("entity_id").isNotNull().alias("named"))
