@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 def fold_sorted(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[], object], schema: str
 ) -> DataFrame:
-    """``step()`` makes a state object with ``feed(rows) -> list of tuples`` (rows of one key, in order,
-    possibly called several times) and ``finish() -> list of tuples`` when the key ends."""
+    """``step()`` makes a state object with ``feed(rows) -> list of tuples`` (rows of one key in order, a list
+    of values per column, possibly called several times) and ``finish() -> list of tuples`` when the key ends."""
     names = T.StructType.fromDDL(schema).names
     keys = list(keys)
 
@@ -29,13 +29,14 @@ def fold_sorted(
             out: list[tuple] = []
             change = pdf[keys].ne(pdf[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
             starts = sorted({0, *change})
+            columns = {c: pdf[c].tolist() for c in pdf.columns}
             for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
-                key = tuple(pdf[k].iat[lo] for k in keys)
+                key = tuple(columns[k][lo] for k in keys)
                 if key != current:
                     if state is not None:
                         out.extend(state.finish())
                     current, state = key, step()
-                out.extend(state.feed(pdf.iloc[lo:hi]))
+                out.extend(state.feed({c: v[lo:hi] for c, v in columns.items()}))
             yield pd.DataFrame(out, columns=names)
         if state is not None:
             yield pd.DataFrame(state.finish(), columns=names)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the characters that count as white space.
 WHITESPACE = (
@@ -64,14 +67,25 @@ def snippet(text: Column, n: int) -> Column:
 
 
 def bigram_diversity(c: Column) -> Column:
-    """Distinct character bigrams / bigrams; one-character text counts as one bigram, empty text as 0."""
-    chars = F.split(c, "")
-    n = F.size(chars)
-    grams = F.when(
-        n > 1,
-        F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda a, b: F.concat(a, b)),
-    ).otherwise(chars)
-    return F.when(F.length(c) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(grams)) / F.size(grams))
+    """Distinct character bigrams / bigrams; one-character text counts as one bigram, empty text as 0.
+
+    Counted on code-point arrays in Arrow batches: many times faster than arrays of two-letter strings."""
+    return _diversity()(c)
+
+
+def _diversity():
+    def ratio(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            a = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype("uint64")
+            grams = (a[:-1] << np.uint64(32)) | a[1:] if len(a) > 1 else a
+            out.append(len(np.unique(grams)) / len(grams) if len(grams) else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(ratio, T.DoubleType(), F.PandasUDFType.SCALAR)
 
 
 def avg_logprob(probs: Column) -> Column:

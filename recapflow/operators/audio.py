@@ -5,7 +5,6 @@ file is streamed through a constant-size state in frame order and never collecte
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from recapflow.functions.folds import fold_sorted
@@ -34,9 +33,9 @@ class _Simple:
         frames, self.frames, self.silent = self.frames, 0, 0
         return [(self.file, t0, t1, frames)] if t1 - t0 >= MIN_SECONDS else []
 
-    def feed(self, rows: pd.DataFrame) -> list[tuple]:
-        self.file, out = int(rows["file_id"].iat[0]), []
-        for n, rms in zip(rows["n_samples"].tolist(), rows["rms"].tolist()):
+    def feed(self, rows: dict[str, list]) -> list[tuple]:
+        self.file, out = rows["file_id"][0], []
+        for n, rms in zip(rows["n_samples"], rows["rms"]):
             if not self.frames:
                 self.begin = self.samples
             self.samples += n
@@ -64,9 +63,9 @@ class _Stateful:
         t1 = t0 + sum(n for n, _ in taken) / SAMPLE_RATE
         return [(self.file, t0, t1, upto)] if self.speech and t1 - t0 >= MIN_SECONDS else []
 
-    def feed(self, rows: pd.DataFrame) -> list[tuple]:
-        self.file, out = int(rows["file_id"].iat[0]), []
-        for n, rms in zip(rows["n_samples"].tolist(), rows["rms"].tolist()):
+    def feed(self, rows: dict[str, list]) -> list[tuple]:
+        self.file, out = rows["file_id"][0], []
+        for n, rms in zip(rows["n_samples"], rows["rms"]):
             self.held.append((n, rms))
             if rms > SPEECH_RMS:
                 self.speech, self.silent = True, 0

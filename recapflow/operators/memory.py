@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +52,13 @@ def gated(extractions: DataFrame, field: str, kind: str, p: Params = DEFAULTS) -
 def counters(extractions: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Applied and quarantined proposals per kind."""
     fields = {"entity": "entity_updates", "thread": "thread_updates", "event": "events", "attribution": "utterance_attributions"}
-    rows = None
-    for kind, field in fields.items():
-        one = gated(extractions, field, kind, p).select(F.lit(kind).alias("kind"), "outcome")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+    def outcomes(kind: str, field: str) -> Column:
+        items = F.coalesce(F.col("extraction")[field], F.array())
+        return F.transform(items, lambda u: F.struct(F.lit(kind).alias("kind"), gate(kind, u["confidence"], p).alias("outcome")))
+
+    each = extractions.select(F.explode(F.concat(*[outcomes(k, f) for k, f in fields.items()])).alias("o")).select("o.*")
+    return each.groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _max_id(df: DataFrame) -> int:
@@ -79,10 +80,10 @@ def fold_text(base: DataFrame, deltas: DataFrame) -> DataFrame:
         def __init__(self) -> None:
             self.key, self.text = None, ""
 
-        def feed(self, rows: pd.DataFrame) -> list[tuple]:
-            self.key = rows["id"].iat[0]
-            for seed, delta in zip(rows["pos"] < 0, rows["delta"]):
-                self.text = (delta or "") if seed else _bounded(self.text, delta)
+        def feed(self, rows: dict[str, list]) -> list[tuple]:
+            self.key = rows["id"][0]
+            for pos, delta in zip(rows["pos"], rows["delta"]):
+                self.text = (delta or "") if pos < 0 else _bounded(self.text, delta)
             return []
 
         def finish(self) -> list[tuple]:

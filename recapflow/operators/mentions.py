@@ -14,26 +14,35 @@ def _words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def _pairs(words: Column) -> Column:
+    n = F.size(words)
+    return F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
 def mentions(names: DataFrame, texts: DataFrame, groups: Sequence[str], owner: str, key: str, text: str) -> DataFrame:
     """(groups, key, owner) for every name found in a text of its group: case-insensitive, at least two
     characters, and not inside a longer word. ``names``: groups, owner, name. ``texts``: groups, key, text.
 
-    A name can only match where its first word (or, lacking words, its first two symbols) occurs, so both
-    sides meet on (group, word); only longer names need the text itself for the final check."""
+    A name can only match where its first word stands or, for longer names, its first two words stand side by
+    side (lacking words, its first two symbols). Both sides meet on (group, word or pair), so a frequent first
+    word causes no extra work; names of several words are then checked once per text, whoever they belong to."""
     groups = list(groups)
-    name = X.strip(F.col("name"))
-    first = F.regexp_extract(F.lower(name), r"(?U)\w+", 0)
-    wanted = (
-        names.select(*groups, owner, name.alias("name")).where(F.length("name") >= 2).distinct()
-        .withColumn("item", F.when(first != "", first).otherwise(F.left(F.lower("name"), F.lit(2))))
-        .withColumn("whole", F.lower("name") == F.col("item"))
+    cleaned = names.select(*groups, owner, X.strip(F.col("name")).alias("name")).where(F.length("name") >= 2)
+    owners = cleaned.select(*groups, F.lower("name").alias("__name"), owner).distinct()
+    w = F.col("__w")
+    item = F.when(F.size(w) > 1, F.concat_ws(" ", w[0], w[1])).when(F.size(w) == 1, w[0]).otherwise(F.left("__name", F.lit(2)))
+    wanted = owners.select(*groups, "__name").distinct().withColumn("__w", _words(F.col("__name"))).select(
+        *groups, "__name", item.alias("__item"), ((F.size(w) == 1) & (w[0] == F.col("__name"))).alias("__whole")
+    )
+    low = texts.select(*groups, key, F.lower(text).alias("__low"))
+    symbols = F.regexp_extract_all("__low", F.lit(r"(?U)(?=(\W\W))"), F.lit(1))
+    items = low.withColumn("__w", _words(F.col("__low"))).select(
+        *groups, key, F.explode(F.array_distinct(F.concat("__w", _pairs(F.col("__w")), symbols))).alias("__item")
     )
-    symbols = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)(?=(\W\W))"), F.lit(1))
-    items = texts.select(*groups, key, F.explode(F.array_distinct(F.concat(_words(F.col(text)), symbols))).alias("item"))
-    hits = items.join(wanted, [*groups, "item"])
-    has_word = F.col("item").rlike(r"(?U)^\w")
-    sure = hits.where(F.col("whole") & has_word).select(*groups, key, owner)
-    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), X.quote_regex(F.col("name")), F.lit(r"(?!\w)"))
-    maybe = hits.where(~(F.col("whole") & has_word)).select(*groups, key, owner, "name")
-    checked = maybe.join(texts.select(*groups, key, text), [*groups, key]).where(F.regexp_like(F.col(text), pattern))
-    return sure.unionByName(checked.select(*groups, key, owner)).distinct()
+    hits = items.join(wanted, [*groups, "__item"]).select(*groups, key, "__name", "__whole")
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), X.quote_regex(F.col("__name")), F.lit(r"(?!\w)"))
+    checked = hits.where(~F.col("__whole")).join(low, [*groups, key]).where(F.contains("__low", "__name") & F.regexp_like("__low", pattern))
+    found = hits.where("__whole").select(*groups, key, "__name").unionByName(checked.select(*groups, key, "__name"))
+    return found.join(owners, [*groups, "__name"]).select(*groups, key, owner).distinct()

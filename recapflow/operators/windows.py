@@ -44,25 +44,23 @@ class _Rows:
     """Rows of one chunk, gathered across Arrow batches; a chunk is bounded by its time span."""
 
     def __init__(self) -> None:
-        self.parts: list[pd.DataFrame] = []
+        self.rows: dict[str, list] = {}
 
-    def feed(self, rows: pd.DataFrame) -> list[tuple]:
-        self.parts.append(rows)
+    def feed(self, rows: dict[str, list]) -> list[tuple]:
+        for c, values in rows.items():
+            self.rows.setdefault(c, []).extend(values)
         return []
 
-    def rows(self) -> pd.DataFrame:
-        return self.parts[0] if len(self.parts) == 1 else pd.concat(self.parts, ignore_index=True)
-
 
 def _steps(p: Params):
     class Steps(_Rows):
         def finish(self) -> list[tuple]:
-            rows = self.rows()
-            own = int((~rows["halo"]).sum())
+            rows = self.rows
+            own = rows["halo"].count(False)
             if own == 0:
                 return []
-            session, chunk = int(rows["session_id"].iat[0]), int(rows["chunk"].iat[0])
-            ids, start, end, words = (rows[c].tolist() for c in ("id", "t_start", "t_end", "n_words"))
+            session, chunk = rows["session_id"][0], rows["chunk"][0]
+            ids, start, end, words = (rows[c] for c in ("id", "t_start", "t_end", "n_words"))
             begin = chunk * p.chunk_seconds
             beyond = (begin + p.chunk_seconds + p.window_max_seconds, -1)
             first_after = next((i for i in range(own) if start[i] >= begin + p.window_max_seconds), own - 1)
@@ -94,16 +92,16 @@ def _steps(p: Params):
 def _starts(p: Params):
     class Starts(_Rows):
         def finish(self) -> list[tuple]:
-            rows = self.rows()
-            ids, start, end, words = (rows[c].tolist() for c in ("id", "t_start", "t_end", "n_words"))
-            entry_t, entry_id = rows["entry_t"].iat[0], rows["entry_id"].iat[0]
+            rows = self.rows
+            ids, start, end, words = (rows[c] for c in ("id", "t_start", "t_end", "n_words"))
+            entry_t, entry_id = rows["entry_t"][0], rows["entry_id"][0]
             begins = set()
             if not pd.isna(entry_t):
                 i = next((j for j in range(len(ids)) if (start[j], ids[j]) >= (entry_t, entry_id)), len(ids))
                 while i < len(ids):
                     begins.add(i)
                     i = window_end(i, start, end, words, p)
-            session, chunk = int(rows["session_id"].iat[0]), int(rows["chunk"].iat[0])
+            session, chunk = rows["session_id"][0], rows["chunk"][0]
             out, seen = [], 0
             for i, row_id in enumerate(ids):
                 seen += i in begins

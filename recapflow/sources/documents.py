@@ -16,7 +16,10 @@ def unfence(c: Column) -> Column:
 
 def parse_extraction(df: DataFrame, raw: str = "raw", out: str = "extraction") -> DataFrame:
     """Model text to the extraction struct; NULL when it is not valid JSON of that shape."""
-    return df.withColumn(out, F.from_json(unfence(F.col(raw)), EXTRACTION))
+    schema = EXTRACTION[:-1] + ", __broken: STRING>"
+    parsed = df.withColumn("__doc", F.from_json(unfence(F.col(raw)), schema, {"columnNameOfCorruptRecord": "__broken"}))
+    whole = F.col("__doc").isNotNull() & F.col("__doc.__broken").isNull()
+    return parsed.withColumn(out, F.when(whole, F.col("__doc").dropFields("__broken"))).drop("__doc")
 
 
 def parse_beats(df: DataFrame, raw: str = "raw", out: str = "proposal") -> DataFrame:

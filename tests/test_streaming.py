@@ -27,7 +27,7 @@ def landed(spark, *frames):
 
 
 def at(seconds):
-    return F.timestamp_micros((F.unix_micros(F.lit(BASE).cast("timestamp")) + F.lit(seconds) * 1000000).cast("bigint"))
+    return F.timestamp_micros((F.unix_micros(F.lit(BASE).cast("timestamp")) + F.lit(seconds) * F.lit(1e6)).cast("bigint"))
 
 
 def test_windows_match_batch(spark, sf):
@@ -50,7 +50,7 @@ def test_hours_close_once(spark):
     stream = landed(spark, act([(1, 0.0, 10.0), (2, 1800.0, 1900.0)]), act([(1, 0.0, 3700.0)]), act([(1, 0.0, 3790.0)]), act([(1, 0.0, 11000.0)]), act([(1, 0.0, 11001.0)]))
     drain(stateful.hours(stream), "hrs")
     rows = [tuple(r) for r in spark.table("hrs").orderBy("session_id", "hour").collect()]
-    assert rows == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    assert rows == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
 
 
 def test_sessions_end_after_silence(spark):
@@ -88,16 +88,15 @@ def test_voices_match_batch(spark, sf):
     assert {(r.segment_id, r.speaker_id, r.flag) for r in spark.table("voi").collect()} == batch
 
 
-class BeatModel(infer.StubModel):
-    def generate_json(self, prompt, system=""):
-        import json
-        import re
-
-        ids = [int(x) for x in re.findall(r"^- id (\d+)", prompt, re.M)]
-        return "```json\n" + json.dumps({"beats": [{"headline": "all", "significance": 3, "event_ids": ids}]}) + "\n```"
+def test_beats_once_per_hour(spark, sf):
+    class BeatModel(infer.StubModel):
+        def generate_json(self, prompt, system=""):
+            import json
+            import re
 
+            ids = [int(x) for x in re.findall(r"^- id (\d+)", prompt, re.M)]
+            return "```json\n" + json.dumps({"beats": [{"headline": "all", "significance": 3, "event_ids": ids}]}) + "\n```"
 
-def test_beats_once_per_hour(spark, sf):
     t = Tables(spark, sf)
     empty = spark.createDataFrame([], "session_id long, created_at timestamp, cost_usd double")
     state = {"sessions": t.ev_sessions.where("id < 4"), "windows": t.ev_windows.withColumn("cost_usd", F.lit(0.0)), "events": t.ev_events, "summaries": empty}
