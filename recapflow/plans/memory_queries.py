@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recapflow.functions import text as X
 from recapflow.functions import vec
-from recapflow.functions.fuzzy import token_set_score
+from recapflow.functions.similar import similar_within, token_key
 from recapflow.operators import (
     consent, context, corrections, evaluation, extract, guards, infer, memory, quality, resolve, retention, speakers, triage, views,
 )
@@ -36,14 +36,12 @@ _SCORES = """nm AS (SELECT DISTINCT channel_id, array_to_string(list_sort(list_d
     FROM (SELECT *, CASE WHEN c = '' THEN 0 ELSE length(c) + 1 END AS s FROM kp) kp JOIN lcs l ON l.a = kp.a AND l.b = kp.b AND l.i = length(kp.da))"""
 
 
-@query("token_set_ratio", "SELECT a, b, round(score, 4) AS score FROM sc", ("entities",), _SCORES)
+@query("token_set_ratio", "SELECT a, b, round(score, 4) AS score FROM sc WHERE score >= 70", ("entities",), _SCORES)
 def token_set_ratio(t: Tables) -> DataFrame:
-    """Score of every pair of distinct names that occur in one channel; names are few here by nature."""
-    from recapflow.functions.similar import token_key
-
-    keys = t.entities.where("status <> 'merged'").select("channel_id", token_key(F.lower("canonical_name")).alias("k")).distinct()
-    pairs = keys.withColumnRenamed("k", "a").join(keys.withColumnRenamed("k", "b"), "channel_id").where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("score", F.round(token_set_score("a", "b"), 4))
+    """Pairs of names of one channel that score at least 70."""
+    keys = t.entities.where("status <> 'merged'").select("channel_id", token_key(F.lower("canonical_name")).alias("key"))
+    close = similar_within(keys, ["channel_id"], 70.0)
+    return close.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.round("score", 4).alias("score")).distinct()
 
 
 _PAIRS = """, ent AS (SELECT *, array_to_string(list_sort(list_distinct(string_split(lower(canonical_name), ' '))), ' ') AS k FROM entities WHERE status <> 'merged'),
@@ -683,6 +681,5 @@ def stub_extract(t: Tables) -> DataFrame:
 @query("prf")
 def prf(t: Tables) -> DataFrame:
     """Part names of neighbouring brands as predicted and expected names."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    names = t.read("part").select(F.substring_index("p_brand", "#", -1).cast("bigint").alias("session_id"), F.row_number().over(w).alias("no"), F.col("p_name").alias("text"))
+    names = t.read("part").select(F.substring_index("p_brand", "#", -1).cast("bigint").alias("session_id"), F.col("p_partkey").alias("no"), F.col("p_name").alias("text"))
     return evaluation.prf(names, names.withColumn("session_id", F.col("session_id") + 1), 95.0)

@@ -15,11 +15,11 @@ def unfence(c: Column) -> Column:
 
 
 def parse_extraction(df: DataFrame, raw: str = "raw", out: str = "extraction") -> DataFrame:
-    """Model text to the extraction struct; NULL when it is not valid JSON of that shape."""
-    schema = EXTRACTION[:-1] + ", __broken: STRING>"
-    parsed = df.withColumn("__doc", F.from_json(unfence(F.col(raw)), schema, {"columnNameOfCorruptRecord": "__broken"}))
-    whole = F.col("__doc").isNotNull() & F.col("__doc.__broken").isNull()
-    return parsed.withColumn(out, F.when(whole, F.col("__doc").dropFields("__broken"))).drop("__doc")
+    """Model text to the extraction struct; NULL when it is not valid JSON of that shape. The struct ends with
+    an extra ``broken`` field, which holds unreadable text while parsing and is NULL in every kept document."""
+    schema = EXTRACTION[:-1] + ", broken: STRING>"
+    doc = F.from_json(unfence(F.col(raw)), schema, {"columnNameOfCorruptRecord": "broken"})
+    return df.withColumn(out, F.filter(F.array(doc), lambda d: d["broken"].isNull())).withColumn(out, F.try_element_at(out, F.lit(1)))
 
 
 def parse_beats(df: DataFrame, raw: str = "raw", out: str = "proposal") -> DataFrame:
