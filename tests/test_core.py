@@ -439,3 +439,33 @@ def test_tables_round_trip(spark):
     assert back.count() == 50 and back.schema.fieldNames() == rows.schema.fieldNames()
     ids = tables.next_ids(rows.select("t_start"), ["t_start"], F.floor(F.col("t_start") / 7), 100)
     assert sorted(one(ids, "id")) == list(range(101, 151))
+
+
+def test_audio_cuts(spark):
+    from recapflow.operators import audio as cuts
+
+    loud, quiet = [0.5] * 20, [0.001] * 20
+    rows = [(1, i, 512, r) for i, r in enumerate(loud + quiet + loud)] + [(2, i, 512, 0.001) for i in range(40)]
+    rows += [(3, i, 512, 0.1 if i == 900 else 0.5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "file_id long, frame_no long, n_samples int, rms double")
+    simple = sorted((r.file_id, r.n_frames) for r in cuts.segment(df).collect())
+    assert simple == [(1, 25), (1, 35), (2, 10), (2, 15), (2, 15), (3, 62), (3, 938)]
+    # 500 ms are 16 frames; silence alone is dropped; the 30 s cut falls on the quietest frame.
+    stateful = sorted((r.file_id, r.n_frames) for r in cuts.segment(df, "stateful").collect())
+    assert stateful == [(1, 24), (1, 36), (3, 100), (3, 900)]
+
+
+def test_voice_drift(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    vectors = [rnd.normal(size=4).astype("float32") for _ in range(6)]
+    voices = spark.createDataFrame([(1, vectors[0].tolist())], "speaker_id long, embedding array<float>")
+    rows = [(1, float(i), i, v.tolist()) for i, v in enumerate(vectors[1:], 1)]
+    moved = spark.createDataFrame(rows, "speaker_id long, t_start double, segment_id long, embedding array<float>")
+    c = vectors[0] / np.linalg.norm(vectors[0])
+    for v in vectors[1:]:
+        c = 0.9 * c + 0.1 * v
+        c = c / np.linalg.norm(c)
+    got = speakers.drift(moved.repartition(3), voices).first()
+    assert got.updates == 5 and np.allclose(got.embedding, c, atol=1e-5)
