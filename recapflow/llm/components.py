@@ -1,0 +1,29 @@
+"""Connected components of a table of links, by contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recapflow.llm import common
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of the links (a, b); nodes of one component have one root.
+
+    Each round every node moves to the smallest node among itself and its neighbours, and links between nodes that met
+    disappear. Node numbers are hashes, so a constant share of the nodes goes in every round, also on long chains and
+    around hubs. The moves are followed round by round; nothing but row counts reaches the driver."""
+    edges = common.settled(links.select("a", "b").where("a <> b").distinct())
+    both = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("other")).union(e.select("b", "a"))
+    roots = common.settled(both(edges).groupBy("node").agg(F.least("node", F.min("other")).alias("root")))
+    moves = roots
+    while True:
+        at = lambda side, name: moves.select(F.col("node").alias(side), F.col("root").alias(name))
+        moved = edges.join(at("a", "x"), "a").join(at("b", "y"), "b").where("x <> y")
+        edges = common.settled(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if edges.isEmpty():
+            return roots
+        moves = common.settled(both(edges).groupBy("node").agg(F.least("node", F.min("other")).alias("root")))
+        onward = moves.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        roots = common.settled(roots.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")))

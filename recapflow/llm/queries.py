@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recapflow.llm import decontaminate, mixing, quality_rules, sharding
+from recapflow.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,20 @@ def op7(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op9_ngram_join", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+    sets AS MATERIALIZED (SELECT doc_id, {_SHINGLES} AS ss FROM d),
+    s AS MATERIALIZED (SELECT doc_id, len(ss) AS n, unnest(ss) AS g FROM sets),
+    met AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o
+            FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY x, y),
+    links AS MATERIALIZED (SELECT x, y FROM met WHERE 100 * o >= 80 * (nx + ny - o)),
+    reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+    low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT doc_id, len(ss)::BIGINT AS n_shingles, component_id FROM sets JOIN low ON doc_id = x""")
+def op9(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_rules")
 def op10(spark, sf_dir):
     return quality_rules.score(table(spark, sf_dir, "documents"))
