@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def per_process(name: str, make: Callable):
+    """What ``make`` returned when a task of this worker process asked first; later tasks get the same object."""
+    kept = sys.modules.setdefault("recapflow_worker_objects", types.ModuleType("recapflow_worker_objects")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def shared_folder(spark) -> str:
     """The folder all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
