@@ -71,13 +71,13 @@ def shared_folder(spark) -> str:
 
 def join_small(
     df: DataFrame, small: DataFrame, on: Sequence[str], rows: int, salt: Column, how: str = "inner",
-    bound: int = SMALL_ROWS,
+    bound: int | None = None,
 ) -> DataFrame:
-    """Join ``df`` with a table of ``rows`` rows, unique or nearly so per key. Up to ``bound`` rows it is broadcast;
+    """Join ``df`` with a table of ``rows`` rows, unique or nearly so per key. Up to ``bound`` rows (SMALL_ROWS) it is broadcast;
     beyond, it is repeated once per salt so that a key with a large share of ``df`` spreads over several tasks.
     NULL keys meet NULL keys."""
     right = small.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in small.columns])
-    if rows <= bound:
+    if rows <= (SMALL_ROWS if bound is None else bound):
         right, meet = F.broadcast(right), F.lit(True)
     else:
         right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -147,8 +147,10 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
         if not run.startswith(("M", "b3BlbnNzaC1rZXktdjEA")):  # a DER sequence of this size, OpenSSH's magic
             continue
         data = _unpadded("".join(run.split()))
-        top = data and der(data, 0, len(data))
-        size = top[2] if top else data and ssh_end(data)
+        if not data:
+            continue
+        top = None if data.startswith(_SSH_MAGIC) else der(data, 0, len(data))
+        size = top[2] if top else ssh_end(data)
         # the key ends where its outermost length says; what the run swallowed behind it is not part of the span
         if size and (is_der_key(data[:size]) if top else True):
             left, end = -(-size * 4 // 3), m.start()
