@@ -12,11 +12,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,7 @@ class WaveletMatrix:
             one = (seq & seq.dtype.type(1 << b)) != 0
             packed = np.packbits(one, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]))
-            seq = np.concatenate([seq[~one], seq[one]])
+            seq = np.concatenate([np.compress(~one, seq), np.compress(one, seq)])  # several times faster than masks as an index
         return cls(len(ids), planes)
 
     def to_bytes(self) -> bytes:
@@ -72,8 +73,8 @@ class WaveletMatrix:
             one = self._bits(k)
             zeros = self.size - int(np.count_nonzero(one))
             back = np.empty_like(seq)
-            back[~one] = seq[:zeros]
-            back[one] = seq[zeros:] | seq.dtype.type(1 << (len(self.planes) - 1 - k))
+            back[np.flatnonzero(~one)] = seq[:zeros]
+            back[np.flatnonzero(one)] = seq[zeros:] | seq.dtype.type(1 << (len(self.planes) - 1 - k))
             seq = back
         return seq
 
@@ -145,9 +146,24 @@ class WaveletMatrix:
         return at
 
 
+def _picked(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces of ``flat`` in the order of their numbers, size of each): piece k has ``size[k]`` values."""
+    n = size[code]
+    shift = (np.cumsum(size, dtype=np.int32) - size)[code] - (np.cumsum(n, dtype=np.int32) - n)
+    return flat[np.repeat(shift, n) + np.arange(int(n.sum()), dtype=np.int32)], n
+
+
+def _gathered(pieces: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
+    return _picked(np.frombuffer(b"".join(pieces), "<u4"), size, code)
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizers file that treats white space as a border between words: words between plain
-    spaces and line feeds are encoded once and kept in a table of bounded size."""
+    """Ids of whole texts by a tokenizers file that lower-cases and treats white space as a border between words.
+
+    Words between plain spaces and line feeds are told apart in Arrow, each distinct one is encoded once, and the ids
+    are gathered by word number. An ASCII word is looked up in lower case, and a full stop or comma behind its last
+    letter as a word of its own, which is how the file cuts it; words that could hold a special token are left alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -156,17 +172,46 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > _CACHED_WORDS:
-            known.clear()
-        new = list(set().union(*map(set, split)).difference(known)) if split else []
+    def _learn(self, words: set[str]) -> None:
+        new = list(words.difference(self.known))
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             for w, e in zip(part, self.many(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4") for ws in split]
+                self.known[w] = array("I", e.ids).tobytes()
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all distinct words in order, number of ids of each)."""
+        if len(self.known) > _CACHED_WORDS:
+            self.known.clear()
+        special = pc.match_substring(words, "<|")
+        words = pc.if_else(special, words, pc.ascii_lower(words))
+        stop = pc.and_not(pc.match_substring_regex(words, "[a-z][.,]$"), special)
+        heads = pc.if_else(stop, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        names = heads.dictionary.to_pylist()
+        self._learn({*names, ".", ","})
+        ids, size = _gathered(list(map(self.known.__getitem__, names)), heads.indices.to_numpy())
+        stop = stop.to_numpy(zero_copy_only=False)
+        mark = np.where(pc.ends_with(words, ",").to_numpy(zero_copy_only=False)[stop], *(np.frombuffer(self.known[x], "<u4")[0] for x in ",."))
+        return np.insert(ids, np.cumsum(size)[stop], mark.astype("<u4")), size + stop
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, number of ids of each)."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        ids, n = _picked(*self._distinct(words.dictionary), words.indices.to_numpy())
+        begin = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        return ids, np.add.reduceat(n, begin).astype(np.int64) if len(begin) else np.empty(0, np.int64)
+
+
+def _slices(batch: pa.RecordBatch, chars: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about so many bytes of text; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(size, (size[start - 1] if start else 0) + chars, side="right"))
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def write(
@@ -185,31 +230,30 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = common.per_process(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        names: list[Any] = []
-        kept: list[np.ndarray] = []
-        held = 0
-
-        def shard() -> pa.RecordBatch:
-            arrow = pa.schema([("docs", pa.list_(id_type))])
-            row = {"part": [part], "seq": [seq], "before": [before], "n_ids": [held], "docs": pa.array([names], arrow.field(0).type)}
-            row["lengths"] = [np.array([len(k) for k in kept], "<u4").tobytes()]
-            row["planes"] = [WaveletMatrix.build(np.concatenate(kept)).to_bytes()]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), None, pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
+        def shard(names: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            columns = [
+                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([lengths.astype("<u4").tobytes()], pa.binary()),
+                pa.array([WaveletMatrix.build(ids).to_bytes()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         for b in batches:
-            id_type = b.column(0).type
-            for start in range(0, b.num_rows, 500):
-                piece = b.slice(start, 500)
-                for name, ids in zip(piece.column(0).to_pylist(), encoder.encode([x or "" for x in piece.column(1).to_pylist()]), strict=True):
-                    names.append(name)
-                    kept.append(np.append(ids, np.uint32(end_id)))
-                    held += len(ids) + 1
-                    if held >= shard_ids:
-                        yield shard()
-                        seq, before, names, kept, held = seq + 1, before + held, [], [], 0
-        if kept:
-            yield shard()
+            for piece in _slices(b):
+                ids, n = encoder.encode(piece.column(1))
+                held.append((piece.column(0), n + 1, np.insert(ids, np.cumsum(n), np.uint32(end_id))))
+                done = False
+                while sum(len(x[2]) for x in held) >= shard_ids and not done:
+                    names, lengths, ids = pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2))
+                    ends = np.cumsum(lengths)
+                    cut = int(np.searchsorted(ends, shard_ids)) + 1
+                    yield shard(names[:cut], lengths[:cut], ids[:ends[cut - 1]])
+                    seq, before, done = seq + 1, before + int(ends[cut - 1]), cut == len(names)
+                    held = [] if done else [(names[cut:], lengths[cut:], ids[ends[cut - 1]:])]
+        if held:
+            yield shard(pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2)))
 
     ordered = docs.select(F.col(id), F.col(text)).repartitionByRange(F.col(id)).sortWithinPartitions(id, text)
     ordered.mapInArrow(run, schema).write.parquet(path)
