@@ -64,10 +64,10 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     jumps, open_ = [jump.select("node", "up")], jump.where("up IS NOT NULL").count()
     while open_:
         far = jump.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("deeper"))
-        jump = common.settled(jump.join(far, "up", "left").select(
-            "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-            (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"),
-        ))
+        further = jump.join(far, "up").select(  # only messages that have not met their root
+            "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("deeper")).alias("depth"),
+        )
+        jump = common.settled(jump.where("up IS NULL").select("node", "up", "score", "depth").union(further))
         was, open_ = open_, jump.where("up IS NOT NULL").count()
         if open_ == was:  # only cycles are left
             break
