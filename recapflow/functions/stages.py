@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 def settled(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that model calls are not repeated when an executor is lost. Uses the shared
-    folder named by ``spark.checkpoint.dir``; only where none is named (tests) a temporary one is made."""
+    folder named by ``spark.checkpoint.dir``. Where none is named, a local session (tests) gets a temporary one;
+    on a cluster the executors could not read it, so that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recapflow-"))
     return df.checkpoint(eager=True)

@@ -24,8 +24,9 @@ TOKENS = 320
 
 
 def pending(sessions: DataFrame, events: DataFrame, now: Column, attempts: DataFrame | None = None,
-            limit: int | None = PER_TICK, p: Params = DEFAULTS) -> DataFrame:
-    """Recently finished sessions with events and no wrap-up, tried fewer than three times, newest first."""
+            limit: int | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """Recently finished sessions with events and no wrap-up, tried fewer than three times. A ``limit``, such as
+    PER_TICK, keeps the newest."""
     recent = TM.seconds_between(now, F.col("ended_at")) <= p.max_age_hours * TM.HOUR
     rows = sessions.where(TM.is_finished(F.col("status")) & F.col("final_summary").isNull() & recent).join(
         events.select(F.col("session_id").alias("id")), "id", "left_semi"
@@ -70,7 +71,7 @@ def prompts(sessions: DataFrame, events: DataFrame, threads: DataFrame) -> DataF
 
 def run(sessions: DataFrame, windows: DataFrame, events: DataFrame, threads: DataFrame, summaries: DataFrame, now: Column,
         model: Callable[[], infer.Model] = infer.StubModel, attempts: DataFrame | None = None, system: str = "",
-        limit: int | None = PER_TICK, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+        limit: int | None = None, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(sessions with final_summary filled in, new summary rows)."""
     paused = budget.status(sessions, windows, summaries, TM.month(now), p).where("paused").select(F.col("session_id").alias("id"))
     todo = pending(sessions, events, now, attempts, limit, p).join(paused, "id", "left_anti")

@@ -20,7 +20,6 @@ RUN_LABEL = "live"
 LIVE_MIN_IMPORTANCE = 2
 LIVE_PER_HOUR = 3
 BEAT_MIN_IMPORTANCE = 3
-MAX_BEATS = 4
 EARLIER_HEADLINES = 4
 HEADLINE_CHARS = 160
 HOURS_PER_TICK = 3
@@ -121,9 +120,9 @@ def prompts(timed: DataFrame, hours: DataFrame, beats: DataFrame) -> DataFrame:
 
 def ground(proposals: DataFrame, timed: DataFrame) -> DataFrame:
     """Keep the proposed beats that name at least one notable event of their hour. ``proposals``:
-    session_id, hour, proposal. Adds beat_no, headline, significance, event_ids, t_start, t_end."""
+    session_id, hour, proposal (see ``parse_beats``). Adds beat_no, headline, significance, event_ids, t_start, t_end."""
     beats = proposals.select(
-        "session_id", "hour", F.posexplode(F.slice("proposal.beats", 1, MAX_BEATS)).alias("beat_no", "b")
+        "session_id", "hour", F.posexplode("proposal.beats").alias("beat_no", "b")
     ).select("session_id", "hour", "beat_no", X.strip(F.col("b.headline")).alias("headline"), "b.significance", "b.event_ids")
     cited = beats.where("headline <> ''").withColumn("id", F.explode(F.array_distinct("event_ids"))).drop("event_ids")
     known = timed.where(F.col("importance") >= BEAT_MIN_IMPORTANCE).select("session_id", "hour", "id", "at")
@@ -136,16 +135,17 @@ def ground(proposals: DataFrame, timed: DataFrame) -> DataFrame:
 
 def generate(sessions: DataFrame, windows: DataFrame, events: DataFrame, summaries: DataFrame, beats: DataFrame,
              runs: DataFrame, now: Column, model: Callable[[], infer.Model] = infer.StubModel, system: str = "",
-             limit: int | None = HOURS_PER_TICK, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """(new beats, new runs) for due hours within budget. Hours without notable events are marked skipped;
-    a failed model call leaves no mark, so the hour stays due."""
+             limit: int | None = None, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(new beats, new runs) for all due hours within budget, or the first ``limit`` of them. Hours without notable
+    events are marked skipped; a failed call or an invalid reply leaves no mark, so the hour stays due; a valid reply
+    without beats closes the hour."""
     due = due_hours(sessions, runs, now, p)
     due = due if limit is None else next_due(due, limit)
     within = budget.status(sessions, windows, summaries, TM.month(now), p).where(~F.col("paused")).select("session_id")
     hours = due.join(within, "session_id", "left_semi")
     timed = timed_events(sessions, windows, events)
     asked = settled(infer.run(prompts(timed, hours, beats), model, kind="json", system=system, p=p))
-    parsed = parse_beats(asked).where("proposal.beats IS NOT NULL")
+    parsed = parse_beats(asked).where("proposal IS NOT NULL")
     made = ground(parsed.select("session_id", "hour", "proposal"), timed).join(
         parsed.select("session_id", "hour", X.approx_tokens(F.col("prompt")).alias("tokens_in")), ["session_id", "hour"]
     ).select(

@@ -12,9 +12,10 @@ from recapflow.functions.ordered import top_n
 PLACEHOLDER_NAME = r"(?i)^(?:(?:speaker[_ -]?)?\d+|pending|unknown)$"
 
 
-def range_(segments: DataFrame, lo: float = 0.0, hi: float = 1e9, limit: int | None = None) -> DataFrame:
-    """Segments with ``lo <= t_start <= hi`` (both included); ``limit`` keeps the latest rows per session."""
-    inside = segments.where(F.col("t_start").between(lo, hi))
+def range_(segments: DataFrame, lo: float | None = None, hi: float | None = None, limit: int | None = None) -> DataFrame:
+    """Segments with ``lo <= t_start <= hi`` (both included, None is open); ``limit`` keeps the latest rows per session."""
+    inside = segments if lo is None else segments.where(F.col("t_start") >= lo)
+    inside = inside if hi is None else inside.where(F.col("t_start") <= hi)
     if limit is None:
         return inside
     latest = [F.desc("t_start"), F.desc("id")]

@@ -271,7 +271,7 @@ def identify_voices(t: Tables) -> DataFrame:
     ch = (F.col("vec_id") % 4).alias("channel_id")
     heard = t.read("embeddings").select(ch, F.col("vec_id").alias("segment_id"), F.col("vec_id").cast("double").alias("t_start"), ((F.col("vec_id") % 9) / 3.0).alias("seconds"), "embedding")
     known = _voices(t).where("speaker_id % 2 = 0").withColumn("channel_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
-    return speakers.identify(heard, known)
+    return speakers.identify(heard, known).drop("voice", "voice_seconds")
 
 
 @query("speech_seconds", "SELECT speaker_id, round(sum(greatest(t_end - t_start, 0)), 4) AS speech_seconds FROM segments WHERE speaker_id IS NOT NULL GROUP BY speaker_id", ("segments",))

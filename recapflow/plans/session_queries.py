@@ -290,7 +290,7 @@ def dormancy(t: Tables) -> DataFrame:
     ORDER BY id DESC LIMIT 2""", ("sessions",))
 def pending(t: Tables) -> DataFrame:
     events = t.read("lineitem").select(F.col("l_orderkey").alias("session_id"))
-    return final.pending(t.sessions, events, ts(NOW)).select("id")
+    return final.pending(t.sessions, events, ts(NOW), limit=final.PER_TICK).select("id")
 
 
 @query("pending_all", f"""SELECT id FROM sessions s WHERE status IN ('ended', 'interrupted') AND final_summary IS NULL

@@ -82,19 +82,22 @@ def auto_channels(channels: DataFrame) -> DataFrame:
 
 
 def set_config(channels: DataFrame, edits: DataFrame) -> DataFrame:
-    """Apply (channel_id, auto_monitor, content_profile) edits to ``config_json``; NULL keeps a value."""
-    cfg = F.col("config")
-    new = F.struct(
-        F.coalesce("__profile", cfg["content_profile"]).alias("content_profile"),
-        F.coalesce("__auto", cfg["auto_monitor"]).alias("auto_monitor"),
-        cfg["streamer"].alias("streamer"),
-    )
+    """Apply (channel_id, auto_monitor, content_profile) edits to ``config_json``; NULL keeps a value. All other keys
+    of the document stay as they are; an unreadable document counts as empty."""
+    def put(doc: Column, key: str, value: Column) -> Column:
+        rest = F.map_filter(doc, lambda k, _: k != key)
+        return F.when(value.isNull(), doc).otherwise(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(value))))
+
+    empty = F.create_map().cast("map<string,variant>")
+    doc = F.coalesce(F.try_variant_get(F.try_parse_json("config_json"), "$", "map<string,variant>"), empty)
+    profile = F.when(F.col("__profile").isNotNull(), F.regexp_replace(F.to_json(F.array("__profile")), r"^\[|\]$", ""))
     changes = edits.select(
-        F.col("channel_id").alias("id"), F.col("auto_monitor").alias("__auto"),
+        F.col("channel_id").alias("id"), F.col("auto_monitor").cast("string").alias("__auto"),
         F.col("content_profile").alias("__profile"), F.lit(True).alias("__edit"),
     )
+    new = put(put(doc, "content_profile", profile), "auto_monitor", F.col("__auto"))
     return (
-        channel_config(channels).join(changes, "id", "left")
+        channels.join(changes, "id", "left")
         .withColumn("config_json", F.when(F.col("__edit"), F.to_json(new)).otherwise(F.col("config_json")))
         .select(*channels.columns)
     )

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from recapflow.schemas import BEATS, EXTRACTION, GOLD
 
+# Fixed value: the longest list of beats a reply may hold.
+MAX_BEATS = 4
+
 
 def unfence(c: Column) -> Column:
     """Body of the first code fence, without a leading ``json`` tag; unfenced text stays as it is."""
@@ -23,7 +26,16 @@ def parse_extraction(df: DataFrame, raw: str = "raw", out: str = "extraction") -
 
 
 def parse_beats(df: DataFrame, raw: str = "raw", out: str = "proposal") -> DataFrame:
-    return df.withColumn(out, F.from_json(unfence(F.col(raw)), BEATS))
+    """Model text to the beats struct; NULL when it is not valid JSON of that shape or breaks a rule: at most MAX_BEATS
+    beats, each with a headline, a significance of 1 to 5 and event ids. A document without beats is valid."""
+    doc = F.from_json(unfence(F.col(raw)), BEATS[:-1] + ", broken: STRING>", {"columnNameOfCorruptRecord": "broken"})
+    complete = lambda b: b["headline"].isNotNull() & b["significance"].between(1, 5) & b["event_ids"].isNotNull()
+
+    def fits(d: Column) -> Column:
+        beats = F.coalesce(d["beats"], F.array())
+        return d["broken"].isNull() & (F.size(beats) <= MAX_BEATS) & F.forall(beats, lambda b: F.coalesce(complete(b), F.lit(False)))
+
+    return df.withColumn(out, F.filter(F.array(doc), lambda d: d.isNotNull() & fits(d))).withColumn(out, F.try_element_at(out, F.lit(1)))
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,6 @@ last messages, the voices of one channel. Time-outs follow the watermark of the
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recapflow.functions.times import HOUR
-from recapflow.operators.speakers import VoiceState
+from recapflow.operators.speakers import IDENTIFIED, Voices
 from recapflow.params import DEFAULTS, Params
 
 _WINDOW = "session_id BIGINT, window_no BIGINT, t_start DOUBLE, t_end DOUBLE, n_words BIGINT, segment_ids ARRAY<BIGINT>"
@@ -21,25 +20,27 @@ _WINDOW_STATE = "window_no BIGINT, t_start DOUBLE, t_end DOUBLE, n_words BIGINT,
 
 
 def windows(stream: DataFrame, delay: str = "1 minute", p: Params = DEFAULTS) -> DataFrame:
-    """Utterances (session_id, id, t_start, t_end, n_words, ts) to closed windows. A session's open window is
-    flushed when nothing arrives for ``offline_minutes`` of event time."""
+    """Utterances (session_id, id, t_start, t_end, n_words, ts) to closed windows. A session's open window is flushed
+    when nothing arrives for ``offline_minutes`` of event time; a session that resumes goes on counting. An optional
+    boolean column ``ended`` marks a session's last row (which may have a NULL id): it flushes and drops the state."""
+    marked = "ended" in stream.columns
+    rows = stream if marked else stream.withColumn("ended", F.lit(False))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         session, out = int(key[0]), []
         no, t0, t1, words, ids = state.get if state.exists else (1, 0.0, 0.0, 0, [])
-        ids = list(ids)
+        ids, over = list(ids), False
 
         def close() -> None:
             nonlocal no, ids
             out.append((session, no, t0, t1, words, ids))
             no, ids = no + 1, []
 
-        if state.hasTimedOut:
-            if ids:
-                close()
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["t_start", "id"])
-            for uid, a, b, n in zip(rows["id"].tolist(), rows["t_start"].tolist(), rows["t_end"].tolist(), rows["n_words"].tolist()):
+        if not state.hasTimedOut:
+            arrived = pd.concat([b[["id", "t_start", "t_end", "n_words", "ts", "ended"]] for b in batches]).sort_values(["t_start", "id"])
+            over = bool(arrived["ended"].any())
+            said = arrived[arrived["id"].notna()]
+            for uid, a, b, n in zip(said["id"].astype("int64").tolist(), said["t_start"].tolist(), said["t_end"].tolist(), said["n_words"].tolist()):
                 pause = ids and t1 - t0 >= p.window_min_seconds and a - t1 >= p.window_min_silence
                 if pause or (ids and (b - t0 > p.window_max_seconds or words + n > p.window_max_words)):
                     close()
@@ -50,12 +51,19 @@ def windows(stream: DataFrame, delay: str = "1 minute", p: Params = DEFAULTS) ->
                 ids.append(uid)
                 if t1 - t0 >= p.window_max_seconds or words >= p.window_max_words:
                     close()
+        if ids and (over or state.hasTimedOut):
+            close()
+        if over:
+            state.remove()
+        else:
+            timed_out = state.hasTimedOut
             state.update((no, t0, t1, words, ids))
-            last = int(rows["ts"].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + p.offline_minutes * 60000)
+            if not timed_out:
+                last = int(arrived["ts"].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + p.offline_minutes * 60000)
         yield pd.DataFrame(out, columns=["session_id", "window_no", "t_start", "t_end", "n_words", "segment_ids"])
 
-    return stream.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
+    return rows.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
         step, _WINDOW, _WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -69,41 +77,57 @@ def sessions(stream: DataFrame, delay: str = "1 minute", p: Params = DEFAULTS) -
 
 
 def hours(stream: DataFrame, delay: str = "0 seconds", p: Params = DEFAULTS) -> DataFrame:
-    """Activity (session_id, started_at, ts) to the closed hours of every session, each once. Hours are counted
-    from the session's own start and close after the grace, by later activity or by the watermark."""
+    """Activity (session_id, started_at, ts, optional ended_at) to the closed hours of every session, each once. Hours
+    are counted from the session's own start and close after the grace, by later activity or by the watermark. With the
+    end all hours up to it close at once and the state goes; a session silent for ``max_age_hours`` is dropped, too."""
+    rows = stream if "ended_at" in stream.columns else stream.withColumn("ended_at", F.lit(None).cast("timestamp"))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, out = int(key[0]), []
-        start, nxt = state.get if state.exists else (None, 0)
-        now = state.getCurrentWatermarkMs() / 1000
+        session, (start, nxt, last) = int(key[0]), state.get if state.exists else (None, 0, 0.0)
+        now, end = state.getCurrentWatermarkMs() / 1000, None
         if not state.hasTimedOut:
-            rows = pd.concat(list(batches))
-            start = rows["started_at"].min().timestamp() if start is None else start
-            now = max(now, rows["ts"].max().timestamp())
-        while start + (nxt + 1) * HOUR + p.close_grace_seconds <= now:
-            out.append((session, nxt))
-            nxt += 1
-        state.update((start, nxt))
-        due = int((start + (nxt + 1) * HOUR + p.close_grace_seconds) * 1000)
+            for b in batches:
+                first, latest, over = b["started_at"].min(), b["ts"].max(), b["ended_at"].max()
+                start = first.timestamp() if start is None else start
+                last = max(last, latest.timestamp())
+                end = over.timestamp() if pd.notna(over) else end
+            now = max(now, last)
+        if end is not None:
+            until = int((end - start) // HOUR) + 1
+        else:
+            until = max(nxt, int((now - p.close_grace_seconds - start) // HOUR))
+        yield pd.DataFrame([(session, h) for h in range(nxt, until)], columns=["session_id", "hour"]).astype("int64")
+        if end is not None or now - last > p.max_age_hours * HOUR:
+            state.remove()
+            return
+        state.update((start, until, last))
+        due = int((start + (until + 1) * HOUR + p.close_grace_seconds) * 1000)
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["session_id", "hour"])
 
-    return stream.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
-        step, "session_id BIGINT, hour BIGINT", "started DOUBLE, next_hour BIGINT", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
+        step, "session_id BIGINT, hour BIGINT", "started DOUBLE, next_hour BIGINT, last DOUBLE", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def feed(stream: DataFrame, n: int = 100) -> DataFrame:
     """Messages (session_id, seq, type, payload) to the latest ``n`` per session, as changed rows
-    (session_id, messages); older ones drop out."""
+    (session_id, messages); older ones drop out. An optional boolean column ``ended`` marks a session's last message,
+    after which its state goes."""
+    rows = stream if "ended" in stream.columns else stream.withColumn("ended", F.lit(False))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        kept = (kept + [[int(s), t, x] for s, t, x in zip(rows["seq"], rows["type"], rows["payload"])])[-n:]
-        state.update((json.dumps(kept),))
-        yield pd.DataFrame({"session_id": [int(key[0])], "messages": [[json.dumps(m) for m in kept]]})
-
-    return stream.groupBy("session_id").applyInPandasWithState(
-        step, "session_id BIGINT, messages ARRAY<STRING>", "kept STRING", "update", GroupStateTimeout.NoTimeout
+        kept, over = list(zip(*state.get)) if state.exists else [], False
+        for b in batches:
+            over = over or bool(b["ended"].any())
+            kept = sorted(kept + [(int(s), json.dumps([int(s), t, x])) for s, t, x in zip(b["seq"], b["type"], b["payload"])])[-n:]
+        if over:
+            state.remove()
+        else:
+            state.update(([s for s, _ in kept], [m for _, m in kept]))
+        yield pd.DataFrame({"session_id": [int(key[0])], "messages": [[m for _, m in kept]]})
+
+    return rows.groupBy("session_id").applyInPandasWithState(
+        step, "session_id BIGINT, messages ARRAY<STRING>", "seqs ARRAY<BIGINT>, kept ARRAY<STRING>", "update", GroupStateTimeout.NoTimeout
     )
 
 
@@ -126,22 +150,26 @@ def orphans(stream: DataFrame, delay: str = "0 seconds", p: Params = DEFAULTS) -
     )
 
 
+_VOICES = (
+    "made BIGINT, dim INT, ids ARRAY<BIGINT>, bank ARRAY<FLOAT>, numbers ARRAY<BIGINT>, counts ARRAY<BIGINT>, heard ARRAY<DOUBLE>, "
+    "clusters ARRAY<DOUBLE>"
+)
+
+
 def voices(stream: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Live identification: rows (channel_id, is_voice, item_id, t_start, seconds, embedding), where enrolled
-    voices and heard segments share one stream, to (channel_id, segment_id, speaker_id, confidence, flag)."""
+    voices and heard segments share one stream, to the columns of ``speakers.identify``."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        voice = pickle.loads(state.get[0]) if state.exists else VoiceState(p)
+        bank = Voices.unpack(p, state.get) if state.exists else Voices(p)
         rows = pd.concat(list(batches)).sort_values(["is_voice", "t_start", "item_id"], ascending=[False, True, True])
         out = []
         for enrolled, item, seconds, v in zip(rows["is_voice"], rows["item_id"], rows["seconds"], rows["embedding"]):
             if enrolled:
-                voice.enrol(int(item), v)
+                bank.enrol(int(item), v)
             else:
-                out.append((int(key[0]), int(item), *voice.identify(v, float(seconds))))
-        state.update((pickle.dumps(voice),))
-        yield pd.DataFrame(out, columns=["channel_id", "segment_id", "speaker_id", "confidence", "flag"]).astype({"speaker_id": "Int64"})
+                out.append((int(key[0]), int(item), *bank.hear(v, float(seconds))))
+        state.update(bank.pack())
+        names = [x.split()[0] for x in IDENTIFIED.split(", ")]
+        yield pd.DataFrame(out, columns=names).astype({"speaker_id": "Int64", "confidence": "float64", "voice_seconds": "float64"})
 
-    return stream.groupBy("channel_id").applyInPandasWithState(
-        step, "channel_id BIGINT, segment_id BIGINT, speaker_id BIGINT, confidence DOUBLE, flag STRING", "voice BINARY",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+    return stream.groupBy("channel_id").applyInPandasWithState(step, IDENTIFIED, _VOICES, "append", GroupStateTimeout.NoTimeout)

@@ -17,7 +17,7 @@ from recapflow.operators import (
 )
 from recapflow.params import Params
 from recapflow.schemas import TABLES
-from recapflow.sources import audio, documents, tables
+from recapflow.sources import audio, channels, documents, tables
 
 UTT = "session_id long, id long, t_start double, t_end double, n_words long"
 
@@ -379,7 +379,41 @@ def test_speaker_match_rules(spark):
     flags = [r.flag for r in speakers.identify(same, lib.where("speaker_id < 0")).orderBy("segment_id").collect()]
     assert flags == ["provisional", "provisional", "consent-required", "consent-required"]
     free = speakers.identify(same, lib.where("speaker_id < 0"), Params(consent_required=False)).orderBy("segment_id")
-    assert one(free, "flag")[2] == "promote:p1"
+    assert [(r.speaker_id, r.flag) for r in free.collect()] == [(None, "provisional"), (None, "provisional"), (-1, ""), (-1, "")]
+    stored = make(spark, "speakers", [(30, 1, "old")], ["id", "channel_id", "name"]), make(spark, "speaker_embeddings", [(7, 30)], ["id", "speaker_id"])
+    told, who, voices = speakers.promote(free, *stored, "m", stamp("2026-01-01 00:00:00"))
+    assert [r.speaker_id for r in told.orderBy("segment_id").collect()] == [None, None, 31, 31]
+    assert {(r.id, r.name) for r in who.collect()} == {(30, "old"), (31, "speaker_31")}
+    new = voices.where("speaker_id = 31").first()
+    assert new.id == 8 and list(new.embedding) == [1.0, 0.0, 0.0] and new.seconds == 6.0 and new.source == "pipeline"
+
+
+def test_edits_keep_foreign_config_keys(spark):
+    docs = [(1, '{"content_profile":"gaming","poll":7,"streamer":{"name":"x","extra":[1,"a",null]}}'), (2, "nonsense"), (3, None), (4, '{"auto_monitor":true}')]
+    edits = spark.createDataFrame([(1, True, None), (2, False, 'p"q'), (3, None, "z"), (99, True, None)], "channel_id long, auto_monitor boolean, content_profile string")
+    got = {r.id: r.config_json for r in channels.set_config(spark.createDataFrame(docs, "id long, config_json string"), edits).collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == {
+        1: {"content_profile": "gaming", "poll": 7, "streamer": {"name": "x", "extra": [1, "a", None]}, "auto_monitor": True},
+        2: {"auto_monitor": False, "content_profile": 'p"q'}, 3: {"content_profile": "z"}, 4: {"auto_monitor": True},
+    }
+
+
+def test_beats_replies_are_checked(spark):
+    beat = {"headline": "h", "significance": 3, "event_ids": [1]}
+    replies = {
+        "ok": {"beats": [beat] * 4}, "none": {}, "long": {"beats": [beat] * 5}, "low": {"beats": [{**beat, "significance": 0}]},
+        "high": {"beats": [{**beat, "significance": 6}]}, "bare": {"beats": [{"headline": "h", "significance": 3}]},
+    }
+    rows = [(k, json.dumps(v)) for k, v in replies.items()] + [("bad", "no json"), ("null", None)]
+    got = documents.parse_beats(spark.createDataFrame(rows, "k string, raw string")).where("proposal IS NOT NULL")
+    assert sorted(one(got, "k")) == ["none", "ok"]
+
+
+def test_all_due_work_is_done_by_default(spark):
+    s = make(spark, "sessions", [(i, 1, "ended", "2026-01-01 00:00:00", "2026-01-01 00:30:00") for i in range(5)], ["id", "channel_id", "status", "started_at", "ended_at"])
+    events = make(spark, "events", [(i, i, 1, 3) for i in range(5)], ["id", "session_id", "window_id", "importance"])
+    assert final.pending(s, events, stamp("2026-01-01 01:00:00")).count() == 5
+    assert final.pending(s, events, stamp("2026-01-01 01:00:00"), limit=2).count() == 2
 
 
 def test_retention_counts(spark):
@@ -419,16 +453,20 @@ def test_session_lookup(spark):
 
 def test_wav_source(spark):
     root = tempfile.mkdtemp(prefix="recapflow-wav-")
-    for name, rate, seconds in (("ok", 8000, 1.0), ("short", 16000, 0.1)):
+    for name, rate, seconds in (("ok", 8000, 1.0), ("short", 16000, 0.1), ("long", 8000, 90.0)):
         with wave.open(f"{root}/{name}.wav", "wb") as f:
             f.setnchannels(1)
             f.setsampwidth(2)
             f.setframerate(rate)
             f.writeframes(struct.pack("<h", 16384) * int(rate * seconds))
-    got = {r.file.rsplit("/", 1)[1]: (r.status, r.seconds) for r in audio.wav_samples(spark, root).collect()}
-    assert got == {"ok.wav": ("ok", 1.0), "short.wav": ("duration", 0.1)}
-    frames = audio.wav_frames(spark, root)
-    assert frames.count() == 32 and one(frames, "rms")[0] == pytest.approx(0.5)
+    with open(f"{root}/bad.wav", "wb") as f:
+        f.write(b"no sound")
+    files = audio.wav_status(spark, root)
+    got = {r.file.rsplit("/", 1)[1]: (r.status, r.seconds) for r in audio.enrolment_check(files).collect()}
+    assert got == {"ok.wav": ("ok", 1.0), "short.wav": ("duration", 0.1), "long.wav": ("duration", 90.0), "bad.wav": ("unreadable", 0.0)}
+    assert sorted(one(files, "status")) == ["ok", "ok", "ok", "unreadable"]
+    frames = audio.wav_frames(spark, root).cache()
+    assert frames.count() == 32 + 4 + 2813 and one(frames, "rms")[0] == pytest.approx(0.5)
 
 
 def test_tables_round_trip(spark):

@@ -53,6 +53,28 @@ def test_hours_close_once(spark):
     assert rows == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
 
 
+def test_windows_count_on_after_silence(spark):
+    def say(rows):
+        df = spark.createDataFrame(rows, "session_id long, id long, t double, ended boolean")
+        return df.select("session_id", "id", F.col("t").alias("t_start"), (F.col("t") + 5).alias("t_end"), F.lit(3).cast("long").alias("n_words"), at(F.col("t")).alias("ts"), "ended")
+
+    stream = landed(spark, say([(1, 1, 0.0, False)]), say([(2, 9, 5000.0, False)]), say([(2, 10, 5001.0, False)]), say([(1, 2, 5002.0, False)]),
+                    say([(1, 3, 5010.0, True)]), say([(2, 11, 9000.0, False)]), say([(1, 4, 9001.0, False)]), say([(2, 12, 20000.0, False)]), say([(2, 13, 20001.0, False)]))
+    drain(stateful.windows(stream), "resumed")
+    got = sorted((r.window_no, tuple(r.segment_ids)) for r in spark.table("resumed").where("session_id = 1").collect())
+    assert got == [(1, (1,)), (1, (4,)), (2, (2, 3))]  # after its end a session starts anew
+
+
+def test_hours_of_an_ended_session(spark):
+    def act(rows):
+        df = spark.createDataFrame(rows, "session_id long, s double, t double, e double")
+        return df.select("session_id", at(F.col("s")).alias("started_at"), at(F.col("t")).alias("ts"), F.when(F.col("e").isNotNull(), at(F.col("e"))).alias("ended_at"))
+
+    stream = landed(spark, act([(1, 0.0, 10.0, None)]), act([(1, 0.0, 5000.0, 5000.0)]), act([(2, 0.0, 6000.0, None)]), act([(2, 0.0, 200000.0, None)]), act([(3, 0.0, 200001.0, None)]))
+    drain(stateful.hours(stream), "ended")
+    assert sorted(r.hour for r in spark.table("ended").where("session_id = 1").collect()) == [0, 1]
+
+
 def test_sessions_end_after_silence(spark):
     def act(ts):
         return spark.createDataFrame([("a", float(t)) for t in ts], "source string, t double").select("source", at(F.col("t")).alias("ts"))
