@@ -203,7 +203,7 @@ class Encoder:
         return ids, np.add.reduceat(n, begin).astype(np.int64) if len(begin) else np.empty(0, np.int64)
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, chars: int = 20_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about so many bytes of text; a longer text is a run of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
     start = 0
