@@ -12,8 +12,8 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from recapflow.llm import common
 
 SHARD_IDS = 1 << 20
 _MAGIC, _HEAD = b"RFWM1\0", "<6sBQ"  # magic, planes, ids; then the compressed planes
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 2_000_000
 
 
 class WaveletMatrix:
@@ -153,11 +153,6 @@ def _picked(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(shift, n) + np.arange(int(n.sum()), dtype=np.int32)], n
 
 
-def _gathered(pieces: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
-    return _picked(np.frombuffer(b"".join(pieces), "<u4"), size, code)
-
-
 class Encoder:
     """Ids of whole texts by a tokenizers file that lower-cases and treats white space as a border between words.
 
@@ -169,30 +164,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-
-    def _learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for w, e in zip(part, self.many(part, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.flat, self.size = np.empty(0, "<u4"), np.empty(0, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            ids = [e.ids for e in self.many(words[at:at + 20_000], add_special_tokens=False)]
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), "<u4")])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int32, len(ids))])
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in order, number of ids of each); words are distinct."""
+        if len(self.words) > _CACHED_WORDS:
+            self._forget()
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = words.filter(pc.is_null(at))
+            unknown = pc.is_null(at).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).copy()
+            at[unknown] = len(self.words) + np.arange(len(new))
+            self._learn(new.to_pylist())
+        else:
+            at = at.to_numpy()
+        return _picked(self.flat, self.size, at)
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all distinct words in order, number of ids of each)."""
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
         special = pc.match_substring(words, "<|")
         words = pc.if_else(special, words, pc.ascii_lower(words))
         stop = pc.and_not(pc.match_substring_regex(words, "[a-z][.,]$"), special)
         heads = pc.if_else(stop, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
-        names = heads.dictionary.to_pylist()
-        self._learn({*names, ".", ","})
-        ids, size = _gathered(list(map(self.known.__getitem__, names)), heads.indices.to_numpy())
+        ids, size = _picked(*self._known(heads.dictionary), heads.indices.to_numpy())
         stop = stop.to_numpy(zero_copy_only=False)
-        mark = np.where(pc.ends_with(words, ",").to_numpy(zero_copy_only=False)[stop], *(np.frombuffer(self.known[x], "<u4")[0] for x in ",."))
-        return np.insert(ids, np.cumsum(size)[stop], mark.astype("<u4")), size + stop
+        comma = pc.ends_with(words, ",").to_numpy(zero_copy_only=False)[stop]
+        marks = [e.ids for e in self.many([",", "."], add_special_tokens=False)]
+        return np.insert(ids, np.cumsum(size)[stop], np.where(comma, *np.array(marks, "<u4")[:, 0])), size + stop
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each)."""
