@@ -65,50 +65,47 @@ def _max_id(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
 
 
-def _bounded(text: str, delta: str, limit: int = 2000, head: int = 400) -> str:
-    joined = f"{text} {delta}".strip()
-    if len(joined) <= limit:
-        return joined
-    keep = limit - head - len(X.ELLIPSIS)
-    return joined[:head].rstrip() + X.ELLIPSIS + joined[-keep:].lstrip()
+class _Digest:
+    """Text of one id, growing by deltas. What goes beyond the limit is cut out behind the first characters."""
+    LIMIT, FIRST = 2000, 400
+
+    def __init__(self) -> None:
+        self.key, self.text = None, ""
+
+    def feed(self, rows: dict[str, list]) -> list[tuple]:
+        self.key = rows["id"][0]
+        for pos, delta in zip(rows["pos"], rows["delta"]):
+            if pos < 0:
+                self.text = delta or ""
+                continue
+            self.text = " ".join((self.text, delta)).strip()
+            over = len(self.text) - self.LIMIT
+            if over > 0:
+                rest = self.text[self.FIRST + over + len(X.ELLIPSIS):]
+                self.text = "".join((self.text[:self.FIRST].rstrip(), X.ELLIPSIS, rest.lstrip()))
+        return []
+
+    def finish(self) -> list[tuple]:
+        return [(self.key, self.text)]
 
 
 def fold_text(base: DataFrame, deltas: DataFrame) -> DataFrame:
     """(id, text): ``base`` (id, text) with the ``deltas`` (id, window_id, pos, delta) appended in order, each
     step bounded. One row at a time flows through a state of at most 2000 characters."""
-    class Append:
-        def __init__(self) -> None:
-            self.key, self.text = None, ""
-
-        def feed(self, rows: dict[str, list]) -> list[tuple]:
-            self.key = rows["id"][0]
-            for pos, delta in zip(rows["pos"], rows["delta"]):
-                self.text = (delta or "") if pos < 0 else _bounded(self.text, delta)
-            return []
-
-        def finish(self) -> list[tuple]:
-            return [(self.key, self.text)]
-
     told = deltas.where("delta IS NOT NULL AND delta <> ''").select("id", "window_id", "pos", "delta")
     seeds = base.join(told.select("id"), "id", "left_semi").select(
         "id", F.lit(-1).cast("bigint").alias("window_id"), F.lit(-1).alias("pos"), F.col("text").alias("delta")
     )
-    return fold_sorted(seeds.unionByName(told), ["id"], ["window_id", "pos"], Append, "id BIGINT, text STRING")
+    return fold_sorted(seeds.unionByName(told), ["id"], ["window_id", "pos"], _Digest, "id BIGINT, text STRING")
 
 
 def _entities(ext: DataFrame, entities: DataFrame, aliases: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, aliases, (window_id, ref, entity_id))."""
     updates = gated(ext, "entity_updates", "entity", p).where("outcome = 'applied'")
-    found = settled(resolve.resolve(updates, entities, aliases))
-    fresh = found.where("entity_id IS NULL").withColumn("lname", F.lower("name"))
-    first = fresh.groupBy("channel_id", "lname").agg(
-        F.min_by(F.struct("name", "type", "session_id", "window_id", "pos"), F.struct("window_id", "pos")).alias("f")
-    ).select("channel_id", "lname", "f.*")
-    numbered = settled(next_ids(first, ["window_id", "pos"], id_block("window_id"), _max_id(entities), "new_id"))
-    new_ids = numbered.select("channel_id", "lname", "new_id")
-    known = found.withColumn("lname", F.lower("name")).join(new_ids, ["channel_id", "lname"], "left").withColumn(
-        "id", F.coalesce("entity_id", "new_id")
-    )
+    found = settled(resolve.resolve_in_order(updates, entities, aliases))
+    numbered = settled(next_ids(found.where("tier = 5"), ["window_id", "pos"], id_block("window_id"), _max_id(entities), "new_id"))
+    new_ids = numbered.select(F.col("window_id").alias("made_window"), F.col("pos").alias("made_pos"), "new_id")
+    known = found.join(new_ids, ["made_window", "made_pos"], "left").withColumn("id", F.coalesce("entity_id", "new_id"))
     created = numbered.select(
         F.col("new_id").alias("id"), "channel_id", "type", F.col("name").alias("canonical_name"), F.lit(None).cast("string").alias("description"),
         F.lit("provisional").alias("status"), F.lit(None).cast("bigint").alias("merged_into"), F.lit(False).alias("needs_review"),
@@ -215,7 +212,7 @@ def apply(ext: DataFrame, memory: Memory, p: Params = DEFAULTS) -> Memory:
     entities, aliases, entity_refs = _entities(ext, memory.entities, memory.entity_aliases, p)
     grown, updates, thread_refs = _threads(ext, memory.threads, p)
     proposed = gated(ext, "events", "event", p).where("outcome = 'applied'")
-    placed = link(proposed, "thread_ref", thread_refs, memory.threads, "T", "thread_id")
+    placed = link(proposed, "thread_ref", thread_refs, grown, "T", "thread_id")
     numbered = settled(next_ids(placed, ["window_id", "pos"], id_block("window_id"), _max_id(memory.events)))
     new_events = numbered.select(
         "id", "session_id", "window_id", "t_start", "t_end", "type", F.coalesce("description", F.lit("")).alias("description"),
@@ -234,8 +231,3 @@ def apply(ext: DataFrame, memory: Memory, p: Params = DEFAULTS) -> Memory:
         memory.event_participants.unionByName(participants.select(*memory.event_participants.columns)),
         upsert(memory.attributions, told.select(*memory.attributions.columns), ["segment_id"], [F.lit(1)]),
     )
-
-
-def same_channel(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
-    """Rows whose reference ``key`` exists in the same channel in ``owners`` (channel_id, id)."""
-    return rows.join(owners.select("channel_id", F.col("id").alias(key)), ["channel_id", key], "left_semi")

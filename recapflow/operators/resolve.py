@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recapflow.functions import text as X
+from recapflow.functions.folds import fold_sorted
+from recapflow.functions.groups import connected
 from recapflow.functions.ordered import top_n
 from recapflow.functions.stages import settled
 from recapflow.functions.similar import similar_keys, similar_within, token_key
@@ -92,11 +94,19 @@ def _first_entity(matches: DataFrame, keys: Sequence[str], tier: int) -> DataFra
 
 
 def resolve(refs: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Resolve (channel_id, ref) to stored entities: see ``_answers``. Adds ``name``, ``entity_id`` (NULL for new),
+    ``tier`` and ``needs_review``."""
+    keys = ["channel_id", "ref"]
+    answered = _answers(refs, entities, aliases).select(*keys, "name", "entity_id", "tier", (F.col("tier") == 4).alias("needs_review"))
+    return refs.join(answered, keys)
+
+
+def _answers(refs: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Resolve (channel_id, ref) to entities: by id, exact alias, exact canonical name, best token-set
     score of at least 90 (names of three letters or more), else a new provisional entity.
 
-    Adds ``name``, ``entity_id`` (NULL for new), ``tier`` and ``needs_review``. Every tier works on the
-    distinct references left over by the earlier ones."""
+    One row per distinct reference: name, lname, entity_id (NULL for new), tier and the score of tier 4. Every tier
+    works on the references left over by the earlier ones."""
     keys = ["channel_id", "ref"]
     # The distinct references feed every tier, so they are worked out once.
     parsed = settled(refs.select(*keys).distinct().withColumn("p", parse_ref(F.col("ref"))).select(
@@ -122,14 +132,112 @@ def resolve(refs: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFra
         F.min(F.struct((-F.col("score")).alias("s"), "entity_id")).alias("m")
     )
     fuzzy = long.join(top.withColumnRenamed("key_a", "key"), ["channel_id", "key"]).select(
-        *keys, F.col("m.entity_id").alias("entity_id"), F.lit(4).alias("tier")
+        *keys, F.col("m.entity_id").alias("entity_id"), F.lit(4).alias("tier"), (-F.col("m.s")).alias("score")
     )
-    known = by_id.unionByName(best).unionByName(fuzzy)
-    answered = parsed.join(known, keys, "left").select(
-        *keys, "name", "entity_id", F.coalesce("tier", F.lit(5)).alias("tier"),
-        (F.coalesce("tier", F.lit(5)) == 4).alias("needs_review"),
+    known = by_id.unionByName(best).unionByName(fuzzy, allowMissingColumns=True)
+    return parsed.join(known, keys, "left").select(*keys, "name", "lname", "entity_id", F.coalesce("tier", F.lit(5)).alias("tier"), "score")
+
+
+class _InOrder:
+    """References of one group of related names in the order they were written. ``known`` maps a name to the entity it
+    leads to so far: (0, stored id, 0), or (1, window, position) of the reference that made a new one; stored entities
+    and earlier ones come first, as their ids do."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple] = {}
+        self.near: dict[str, list[tuple[str, float]]] = {}
+
+    def learn(self, name: str, entity: tuple) -> None:
+        self.known[name] = min(entity, self.known.get(name, entity))
+
+    def decide(self, name: str, place: tuple, stored: tuple | None, tier: int, score: float | None) -> tuple[tuple, int]:
+        named = self.known.get(name)
+        if tier == 1 or (tier == 3 and named is None):
+            return stored, tier
+        if named is not None or tier == 2:
+            return min(x for x in (named, stored if tier == 2 else None) if x is not None), 2
+        close = [(-s, self.known[other]) for other, s in self.near.get(name, []) if other in self.known]
+        close += [(-score, stored)] if tier == 4 else []
+        if close:
+            return min(close)[1], 4
+        self.learn(name, place)
+        return place, 5
+
+    def feed(self, rows: dict[str, list]) -> list[tuple]:
+        out = []
+        for kind, channel, window, pos, name, other, score, entity, tier, seen in zip(
+            *(rows[c] for c in ("kind", "channel_id", "window_id", "pos", "lname", "other", "score", "entity_id", "tier", "seen"))
+        ):
+            stored = None if entity != entity or entity is None else (0, int(entity), 0)
+            if kind == 0:
+                self.near.setdefault(name, []).append((other, score))
+            elif kind == 1:
+                self.learn(name, stored)
+            else:
+                found, how = self.decide(name, (1, window, pos), stored, int(tier), score)
+                for alias in seen if seen is not None else ():
+                    self.learn(alias, found)
+                old = found[1] if found[0] == 0 else None
+                new = found[1:] if found[0] == 1 else (None, None)
+                out.append((channel, window, pos, old, *new, how))
+        return out
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
+_DECIDED = "channel_id BIGINT, window_id BIGINT, pos INT, entity_id BIGINT, made_window BIGINT, made_pos INT, tier INT"
+
+
+def resolve_in_order(updates: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Resolve a batch of updates (channel_id, window_id, pos, ref, aliases_seen) as if written one by one: a name or
+    alias can be matched from the place on where it was first written. Adds name, entity_id or, for entities made in
+    the batch, the place (made_window, made_pos) of the update that made it, tier and needs_review.
+
+    What the stored tables decide is found once for all. Only names that they leave open, and stored names that the
+    batch uses as aliases, depend on the order; these are split into groups connected by likeness or by a common
+    update, and each group's rows stream through a small state. A reference by id must name a stored entity."""
+    keys, place = ["channel_id", "ref"], ["channel_id", "window_id", "pos"]
+    answers = settled(_answers(updates, entities, aliases))
+    seen = F.filter(F.transform(F.coalesce("aliases_seen", F.array()), lambda a: F.lower(a)), lambda a: a.isNotNull())
+    rows = settled(updates.select(*place, "ref", seen.alias("seen")).join(answers, keys))
+    spoken = rows.select("channel_id", F.explode("seen").alias("lname")).distinct()
+    open_ = F.col("tier") >= 4
+    ordered = rows.where(open_).unionByName(rows.where(F.col("tier").isin(2, 3)).join(spoken, ["channel_id", "lname"], "left_semi"))
+    fixed = rows.join(ordered.select(*place), place, "left_anti")
+
+    # new names and aliases of the batch that an open name is like
+    fresh = answers.where(open_).select("channel_id", "lname").union(spoken).distinct().withColumn("key", token_key(F.col("lname")))
+    asking = answers.where(open_ & (F.length("name") >= 3)).select("channel_id", "lname").distinct().withColumn("key", token_key(F.col("lname")))
+    close = similar_keys(asking.select("channel_id", "key"), fresh.select("channel_id", "key"), ["channel_id"], RESOLVE_SCORE)
+    near = settled(
+        close.join(asking.withColumnRenamed("key", "key_a"), ["channel_id", "key_a"])
+        .join(fresh.withColumnsRenamed({"key": "key_b", "lname": "other"}), ["channel_id", "key_b"])
+        .where("lname <> other").select("channel_id", "lname", "other", "score")
     )
-    return refs.join(answered, keys)
+    node = lambda name: F.xxhash64("channel_id", name)
+    links = near.select(node("lname").alias("a"), node("other").alias("b")).union(
+        ordered.select("channel_id", "lname", F.explode("seen").alias("other")).select(node("lname"), node("other"))
+    )
+    roots = connected(links).withColumnRenamed("node", "grp")
+    told = fixed.select("channel_id", "window_id", "pos", F.explode("seen").alias("lname"), "entity_id").groupBy("channel_id", "lname", "entity_id").agg(
+        F.min(F.struct("window_id", "pos")).alias("at")
+    )
+    start = F.lit(-(2**62)).cast("bigint")
+    none = lambda kind: F.lit(None).cast(kind)
+    events = near.select(
+        F.lit(0).alias("kind"), "channel_id", start.alias("window_id"), F.lit(0).alias("pos"), "lname", "other", "score",
+        none("bigint").alias("entity_id"), none("int").alias("tier"), none("array<string>").alias("seen"),
+    ).unionByName(told.select(
+        F.lit(1).alias("kind"), "channel_id", "at.window_id", "at.pos", "lname", none("string").alias("other"), none("double").alias("score"),
+        "entity_id", none("int").alias("tier"), none("array<string>").alias("seen"),
+    )).unionByName(ordered.select(
+        F.lit(2).alias("kind"), *place, "lname", none("string").alias("other"), "score", "entity_id", "tier", "seen",
+    ))
+    grouped = events.withColumn("grp", node("lname")).join(roots, "grp", "left").withColumn("grp", F.coalesce("root", "grp")).drop("root")
+    decided = fold_sorted(grouped, ["grp"], ["window_id", "pos", "kind"], _InOrder, _DECIDED)
+    done = decided.unionByName(fixed.select(*place, "entity_id", "tier"), allowMissingColumns=True)
+    return updates.join(done, place).join(answers.select(*keys, "name"), keys).withColumn("needs_review", F.col("tier") == 4)
 
 
 def follow_merges(entities: DataFrame, rounds: int = 40) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small seeded cases with known answers."""
 
+import collections
 import itertools
 import json
 import random
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recapflow.functions import fuzzy, similar, text as X, times as TM
+from recapflow.functions.stages import written
 from recapflow.functions.ordered import id_block, last_before, previous, running_sum, top_n
 from recapflow.operators import (
     context, evaluation, extract, final, guards, infer, memory, mentions, recap, resolve, retention, sessions, speakers, summaries, timeline, transcript, triage, windows,
@@ -246,6 +248,88 @@ def test_memory_quarantine_and_writing(spark):
     assert [(r.status, r.summary) for r in later.threads.collect()] == [("open", "started over")]
 
 
+def test_batches_do_not_change_memory(spark):
+    """One batch gives what writing window by window gives, on stored state with merged rows and repeated mentions."""
+    parts = ["Kael", "Vane", "Blade", "Runner", "Mirelle", "Ash", "Mira"]
+
+    def documents_of(seed, n):
+        r = random.Random(seed)
+        name = lambda: " ".join(r.sample(parts, r.choice([1, 1, 2, 3])))
+        docs = []
+        for k in range(n):
+            ups = [{
+                "ref": r.choice(["NEW:", "NEW:", ""]) + name() if r.random() < 0.85 else f"E{r.randrange(1, 5)}", "type": "person", "confidence": r.choice([0.9, 0.9, 0.1]),
+                "description_delta": f"d{k}.{j} " + "x" * r.choice([0, 0, 900]), "aliases_seen": [name() for _ in range(r.choice([0, 0, 1, 2]))],
+            } for j in range(r.randrange(5))]
+            docs.append({
+                "entity_updates": ups, "thread_updates": [{"ref": r.choice(["T1", "NEW:a_b"]), "status": r.choice(["open", "resolved"]), "delta": f"t{k}", "confidence": 0.9}],
+                "events": [{"t_start": 0, "t_end": 1, "type": "plot", "confidence": 0.9, "importance": r.randrange(1, 6), "thread_ref": "T1", "participants": [u["ref"] for u in ups]}],
+            })
+        return docs
+
+    stored = empty_memory(spark)
+    stored.entities = make(spark, "entities", [(1, 1, "Kael Vane", "confirmed", 3, "old"), (2, 1, "Ash", "merged", 1, None), (3, 2, "Blade", "confirmed", 1, None)],
+                           ["id", "channel_id", "canonical_name", "status", "mention_count", "description"]).na.fill(False, ["needs_review"])
+    stored.entity_aliases = make(spark, "entity_aliases", [(1, "The Blade"), (2, "Runner")], ["entity_id", "alias"])
+    stored.threads = make(spark, "threads", [(1, 1, "story", "open", "so far")], ["id", "channel_id", "title", "status", "summary"])
+
+    def shown(m):
+        who = sorted((r.id, r.canonical_name, r.mention_count, r.status, r.description or "", bool(r.needs_review)) for r in m.entities.collect())
+        also = sorted((r.entity_id, r.alias) for r in m.entity_aliases.collect())
+        told = sorted((r.id, r.title, r.status, r.summary, r.importance) for r in m.threads.collect())
+        return who, also, told, sorted((r.event_id, r.entity_id) for r in m.event_participants.collect())
+
+    ext = batch(spark, documents_of(2, 10)).cache()
+    m = stored
+    for part in ("window_id <= 3", "window_id BETWEEN 4 AND 7", "window_id >= 8"):
+        m = memory.apply(ext.where(part), m)
+        m = memory.Memory(*[written(x) for x in vars(m).values()])
+    whole = shown(memory.apply(ext, stored))
+    assert whole == shown(m) and any(r[2] > 3 for r in whole[0])
+
+
+def test_order_of_names_one_by_one(spark):
+    """The grouped fold against a plain loop over all references."""
+    r = random.Random(7)
+    parts = ["Kael", "Vane", "Blade", "Runner", "Mirelle", "Ash", "Mira", "Blades"]
+    name = lambda: " ".join(r.sample(parts, r.choice([1, 1, 2, 3])))
+    rows = [(1 + k % 2, k // 3, k % 3, r.choice(["NEW:", ""]) + name(), [name() for _ in range(r.choice([0, 0, 1, 2]))]) for k in range(120)]
+    stored = [(1, 1, "Kael Vane"), (2, 1, "Ash"), (3, 2, "Blade")]
+    also = [(1, "The Blade"), (2, "Runner")]
+    ents = make(spark, "entities", [(*x, "confirmed") for x in stored], ["id", "channel_id", "canonical_name", "status"])
+    df = spark.createDataFrame(rows, "channel_id long, window_id long, pos int, ref string, aliases_seen array<string>")
+    got = {(x.channel_id, x.window_id, x.pos): (x.entity_id, x.made_window, x.made_pos, x.tier) for x in
+           resolve.resolve_in_order(df, ents, make(spark, "entity_aliases", also, ["entity_id", "alias"])).collect()}
+    alias, canon = collections.defaultdict(list), collections.defaultdict(list)
+    for i, c, n in stored:
+        canon[c, n.lower()].append((0, i, 0))
+        for e, a in also:
+            if e == i:
+                alias[c, a.lower()].append((0, i, 0))
+    want = {}
+    for c, w, p, ref, seen in sorted(rows, key=lambda x: (x[1], x[2])):
+        n = ref.removeprefix("NEW:").lower()
+        if alias[c, n] or canon[c, n]:
+            e, tier = (min(alias[c, n]), 2) if alias[c, n] else (min(canon[c, n]), 3)
+        else:
+            scored = [(-fuzzy.token_set_ratio(n, k), x) for d in (alias, canon) for (ch, k), v in list(d.items()) if ch == c for x in v]
+            close = [x for x in scored if -x[0] >= 90]
+            e, tier = (min(close)[1], 4) if close else ((1, w, p), 5)
+            if tier == 5:
+                alias[c, n].append(e)
+        for a in seen:
+            alias[c, a.lower()].append(e)
+        want[c, w, p] = (*((e[1], None, None) if e[0] == 0 else (None, *e[1:])), tier)
+    assert got == want and {2, 4, 5} <= {x[3] for x in want.values()}
+
+
+def test_names_of_a_batch_are_matched(spark):
+    names = ["NEW:Kael Vane", "NEW:Blade", "NEW:Kael"]
+    docs = [{"entity_updates": [{"ref": n, "type": "person", "aliases_seen": ["Blade"] if k == 0 else [], "confidence": 0.9}]} for k, n in enumerate(names)]
+    out = memory.apply(batch(spark, docs), empty_memory(spark)).entities.collect()
+    assert [(r.canonical_name, r.mention_count) for r in out] == [("Kael Vane", 3)]
+
+
 # ---------------------------------------------------------------- timeline, recap, context
 
 
