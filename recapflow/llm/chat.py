@@ -57,7 +57,7 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
         )
     )
     known = once.select(F.col("node").alias("up"))
-    jump = common.settled(
+    jump = common.written(
         once.select("node", F.col("parent").alias("up"), "score").join(known.withColumn("there", F.lit(True)), "up", "left")
         .select("node", F.when(F.col("there"), F.col("up")).alias("up"), "score", F.lit(1).cast("bigint").alias("depth"))
     )
@@ -67,7 +67,7 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
         further = jump.join(far, "up").select(  # only messages that have not met their root
             "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("deeper")).alias("depth"),
         )
-        jump = common.settled(jump.where("up IS NULL").select("node", "up", "score", "depth").union(further))
+        jump = common.written(jump.where("up IS NULL").select("node", "up", "score", "depth").union(further))
         was, open_ = open_, jump.where("up IS NOT NULL").count()
         if open_ == was:  # only cycles are left
             break
@@ -78,7 +78,7 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best).select("node", "branch")
     for step in reversed(jumps):
         up = chosen.join(step, "node").where("up IS NOT NULL").select(F.col("up").alias("node"), "branch")
-        chosen = common.settled(chosen.union(up))
+        chosen = common.written(chosen.union(up))
     return chosen.join(rooted.select("node", "depth"), "node").join(once.select("node", "role", "text"), "node").select(
         F.col("node.conv").alias("conv"), "branch", "depth", "role", "text",
     )

@@ -9,6 +9,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recapflow.functions.stages import settled, shared_folder, written  # noqa: F401  the operators take them from here
+
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: A table of at most this many rows may be sent to every executor; larger ones are joined through a salted shuffle.
@@ -37,16 +39,6 @@ def computed(df: DataFrame) -> DataFrame:
     return df.select(F.inline_outer(F.array(F.struct("*"))))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names. Only where none is named
-    and the master is local (tests) a temporary folder is made."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def per_process(name: str, make: Callable):
     """What ``make`` returned when a task of this worker process asked first; later tasks get the same object."""
     kept = sys.modules.setdefault("recapflow_worker_objects", types.ModuleType("recapflow_worker_objects")).__dict__
@@ -55,20 +47,6 @@ def per_process(name: str, make: Callable):
     return kept[name]
 
 
-def shared_folder(spark) -> str:
-    """The folder all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    made = "file://" + tempfile.mkdtemp(prefix="recapflow-llm-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def join_small(
     df: DataFrame, small: DataFrame, on: Sequence[str], rows: int, salt: Column, how: str = "inner",
     bound: int | None = None,

@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from brute import prose
 
-from recapflow.llm import components, ngram_join, quality_classifier, queries, secrets, token_counts, token_files
+from recapflow.functions import groups as components
+from recapflow.llm import ngram_join, quality_classifier, queries, secrets, token_counts, token_files
 
 
 def counted(df, *cols):
