@@ -170,11 +170,22 @@ def test_similar_pairs_are_complete(spark):
     names = sorted({" ".join(rnd.choice(words) + rnd.choice(["", "", "s", "a"]) for _ in range(rnd.choice([1, 2, 3]))) for _ in range(160)})
     df = spark.createDataFrame([(0, n) for n in names], "g int, name string").select("g", similar.token_key(F.col("name")).alias("key")).distinct()
     keys = one(df, "key")
-    for threshold in (80.0, 90.0):
+    for threshold in (50.0, 67.0, 72.0, 80.0, 90.0):
         want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(keys, 2) if fuzzy.token_set_ratio(a, b) >= threshold}
         assert {(r.key_a, r.key_b) for r in similar.similar_within(df, ["g"], threshold).collect()} == want
 
 
+def test_few_candidates_in_a_large_channel(spark):
+    rnd = random.Random(1)
+    syllables = [a + b for a in "bcdfghklmnprstvwz" for b in "aeiou"]
+    names = set()
+    while len(names) < 20_000:
+        names.add(" ".join(sorted("".join(rnd.choices(syllables, k=rnd.choice([2, 3]))) for _ in range(rnd.choice([1, 2, 2, 3])))))
+    df = spark.createDataFrame([(0, n) for n in names], "g int, key string").repartition(8).cache()
+    for threshold in (85.0, 90.0):
+        assert similar.candidates(df, ["g"], threshold).count() <= 0.01 * 20_000 * 19_999 / 2
+
+
 def test_mentions(spark):
     names = spark.createDataFrame([(1, 1, "Kael"), (1, 2, "Marcus Webb"), (1, 3, "X"), (1, 4, "!!"), (1, 5, "don")], "channel_id int, id int, name string")
     texts = spark.createDataFrame([(1, 1, "kael's plan"), (1, 2, "MARCUS WEBB!! left"), (1, 3, "Kaels x donut"), (2, 4, "Kael")], "channel_id int, w int, text string")
