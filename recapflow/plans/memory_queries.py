@@ -92,17 +92,17 @@ def _refs(t: Tables) -> DataFrame:
 
 
 @query("resolve_refs", """SELECT DISTINCT r.channel_id, r.ref, coalesce(i.id, al.id, cn.id) AS entity_id,
-    CAST(CASE WHEN i.id IS NOT NULL THEN 1 WHEN al.id IS NOT NULL THEN 2 ELSE 3 END AS INTEGER) AS tier
+    CAST(CASE WHEN i.id IS NOT NULL THEN 1 WHEN al.id IS NOT NULL THEN 2 WHEN cn.id IS NOT NULL THEN 3 ELSE 4 END AS INTEGER) AS tier
     FROM (SELECT *, CASE WHEN ref LIKE 'NEW:%' THEN substr(ref, 5) ELSE ref END AS name FROM refs) r
     LEFT JOIN entities i ON 'E' || i.id = r.ref AND i.channel_id = r.channel_id AND i.status <> 'merged'
     LEFT JOIN (SELECT e.channel_id, lower(a.alias) AS n, min(e.id) AS id FROM aliases a JOIN entities e ON e.id = a.entity_id GROUP BY 1, 2) al ON al.channel_id = r.channel_id AND al.n = lower(r.name)
-    LEFT JOIN (SELECT channel_id, lower(canonical_name) AS n, min(id) AS id FROM entities GROUP BY 1, 2) cn ON cn.channel_id = r.channel_id AND cn.n = lower(r.name)
-    WHERE coalesce(i.id, al.id, cn.id) IS NOT NULL""", ("entities", "aliases"), """refs AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS BIGINT) AS channel_id,
+    LEFT JOIN (SELECT channel_id, lower(canonical_name) AS n, min(id) AS id FROM entities GROUP BY 1, 2) cn ON cn.channel_id = r.channel_id AND cn.n = lower(r.name)""", ("entities", "aliases"), """refs AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS BIGINT) AS channel_id,
     CASE l_partkey % 5 WHEN 0 THEN 'E' || l_partkey WHEN 1 THEN 'NEW:' || upper(p_name) WHEN 2 THEN lower(p_type) || ' ' || p_size WHEN 3 THEN reverse(p_name) ELSE 'Nobody at all' END AS ref
     FROM lineitem JOIN part ON p_partkey = l_partkey)""")
 def resolve_refs(t: Tables) -> DataFrame:
-    """The references settled by id or exact name."""
-    return resolve.resolve(_refs(t), t.entities, t.aliases).where("tier <= 3").select("channel_id", "ref", "entity_id", "tier")
+    """All references: those settled by id or exact name with their entity, the rest (fuzzy or new) as tier 4."""
+    out = resolve.resolve(_refs(t), t.entities, t.aliases)
+    return out.select("channel_id", "ref", F.when(F.col("tier") <= 3, F.col("entity_id")).alias("entity_id"), F.least("tier", F.lit(4)).alias("tier"))
 
 
 @query("resolve_fuzzy")
@@ -308,11 +308,10 @@ def voice_library(t: Tables) -> DataFrame:
     """Newest voice per supplier among its shipped lines, for suppliers with consent."""
     e = t.read("lineitem").select(
         (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("speaker_id"),
-        F.array(F.col("l_partkey").cast("float"), F.lit(0.0).cast("float")).alias("embedding"), F.lit(2).alias("dim"), F.when(F.col("l_returnflag") == "A", "m").otherwise("n").alias("model"))
+        F.array(F.col("l_partkey").cast("float"), F.lit(1000.0).cast("float")).alias("embedding"), F.lit(2).alias("dim"), F.when(F.col("l_returnflag") == "A", "m").otherwise("n").alias("model"))
     s = t.read("supplier").select(F.col("s_suppkey").alias("id"), F.lit(0).cast("bigint").alias("channel_id"))
-    out = speakers.library(e.withColumn("raw", F.col("embedding")), s, _consents(t), ts(NOW), "m", 2)
-    newest = e.where("model = 'm'").groupBy("speaker_id").agg(F.max_by(F.col("embedding")[0], "id").alias("v"))
-    return out.join(newest, "speaker_id").select("speaker_id", F.col("v").cast("bigint").alias("dim_value"))
+    out = speakers.library(e, s, _consents(t), ts(NOW), "m", 2)  # the direction of the chosen vector tells which one it was
+    return out.select("speaker_id", F.round(F.col("embedding")[0] / F.col("embedding")[1] * 1000).cast("bigint").alias("dim_value"))
 
 
 @query("enroll_check", "SELECT s_suppkey, s_acctbal > 0 AS allowed, CASE WHEN s_acctbal > 0 THEN '' ELSE 'consent required to enroll ''' || s_name || '''' END AS reason FROM supplier")
@@ -430,18 +429,17 @@ def stream_status(t: Tables) -> DataFrame:
     return channels.stream_status(landed).select("login", "stream_id")
 
 
-@query("watch_actions", f"""SELECT c.id AS channel_id, CASE WHEN c.id % 8 = 0 THEN 'update' WHEN l.id IS NOT NULL AND (epoch_us(TIMESTAMP '{NOW}') - epoch_us(l.ended_at)) / 1e6 <= 36000 * 60 THEN 'cooldown' ELSE 'start' END AS action
+@query("watch_actions", f"""SELECT c.id AS channel_id, CASE WHEN c.id % 8 = 0 THEN 'update' WHEN l.id IS NOT NULL AND (epoch_us(TIMESTAMP '{NOW}') - epoch_us(l.ended_at)) / 1e6 <= 36000 * 60 AND NOT EXISTS (SELECT 1 FROM segments g WHERE g.session_id = l.id) THEN 'cooldown' ELSE 'start' END AS action
     FROM (SELECT * FROM channels WHERE (k = 0 AND id % 2 = 0) OR (k = 2 AND id % 4 = 0)) c
     LEFT JOIN (SELECT channel_id, arg_max(id, id) AS id, arg_max(coalesce(ended_at, TIMESTAMP '1970-01-01'), id) AS ended_at FROM sessions WHERE source = 'live' GROUP BY channel_id) l ON l.channel_id = c.id
-    WHERE c.id % 3 <> 0""", ("channels", "sessions"))
+    WHERE c.id % 3 <> 0""", ("channels", "sessions", "segments"))
 def watch_actions(t: Tables) -> DataFrame:
-    """Actions of one tick; no session counts as having speech, the cool-down is 25 days."""
+    """Actions of one tick; the cool-down is 25 days."""
     from recapflow.operators import sessions
 
     status = t.channels.where("id % 3 <> 0").select("login", F.lit("s").alias("stream_id"), F.lit("t").alias("title"), F.lit("c").alias("category"))
     leases = t.channels.where("id % 8 = 0").select(F.concat(F.lit("live:"), F.col("id")).alias("key"), F.col("id").alias("session_id"), F.lit(1e12).alias("expires_at"))
-    silent = t.segments.where("session_id < 0")
-    return sessions.tick(t.channels, status, t.sessions, silent, leases, ts(NOW), Params(cooldown_minutes=36000.0)).select("channel_id", "action")
+    return sessions.tick(t.channels, status, t.sessions, t.segments, leases, ts(NOW), Params(cooldown_minutes=36000.0)).select("channel_id", "action")
 
 
 @query("schema_conform", "SELECT p_partkey AS id, p_name AS canonical_name, 'none' AS description, CAST(p_size AS BIGINT) AS mention_count FROM part")

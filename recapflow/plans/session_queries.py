@@ -144,9 +144,12 @@ def final_events(t: Tables) -> DataFrame:
     return chosen.select("session_id", "id", "importance", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query("recap_key", """SELECT s.id AS session_id, coalesce(max(e.id), 0) || ':' || coalesce(any_value(t.moved), '') AS key FROM ev_sessions s
+_KEY = """SELECT s.id AS session_id, coalesce(max(e.id), 0) || ':' || coalesce(any_value(t.moved), '') AS key FROM ev_sessions s
     LEFT JOIN ev_events e ON e.session_id = s.id LEFT JOIN (SELECT channel_id, strftime(max(last_updated_at), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS moved
-    FROM threads GROUP BY channel_id) t ON t.channel_id = s.channel_id GROUP BY s.id""", ("ev_sessions", "ev_events", "threads"))
+    FROM threads GROUP BY channel_id) t ON t.channel_id = s.channel_id GROUP BY s.id"""
+
+
+@query("recap_key", _KEY, ("ev_sessions", "ev_events", "threads"))
 def recap_key(t: Tables) -> DataFrame:
     return recap.keys(t.ev_sessions, t.ev_events, t.threads)
 
@@ -160,14 +163,18 @@ def full_key(t: Tables) -> DataFrame:
     return recap.full_keys(t.ev_sessions, t.ev_events)
 
 
-@query("recap_split", """SELECT k.session_id, k.key, CASE WHEN r.cache_key = k.key THEN 'cached' WHEN o.session_id IS NOT NULL THEN 'limited' ELSE 'build' END AS branch
-    FROM (SELECT session_id, max(id) || ':' AS key FROM ev_events GROUP BY session_id) k JOIN ev_recaps r ON r.session_id = k.session_id
-    LEFT JOIN (SELECT session_id FROM costs GROUP BY session_id HAVING sum(cost_usd) >= 1.5) o ON o.session_id = k.session_id""", ("ev_events", "ev_recaps", "costs"))
+@query("recap_split", f"""SELECT k.session_id, k.key, CASE WHEN r.cache_key = k.key THEN 'cached' WHEN o.session_id IS NOT NULL AND r.session_id IS NOT NULL THEN 'limited' WHEN o.session_id IS NOT NULL THEN 'rejected' ELSE 'build' END AS branch
+    FROM ({_KEY}) k LEFT JOIN saved r ON r.session_id = k.session_id
+    LEFT JOIN (SELECT session_id FROM costs GROUP BY session_id HAVING sum(cost_usd) >= 1.5) o ON o.session_id = k.session_id""", ("ev_sessions", "ev_events", "threads", "costs"),
+    f"saved AS (SELECT session_id, CASE WHEN session_id % 3 = 0 THEN key ELSE 'old' END AS cache_key FROM ({_KEY}) WHERE session_id % 3 < 2)")
 def recap_split(t: Tables) -> DataFrame:
-    """Key split where the channels have no storylines and sessions over 1.5 USD are paused."""
-    state = recap.keys(t.ev_sessions, t.ev_events, t.threads.where("channel_id < 0"))
+    """Key split with recaps of the present key, of an old one and without any; sessions over 1.5 USD are paused."""
+    state = recap.keys(t.ev_sessions, t.ev_events, t.threads)
+    kept = F.when(F.col("session_id") % 3 == 0, F.col("key")).otherwise("old")
+    saved = state.where("session_id % 3 < 2").select(
+        F.col("session_id").alias("id"), "session_id", F.lit("recap").alias("kind"), F.lit("told").alias("text"), kept.alias("cache_key"))
     paused = budget.session_spend(t.cost_windows, t.cost_summaries).withColumn("paused", F.col("session_spend") >= 1.5)
-    return recap.split_cached(state, t.ev_recaps, "recap", paused).select("session_id", "key", "branch")
+    return recap.split_cached(state, saved, "recap", paused).select("session_id", "key", "branch")
 
 
 _VOTE_COLS = ", ".join(

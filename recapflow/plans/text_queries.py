@@ -190,19 +190,19 @@ def replace_ids(t: Tables) -> DataFrame:
 @query("mentions", r"""SELECT DISTINCT d.doc_id, nm.name FROM (SELECT *, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+'))) AS w FROM documents) d
     JOIN nm ON nm.w = d.w AND contains(lower(d.text), lower(nm.name)) WHERE regexp_matches(lower(d.text), '(^|[^\p{L}\p{M}\p{N}\p{Pc}])' || regexp_escape(lower(nm.name)) || '([^\p{L}\p{M}\p{N}\p{Pc}]|$)')""", (),
     r"""nm AS (SELECT DISTINCT name, regexp_extract(lower(name), '[\p{L}\p{M}\p{N}\p{Pc}]+') AS w FROM (
-    SELECT array_to_string(regexp_split_to_array(text, '\s+')[1:2], ' ') AS name FROM benchmark))""")
+    SELECT text AS name FROM benchmark))""")
 def mentions_(t: Tables) -> DataFrame:
-    """Documents that contain the first two words of a benchmark item."""
-    name = F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ")
-    names = t.read("benchmark").select(F.lit(0).alias("channel_id"), name.alias("name")).distinct().withColumn("who", F.col("name"))
+    """Documents that contain a whole benchmark item."""
+    names = t.read("benchmark").select(F.lit(0).alias("channel_id"), F.col("text").alias("name")).distinct().withColumn("who", F.col("name"))
     texts = t.read("documents").select(F.lit(0).alias("channel_id"), "doc_id", "text")
     return mentions.mentions(names, texts, ["channel_id"], "who", "doc_id", "text").select("doc_id", F.col("who").alias("name"))
 
 
 @query("mentions_words", r"""SELECT DISTINCT c.conv_id * 1000 + c.turn AS id, nm.name FROM (SELECT *, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+'))) AS w
-    FROM conversations) c JOIN (SELECT DISTINCT lower(regexp_extract(text, '[\p{L}]+')) AS name FROM benchmark) nm ON nm.name = c.w WHERE length(nm.name) >= 2""")
+    FROM conversations) c JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS name FROM benchmark) nm ON nm.name = c.w WHERE length(nm.name) >= 2""")
 def mentions_words(t: Tables) -> DataFrame:
-    names = t.read("benchmark").select(F.lit(0).alias("channel_id"), F.lower(F.regexp_extract("text", r"\p{L}+", 0)).alias("name")).distinct().withColumn("who", F.col("name"))
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("name")
+    names = t.read("benchmark").select(F.lit(0).alias("channel_id"), word).distinct().withColumn("who", F.col("name"))
     texts = t.segments.select(F.lit(0).alias("channel_id"), "id", "text")
     return mentions.mentions(names, texts, ["channel_id"], "who", "id", "text").select("id", F.col("who").alias("name"))
 
