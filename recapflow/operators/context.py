@@ -85,9 +85,11 @@ def history(windows: DataFrame, done: DataFrame, n: int = HISTORY) -> DataFrame:
 
 
 def pack(parts: DataFrame, keys: list[str], budget: int = TOKEN_BUDGET) -> DataFrame:
-    """Keep the leading parts (keys, block, seq, text) until the token budget is first exceeded."""
+    """Keep the leading parts (keys, block, seq, text) until the token budget is first exceeded. A part costs at least
+    one token, so no more than ``budget`` parts of a key can stay; the others go before the shuffle."""
     w = Window.partitionBy(*keys).orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    counted = parts.withColumn("tokens", X.approx_tokens(F.col("text"))).withColumn("used", F.sum("tokens").over(w))
+    first = top_n(parts, keys, [F.asc("block"), F.asc("seq")], budget, "__rank").drop("__rank")
+    counted = first.withColumn("tokens", X.approx_tokens(F.col("text"))).withColumn("used", F.sum("tokens").over(w))
     return counted.where(F.col("used") <= budget)
 
 

@@ -175,6 +175,14 @@ def test_similar_pairs_are_complete(spark):
         assert {(r.key_a, r.key_b) for r in similar.similar_within(df, ["g"], threshold).collect()} == want
 
 
+def test_packing_cuts_before_the_shuffle(spark):
+    parts = spark.range(40).select((F.col("id") % 2).alias("k"), F.lit(0).alias("block"), F.col("id").alias("seq"), F.lit("abcd" * 3).alias("text"))
+    out = context.pack(parts, ["k"], 10)
+    assert sorted(one(out, "seq")) == [0, 1, 2, 3, 4, 5]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.rindex("WindowGroupLimit") > plan.rindex("Exchange")
+
+
 def test_few_candidates_in_a_large_channel(spark):
     rnd = random.Random(1)
     syllables = [a + b for a in "bcdfghklmnprstvwz" for b in "aeiou"]
