@@ -145,6 +145,49 @@ def op9(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-@query("op10_quality_rules")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_VOTES = ", ".join(
+    f"CASE WHEN n = 0 THEN -1 WHEN {measure} > {bad} THEN -1 WHEN {measure} <= {good} THEN 1 ELSE 0 END"
+    for measure, good, bad in quality_rules.RULES.values()
+)
+_NEXT = "list_transform(vs, lambda v: 1 / (1 + exp(-(prior + list_sum(list_transform(range(1, len(v) + 1), lambda j: wt[j][v[j] + 2]))))))"
+
+
+@query("op10_quality_rules", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+    g AS MATERIALIZED (
+        SELECT doc_id, t, w, len(w) AS n, list_filter(string_split(t, chr(10)), lambda x: len({_WORDS.format(text="x")}) > 0) AS lines,
+               list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')) AS tri FROM d),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, unnest(tri) AS x, generate_subscripts(tri, 1) AS i FROM g) QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+    cover AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+    c AS (SELECT doc_id, n::BIGINT AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                 length(t) - length(translate(t, {_quoted(quality_rules.SYMBOLS)}, '')) AS n_symbols,
+                 length(t) - length(translate(t, {_quoted(quality_rules.PUNCTUATION)}, '')) AS n_punct, len(lines) AS n_lines,
+                 len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                 len(list_intersect(w, [{", ".join(map(_quoted, quality_rules.FUNCTION_WORDS))}])) AS fw
+          FROM g LEFT JOIN cover USING (doc_id)),
+    m AS (SELECT *, n_symbols / greatest(n, 1) AS symbol_share, n_punct / greatest(word_chars, 1) AS punct_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
+                 n_repeat_words / greatest(n, 1) AS repeat_share, abs(word_chars / greatest(n, 1) - 6.0::DOUBLE) AS length_gap,
+                 CASE WHEN n < 20 THEN 0.5 WHEN fw >= 2 THEN 0.0 WHEN fw = 1 THEN 0.5 ELSE 2.0 END AS rare_function_words FROM c),
+    voted AS MATERIALIZED (SELECT *, [{_VOTES}]::INTEGER[] AS v FROM m),
+    pat AS (SELECT list(v ORDER BY v) AS vs, list(k ORDER BY v) AS cs FROM (SELECT v, count(*)::DOUBLE AS k FROM voted GROUP BY v)),
+    em AS (
+        SELECT 0 AS round, vs, cs, list_transform(vs, lambda v: 1 / (1 + exp(-2.0::DOUBLE * list_sum(v)))) AS p FROM pat
+        UNION ALL
+        SELECT round + 1, vs, cs, {_NEXT} FROM (
+            SELECT round, vs, cs, ln((1 + good) / (1 + bad)) AS prior,
+                   list_transform(range(1, {len(quality_rules.RULES)} + 1), lambda j: list_transform([-1, 0, 1], lambda x: ln(
+                       (1 + coalesce(list_sum(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN vs[i][j] = x THEN cs[i] * p[i] ELSE 0 END)), 0)) / (3 + good)
+                       / (1 + coalesce(list_sum(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN vs[i][j] = x THEN cs[i] * (1 - p[i]) ELSE 0 END)), 0)) * (3 + bad)))) AS wt
+            FROM (SELECT *, list_sum(list_transform(range(1, len(vs) + 1), lambda i: cs[i] * p[i])) AS good,
+                         list_sum(list_transform(range(1, len(vs) + 1), lambda i: cs[i] * (1 - p[i]))) AS bad FROM em WHERE round < 50))),
+    post AS (SELECT unnest(vs) AS v, unnest(p) AS p FROM em WHERE round = 50)
+    SELECT doc_id, n AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n < 50 OR 100 * n_repeat_words > 50 * n AS base_failed,
+           NOT (n < 50 OR 100 * n_repeat_words > 50 * n) AND p >= 0.5 AS kept, round(p, 6) AS p_quality,
+           {", ".join(f"v[{j + 1}] AS vote_{r}" for j, r in enumerate(quality_rules.RULES))}
+    FROM voted JOIN post USING (v)""")
 def op10(spark, sf_dir):
     return quality_rules.score(table(spark, sf_dir, "documents"))
