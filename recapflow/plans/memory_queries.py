@@ -91,21 +91,41 @@ def _refs(t: Tables) -> DataFrame:
     return t.read("lineitem").join(parts, "l_partkey").select(channel, ref.alias("ref")).distinct()
 
 
-@query("resolve_refs", """SELECT DISTINCT r.channel_id, r.ref, coalesce(i.id, al.id, cn.id) AS entity_id,
+_REFS = """refs AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS BIGINT) AS channel_id,
+    CASE l_partkey % 5 WHEN 0 THEN 'E' || l_partkey WHEN 1 THEN 'NEW:' || upper(p_name) WHEN 2 THEN lower(p_type) || ' ' || p_size WHEN 3 THEN reverse(p_name) ELSE 'Nobody at all' END AS ref
+    FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+_EXACT = """SELECT DISTINCT r.channel_id, r.ref, coalesce(i.id, al.id, cn.id) AS entity_id,
     CAST(CASE WHEN i.id IS NOT NULL THEN 1 WHEN al.id IS NOT NULL THEN 2 WHEN cn.id IS NOT NULL THEN 3 ELSE 4 END AS INTEGER) AS tier
     FROM (SELECT *, CASE WHEN ref LIKE 'NEW:%' THEN substr(ref, 5) ELSE ref END AS name FROM refs) r
     LEFT JOIN entities i ON 'E' || i.id = r.ref AND i.channel_id = r.channel_id AND i.status <> 'merged'
     LEFT JOIN (SELECT e.channel_id, lower(a.alias) AS n, min(e.id) AS id FROM aliases a JOIN entities e ON e.id = a.entity_id GROUP BY 1, 2) al ON al.channel_id = r.channel_id AND al.n = lower(r.name)
-    LEFT JOIN (SELECT channel_id, lower(canonical_name) AS n, min(id) AS id FROM entities GROUP BY 1, 2) cn ON cn.channel_id = r.channel_id AND cn.n = lower(r.name)""", ("entities", "aliases"), """refs AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS BIGINT) AS channel_id,
-    CASE l_partkey % 5 WHEN 0 THEN 'E' || l_partkey WHEN 1 THEN 'NEW:' || upper(p_name) WHEN 2 THEN lower(p_type) || ' ' || p_size WHEN 3 THEN reverse(p_name) ELSE 'Nobody at all' END AS ref
-    FROM lineitem JOIN part ON p_partkey = l_partkey)""")
+    LEFT JOIN (SELECT channel_id, lower(canonical_name) AS n, min(id) AS id FROM entities GROUP BY 1, 2) cn ON cn.channel_id = r.channel_id AND cn.n = lower(r.name)"""
+
+
+@query("resolve_refs", _EXACT, ("entities", "aliases"), _REFS)
 def resolve_refs(t: Tables) -> DataFrame:
     """All references: those settled by id or exact name with their entity, the rest (fuzzy or new) as tier 4."""
     out = resolve.resolve(_refs(t), t.entities, t.aliases)
     return out.select("channel_id", "ref", F.when(F.col("tier") <= 3, F.col("entity_id")).alias("entity_id"), F.least("tier", F.lit(4)).alias("tier"))
 
 
-@query("resolve_fuzzy")
+_KEY = "array_to_string(list_sort(list_distinct(string_split({x}, ' '))), ' ')"
+_FUZZY = f""", exact AS MATERIALIZED ({_EXACT}),
+  open AS (SELECT *, {_KEY.format(x="lower(name)")} AS k FROM (SELECT channel_id, ref, CASE WHEN ref LIKE 'NEW:%' THEN substr(ref, 5) ELSE ref END AS name FROM exact WHERE tier = 4) WHERE length(name) >= 3),
+  every AS (SELECT channel_id, id, {_KEY.format(x="lower(canonical_name)")} AS k FROM entities UNION ALL
+    SELECT e.channel_id, e.id, {_KEY.format(x="lower(a.alias)")} FROM aliases a JOIN entities e ON e.id = a.entity_id)"""
+# The scores of open references with all names of their channel, instead of those of all pairs of names.
+_ASKED = _SCORES[_SCORES.index("kp AS"):].replace(
+    "SELECT DISTINCT x.k AS a, y.k AS b, string_split(x.k, ' ') AS ta, string_split(y.k, ' ') AS tb FROM nm x JOIN nm y ON x.channel_id = y.channel_id AND x.k < y.k",
+    "SELECT DISTINCT o.k AS a, y.k AS b, string_split(o.k, ' ') AS ta, string_split(y.k, ' ') AS tb FROM open o JOIN every y ON o.channel_id = y.channel_id AND o.k <> y.k")
+
+
+@query("resolve_fuzzy", """SELECT e.channel_id, e.ref, CASE WHEN e.tier < 4 THEN e.entity_id ELSE f.id END AS entity_id,
+    CAST(CASE WHEN e.tier < 4 THEN e.tier WHEN f.id IS NOT NULL THEN 4 ELSE 5 END AS INTEGER) AS tier, e.tier = 4 AND f.id IS NOT NULL AS needs_review
+    FROM exact e LEFT JOIN (SELECT channel_id, ref, arg_min(id, (-score) * 1000000 + id) AS id FROM (
+        SELECT o.channel_id, o.ref, y.id, CASE WHEN o.k = y.k THEN 100 ELSE sc.score END AS score
+        FROM open o JOIN every y ON y.channel_id = o.channel_id LEFT JOIN sc ON sc.a = o.k AND sc.b = y.k) WHERE score >= 90 GROUP BY 1, 2) f
+    ON f.channel_id = e.channel_id AND f.ref = e.ref""", ("entities", "aliases"), _REFS + _FUZZY + ", " + _ASKED)
 def resolve_fuzzy(t: Tables) -> DataFrame:
     """All references with the tier that settled them, fuzzy and new ones included."""
     return resolve.resolve(_refs(t), t.entities, t.aliases).select("channel_id", "ref", "entity_id", "tier", "needs_review")
