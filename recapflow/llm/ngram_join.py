@@ -70,11 +70,6 @@ def _sketch_length(n: int) -> int:
     return n - int(least_overlap(n)) + n // 10 + 1
 
 
-def _sketch_need(n):
-    """Of its sketch, a set of n with a partner shares at least so many with others (the partner may be 0.8 n small)."""
-    return least_overlap(n) // 10 + 1
-
-
 def _u64(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
@@ -396,6 +391,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     )
     entries = sets.agg(F.sum(F.length("sketch"))).first()[0] or 0
     shared = _with_partners(sets, _ranges(entries // 8))
+    # a set with a partner shares so many of its sketch hashes at least; the partner may have 0.8 n only
     chosen = common.settled(classes.join(shared, "key").where(F.col("shared") >= F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10) + 1).select("id", "key"))
     rows = chosen.count()
     table = _ordered(_members(docs, chosen, id, text), rows)
