@@ -1,6 +1,6 @@
 """Uniform sharding with exact shard sizes by a communication matrix.
 
-Rows sit in blocks (by a hash of the id). How many rows each block sends to each piece of each shard is drawn from the
+Rows sit in blocks (by a hash of id, text and a number among equal rows). How many rows each block sends to each piece of each shard is drawn from the
 multivariate hypergeometric law, the law these counts have in a uniformly random permutation. Every block permutes its
 rows and deals them out by its line of the matrix, and every piece permutes what it got: together a uniformly random
 order of all rows, in which each shard has its exact size, without a global sort. Only ids and keys move.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from recapflow.llm import common
 
 SHARDS = 24
+#: Equal rows are numbered in runs of this length.
+RUN = 4096
 #: Blocks that deal rows out, and pieces per shard that receive them; a task sorts about rows / BLOCKS ids at a time.
 BLOCKS, PIECES = 512, 16
 
@@ -105,34 +107,44 @@ def place(line: dict, rank: int) -> tuple[int, int]:
     return s, bisect.bisect_right(line["piece_ends"][s], rank)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a number ``__n`` (0, 1, ...) among equal ones. They are counted and made again from the count, so
+    a row that occurs very often meets no others before its counts of the map tasks are summed, and nothing is sorted."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__count"))
+    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__count - 1) div {RUN}"))))
+    first = F.col("__run") * RUN
+    return runs.select(*rows.columns, F.explode(F.sequence(first, F.least(first + RUN, F.col("__count")) - 1)).alias("__n"))
+
+
 def assign(
     docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text", seed: int = 7,
     blocks: int = BLOCKS, pieces: int = PIECES,
 ) -> DataFrame:
     """One row per document: id, size (UTF-8 bytes plus 8), text_crc32, shard and slot (0, 1, ... inside the shard).
 
-    NULL texts have no bytes. Rows that repeat an id or a text are placed like any others. NULL ids are one more id.
-    An empty table gives an empty table. The order depends on ids, texts and ``seed`` only, not on partitioning."""
+    NULL texts have no bytes. Rows that repeat an id or a text, copies of a row included, each have a place of their
+    own. NULL ids are one more id. An empty table gives an empty table. The order depends on ids, texts and ``seed``
+    only, not on partitioning."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = common.settled(docs.select(
+    rows = common.settled(_numbered(docs.select(
         F.col(id).alias("id"), (F.length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(id), F.crc32(raw)).alias("__h"),
-    ).withColumn("__block", F.pmod("__h", F.lit(blocks)).cast("int")))
+    )).withColumn("__h", F.xxhash64(F.lit(seed), "id", "text_crc32", "size", "__n"))
+        .withColumn("__block", F.pmod("__h", F.lit(blocks)).cast("int")))
     counts = {r["__block"]: r["count"] for r in rows.groupBy("__block").count().collect()}  # one number per block
     lines = _dealt(counts, shards, blocks, pieces, seed)
     spark = docs.sparkSession
     shape = "array<struct<block:int,shard_ends:array<bigint>,piece_ends:array<array<bigint>>,piece_starts:array<array<bigint>>>>"
     table = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(lines)), shape))))  # blocks * shards * pieces numbers
-    order = [F.xxhash64(F.lit("first"), "__h", "id"), "__h", "id", "size"]
+    order = [F.xxhash64(F.lit("first"), "__h", "id"), "__h", "id", "size", "text_crc32", "__n"]
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__block").orderBy(*order)) - 1)
     passed = lambda ends: F.size(F.filter(ends, lambda e: e <= F.col("__rank")))
     sent = (
         ranked.join(table, F.col("__block") == F.col("block")).withColumn("shard", passed(F.col("shard_ends")))
         .withColumn("__piece", passed(F.get(F.col("piece_ends"), F.col("shard"))))
         .withColumn("__start", F.get(F.get("piece_starts", F.col("shard")), F.col("__piece")))
-        .select("id", "size", "text_crc32", "__h", "shard", "__piece", "__start")
+        .select("id", "size", "text_crc32", "__n", "__h", "shard", "__piece", "__start")
     )
-    again = [F.xxhash64(F.lit("second"), "__h", "id"), "__h", "id", "size"]
+    again = [F.xxhash64(F.lit("second"), "__h", "id"), "__h", "id", "size", "text_crc32", "__n"]
     slot = F.row_number().over(Window.partitionBy("shard", "__piece").orderBy(*again)) - 1
     return sent.withColumn("slot", slot + F.col("__start")).select(
         F.col("id").alias(id), "size", "text_crc32", "shard", F.col("slot").cast("bigint").alias("slot"),

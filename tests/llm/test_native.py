@@ -146,6 +146,25 @@ def test_places_are_uniform(spark):
     assert sum(seen.values()) == 120 and all(12 <= seen[s] <= 50 for s in range(4))
 
 
+def test_copies_of_a_row_are_shuffled(spark):
+    """Copies land in one shard, and next to each other, about as often as any two rows of the table do."""
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    by = collections.defaultdict(list)
+    for r in sharding.assign(df, shards=4, blocks=4, pieces=2).collect():
+        by[r["doc_id"]].append((r["shard"], r["slot"]))
+    together = [(a, b) for a, b in by.values() if a[0] == b[0]]
+    assert len(by) == 2000 and 400 <= len(together) <= 600
+    assert sum(abs(a[1] - b[1]) == 1 for a, b in together) <= 8
+
+
+def test_equal_rows_beyond_a_run(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    df = spark.range(45).select(F.lit(None).cast("bigint").alias("doc_id"), F.when(F.col("id") < 43, "x").alias("text"))
+    got = sharding.assign(df, shards=4, blocks=4, pieces=2).collect()
+    assert collections.Counter(r["size"] for r in got) == {9: 43, 8: 2} and len({(r["shard"], r["slot"]) for r in got}) == 45
+    assert len({r["shard"] for r in got if r["size"] == 9}) == 4
+
+
 def test_quality_counts_and_posteriors(rows, wide):
     got = quality_rules.score(wide).collect()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
