@@ -13,8 +13,8 @@ from recapflow.llm import common, decontaminate, mixing, ngram_join, quality_rul
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.keep(docs)
+    """Documents that the quality rules keep, by the function words of each language."""
+    return quality_rules.keep(docs, lang="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,6 +187,20 @@ def test_quality_keeps_prose(spark, sf, wide, none):
     assert sum(r["kept"] == (r["quality"] == 1) for r in judged) >= 0.93 * len(judged)
 
 
+def test_quality_keeps_prose_of_any_language(spark):
+    """Prose in capitals and in a language outside the fixed list stays, word lists in either go."""
+    r = random.Random(8)
+    made = lambda common_, n: " ".join(r.choice(common_) if r.random() < 0.4 else "".join(r.choices("bdgklmprst", k=6)) for _ in range(n))
+    polish, rare = "w nie się że jest jak ale".split(), "ne hogy nem egy és".split()
+    rows = [(k, made("the and of to in is".split(), 100), "en") for k in range(200)]
+    rows += [(1000 + k, made("the and of to in is".split(), 100).upper(), "en") for k in range(10)]
+    rows += [(2000 + k, made(polish, 100), "pl") for k in range(30)] + [(3000 + k, made(rare, 100), "hu") for k in range(3)]
+    rows += [(4000 + k, made(["###", "$$", "zzzzzzzzzzzzzzzz"], 100), "en" if k % 5 else "pl") for k in range(20)]
+    rows += [(5000 + k, made(polish, 100), None) for k in range(3)]
+    kept = quality_rules.keep(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), lang="lang")
+    assert {x["doc_id"] for x in kept.collect()} == {x[0] for x in rows if not 4000 <= x[0] < 5000}
+
+
 def test_trees(spark):
     rows = []
     r = random.Random(2)
