@@ -1,7 +1,7 @@
 """Secrets in texts, confirmed by structure.
 
 Three base patterns give candidates by shape. The structural scan then looks at every run of base64 or hex characters
-that could hold a key, decodes it and reports it only if the bytes parse: DER structures whose nested lengths fill each
+that could hold a key, wherever in the run it starts, decodes it and reports it only if the bytes parse: DER structures whose nested lengths fill each
 other and whose content has the layout of a key, OpenSSH keys whose length fields fill the blob, and signed tokens
 whose header is a JSON object that names its algorithm. Base spans are never removed.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -29,11 +30,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
 BASE_KINDS = KINDS[:3]
 
-_DER_MIN = 48
-#: Lines of base64 as key files wrap them; one run may span line breaks.
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){40,}(?![0-9A-Fa-f])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: The smallest key: SEC1 on a curve of 192 bits without parameters.
+_DER_MIN = 31
+_BASE64 = "[A-Za-z0-9+/_-]"
+#: Lines of base64 as key files, JSON strings (escaped line ends) and indented sources wrap them; a run may span breaks.
+BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|\\+(?:r\\+)?n)[ \t]*")
+BASE64_RUN = re.compile(rf"{_BASE64}{{40,}}(?:{BREAK.pattern}{_BASE64}{{2,}})*={{0,2}}")
+#: Where a key may start in a run: a DER sequence of _DER_MIN bytes or more, OpenSSH's magic.
+KEY_START = re.compile("M[B-I]|b3BlbnNzaC1rZXktdjEA")
+HEX_RUN = re.compile(rf"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{{2}}){{{_DER_MIN},}}(?![0-9A-Fa-f])")
+#: A header starts with a brace, or with white space before it; looked ahead, so that no match hides a later one.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=((?:e[wy]|[CDI])[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
 _SSH_MAGIC = b"openssh-key-v1\0"
 
 
@@ -137,29 +144,54 @@ def is_signed_token(head: str, body: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and _unpadded(body, url=True) is not None
 
 
+def _run_keys(m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """Keys in a run of base64, wherever they start in it. Breaks between lines are dropped for decoding; places are
+    those of the text."""
+    run = m[0].rstrip("=")
+    lines, inner, outer, n, at = [], [], [], 0, 0
+    for stop, after in [*((b.start(), b.end()) for b in BREAK.finditer(run)), (len(run), len(run))]:
+        lines.append(run[at:stop])
+        inner.append(n)
+        outer.append(m.start() + at)
+        n, at = n + stop - at, after
+    flat = "".join(lines).replace("-", "+").replace("_", "/")
+    bytes_of: dict[int, bytes] = {}  # four characters are three bytes, so all starts need four decodings at most
+
+    def place(k: int) -> int:
+        line = bisect.bisect_right(inner, k) - 1
+        return outer[line] + k - inner[line]
+
+    at = 0
+    while k := KEY_START.search(flat, at):
+        phase = k.start() % 4
+        if phase not in bytes_of:
+            bytes_of[phase] = _unpadded(flat[phase:]) or b""
+        data, first, at = bytes_of[phase], (k.start() - phase) // 4 * 3, k.start() + 1
+        if k[0] == "b3BlbnNzaC1rZXktdjEA":
+            size, kind = ssh_end(data[first:]), "ssh_key"
+        else:
+            top, size, kind = der(data, first, len(data)), None, None
+            if top and data[top[1]] in (0x02, 0x30) and _children(data, top[1], top[2]):
+                # a structure that is no key, a certificate say, is not searched for keys inside
+                size, kind = top[2] - first, "der_key" if is_der_key(data[first:top[2]]) else None
+        if not size:
+            continue
+        # the key ends where its outermost length says; what the run swallowed behind it is not part of the span
+        at = k.start() + -(-size * 4 // 3)
+        end = place(at - 1) + 1
+        while end < m.end() and m.string[end] == "=":
+            end += 1
+        if kind:
+            yield place(k.start()), end, kind
+
+
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in TOKEN.finditer(text):
-        if is_signed_token(m[1], m[2]):
-            out.append((m.start(), m.end(), "signed_token"))
+        if is_signed_token(m[1], m[2]) and not (out and m.start() < out[-1][1]):
+            out.append((m.start(), m.end(3), "signed_token"))
     for m in BASE64_RUN.finditer(text):
-        run = m[0]
-        if not run.startswith(("M", "b3BlbnNzaC1rZXktdjEA")):  # a DER sequence of this size, OpenSSH's magic
-            continue
-        data = _unpadded("".join(run.split()))
-        if not data:
-            continue
-        top = None if data.startswith(_SSH_MAGIC) else der(data, 0, len(data))
-        size = top[2] if top else ssh_end(data)
-        # the key ends where its outermost length says; what the run swallowed behind it is not part of the span
-        if size and (is_der_key(data[:size]) if top else True):
-            left, end = -(-size * 4 // 3), m.start()
-            while left:
-                left -= not text[end].isspace()
-                end += 1
-            while end < m.end() and text[end] == "=":
-                end += 1
-            out.append((m.start(), end, "der_key" if top else "ssh_key"))
+        out.extend(_run_keys(m))
     for m in HEX_RUN.finditer(text):
         if m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der_key"))

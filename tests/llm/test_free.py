@@ -184,6 +184,33 @@ def test_structure_confirms_keys():
     assert secrets.structural_spans("MIIB" + "A" * 400 + " " + "eyJ" + "a" * 90) == []
 
 
+def test_keys_in_other_wrappings():
+    small = {"short sec1": tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(range(32)))), "public": tlv(0x30, tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(3, b"\0" + bytes(range(200, 232))))}
+    for name, k in (keys() | small).items():
+        kind, flat = "ssh_key" if name == "ssh" else "der_key", base64.b64encode(k).decode()
+        wrapped = [flat[i:i + 64] for i in range(0, len(flat), 64)]
+        for end in ("\\n", "\\r\\n", "\\\\n", "\n    ", "\r\n\t", " \n  "):
+            body = end.join(wrapped)
+            text = f'é {{"key": "-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----{end}"}}'
+            assert [(text[a:b], x) for a, b, x in secrets.structural_spans(text)] == [(body, kind)], (name, end)
+        url = base64.urlsafe_b64encode(k).decode().rstrip("=")
+        for before in ("", "x", "QUJD/", "n" * 41):
+            text = f"at {before}{url} and"
+            assert [(text[a:b], x) for a, b, x in secrets.structural_spans(text)] == [(url, kind)], (name, before)
+    assert [x[2] for x in secrets.structural_spans(f"x {small['short sec1'].hex()} y")] == ["der_key"]
+    pair = base64.b64encode(keys()["sec1"]).decode().rstrip("=") + "\n" + base64.b64encode(keys()["pkcs8"]).decode()
+    assert [x[2] for x in secrets.structural_spans(pair)] == ["der_key", "der_key"]
+    certificate = tlv(0x30, tlv(0x30, tlv(2, b"\1\1\1\1") + small["public"]) + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(3, b"\0" * 65))
+    assert secrets.structural_spans("c " + base64.b64encode(certificate).decode()) == []
+
+
+def test_token_headers_with_white_space():
+    for head in (b'{ "alg":"HS256"}', b'{\n  "alg": "none"\n}', b'{\r\n"alg":"x"}', b'{\t"alg":"x"}', b' {"alg":"x"}', b'\n{"alg":"x"}'):
+        token = jwt(head)
+        for text in (f"t {token} x", f"ey.{token}", f"Ceyword.other.{token}."):
+            assert [text[a:b] for a, b, k in secrets.structural_spans(text) if k == "signed_token"] == [token], (head, text)
+
+
 def test_secrets_match_the_wording(spark, sf, wide, rows, none):
     made = [
         "PassWord = 'abcdef'", "password: abc", "token=aaa token=bbbbbbbb", "api_key==abcdefg", "APIKEY : \"a.b-c_d/e+f=\"", "paſſword=abcdefgh", "toKen=abcdefgh",
