@@ -3,6 +3,10 @@
 import datetime
 import decimal
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -52,3 +56,19 @@ def test_query_without_sql_runs(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("gone", [("recapflow/llm",), ("recapflow/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_without_optional_modules(tmp_path, gone):
+    """The other queries and the benchmark can be imported where the subpackage, the pipeline or both are missing."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for name in ("recapflow", "__spark_entry__.py", "bench.py", "corpus_pipeline.py"):
+        if name in gone:
+            continue
+        if os.path.isdir(f"{root}/{name}"):
+            shutil.copytree(f"{root}/{name}", tmp_path / name, ignore=lambda d, names: [n for n in names if n == "__pycache__" or f"{os.path.relpath(d, root)}/{n}" in gone])
+        else:
+            shutil.copy(f"{root}/{name}", tmp_path / name)
+    code = "import __spark_entry__ as e, bench; q = e.queries(); print(len(q), 'pipeline' in q, any(n.startswith('op1_') for n in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 140 and out[1:] == ["False", str("recapflow/llm" not in gone)]
