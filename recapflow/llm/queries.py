@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recapflow.llm import (
-    chat, decontaminate, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, token_counts, token_files,
+    chat, common, decontaminate, line_dedup, merkle, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, token_counts,
+    token_files, vector_codes,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,120 @@ _NEXT = "list_transform(vs, lambda v: 1 / (1 + exp(-(prior + list_sum(list_trans
     FROM voted JOIN post USING (v)""")
 def op10(spark, sf_dir):
     return quality_rules.score(table(spark, sf_dir, "documents"))
+
+
+_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("op11_line_dedup", f"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+    k AS (SELECT *, {_LOWER.format(text=f"trim(line, {_ENDS})")} AS key FROM l),
+    f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key
+          HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS}),
+    m AS (SELECT doc_id, pos, line, top IS NOT NULL AND doc_id <> top AS gone FROM k LEFT JOIN f USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM m GROUP BY doc_id""")
+def op11(spark, sf_dir):
+    found = line_dedup.kept(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(fields: dict[str, str]) -> str:
+    cell = "coalesce(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(cell.format(x=fields.get(f, f)) for f in _LEAF_FIELDS) + ")"
+
+
+#: Heights the SQL unrolls; a tree that has its root already stays as it is.
+_SQL_HEIGHTS = 7
+#: CRC-32 of a short ASCII string: the bytes, each followed by eight shifts.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split({x}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                 lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """Tables ``name``0.. of the nodes (tree, pos, digest, size) per height and of their runs."""
+    out = [f"{name}0 AS MATERIALIZED ({start})"]
+    for h in range(_SQL_HEIGHTS):
+        out.append(f"""
+    {name}_run{h} AS MATERIALIZED (
+        SELECT tree, pos // 16 AS pos, list(digest ORDER BY pos) AS ds FROM {name}{h} WHERE size > 1 GROUP BY tree, pos // 16),
+    {name}{h + 1} AS MATERIALIZED (
+        SELECT tree, pos, sha256(array_to_string(ds, '')) AS digest, count(*) OVER (PARTITION BY tree) AS size FROM {name}_run{h}
+        UNION ALL SELECT tree, pos, digest, size FROM {name}{h} WHERE size <= 1)""")
+    return ",".join(out)
+
+
+def _proof_sql(name: str, rows: str) -> str:
+    """Per row of ``rows`` (key, tree, pos, digest, changed): ``said``, the siblings so far, and ``fold``."""
+    now = f"SELECT key, tree, pos, changed AS fold, '' AS said FROM {rows}"
+    out = []
+    for h in range(_SQL_HEIGHTS):
+        out.append(f"""{name}_up{h} AS MATERIALIZED (
+        SELECT key, r.tree, CASE WHEN ds IS NULL THEN r.pos ELSE r.pos // 16 END AS pos,
+               CASE WHEN ds IS NULL THEN fold ELSE sha256(array_to_string(ds[:r.pos % 16], '') || fold || array_to_string(ds[r.pos % 16 + 2:], '')) END AS fold,
+               CASE WHEN ds IS NULL THEN said ELSE said || array_to_string(ds[:r.pos % 16], '') || array_to_string(ds[r.pos % 16 + 2:], '') END AS said
+        FROM ({now}) r LEFT JOIN {name}_run{h} t ON r.tree = t.tree AND r.pos // 16 = t.pos)""")
+        now = f"SELECT * FROM {name}_up{h}"
+    return ",".join(out)
+
+
+@query("op12_merkle_manifest", f"""
+    WITH s AS (SELECT source AS named, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+    leaf AS MATERIALIZED (
+        SELECT doc_id, tree, {_leaf_sql({})} AS leaf,
+               CASE WHEN {_CRC.format(x="doc_id::VARCHAR")} % 5 = 0 THEN {_leaf_sql({"text": _LOWER.format(text="text")})} ELSE {_leaf_sql({})} END AS changed
+        FROM documents JOIN s ON source IS NOT DISTINCT FROM named),
+    placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size FROM leaf),
+    {_tree_sql("a", "SELECT tree, pos, leaf AS digest, size FROM placed")},
+    {_tree_sql("b", f"SELECT 0 AS tree, tree AS pos, digest, count(*) OVER () AS size FROM a{_SQL_HEIGHTS}")},
+    {_proof_sql("a", "(SELECT doc_id AS key, tree, pos, changed FROM placed)")},
+    {_proof_sql("b", f"(SELECT key, 0 AS tree, tree AS pos, fold AS changed FROM a_up{_SQL_HEIGHTS - 1})")}
+    SELECT p.doc_id, p.leaf, a{_SQL_HEIGHTS}.digest AS subroot, b{_SQL_HEIGHTS}.digest AS root, sha256(x.said || y.said) AS proof_sha256,
+           y.fold AS folded_root, y.fold = b{_SQL_HEIGHTS}.digest AS verified
+    FROM placed p JOIN a_up{_SQL_HEIGHTS - 1} x ON p.doc_id = x.key JOIN b_up{_SQL_HEIGHTS - 1} y ON p.doc_id = y.key
+    JOIN a{_SQL_HEIGHTS} ON a{_SQL_HEIGHTS}.tree = p.tree CROSS JOIN b{_SQL_HEIGHTS}""")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    lowered = [common.ascii_lower(F.col("text")) if f == "text" else F.col(f) for f in _LEAF_FIELDS]
+    out = merkle.manifest(docs, _LEAF_FIELDS, also={"changed": F.when(hit, merkle.leaf(lowered))})
+    said = F.sha2(F.array_join("proof.siblings", ""), 256)
+    out = out.select("doc_id", "leaf", "subroot", "root", said.alias("proof_sha256"), merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _codes_sql() -> str:
+    width, parts = "(dim // 4)", ", ".join(str(p) for p in range(vector_codes.PARTS))
+    steps = [f"""
+    k AS MATERIALIZED (
+        SELECT vec_id, label, len(embedding) AS dim, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT vec_id, part, v[part * {width} + 1:part * {width} + {width}] AS v FROM k, (SELECT unnest([{parts}]) AS part)),
+    c0 AS MATERIALIZED (
+        SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM p
+        WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {vector_codes.ENTRIES}))"""]
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+    a{r} AS MATERIALIZED (
+        SELECT vec_id, p.part, min((list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c))::BIGINT * {vector_codes.ENTRIES} + entry) AS best
+        FROM p JOIN c{r} USING (part) GROUP BY vec_id, p.part)""")
+        if r < vector_codes.ROUNDS:
+            steps.append(f"""
+    m{r} AS (SELECT part, best % {vector_codes.ENTRIES} AS entry, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{r} JOIN p USING (vec_id, part)),
+    n{r} AS (SELECT part, entry, list(f ORDER BY j) AS c FROM (SELECT part, entry, j, floor(sum(x) / count(*)) AS f FROM m{r} GROUP BY part, entry, j) GROUP BY part, entry),
+    c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN n{r} n USING (part, entry))""")
+    last = vector_codes.ROUNDS
+    return "WITH " + ",".join(steps) + f""",
+    coded AS (SELECT vec_id, lower(string_agg(printf('%02x', best % {vector_codes.ENTRIES}), '' ORDER BY part)) AS code, sum(best // {vector_codes.ENTRIES})::BIGINT AS error FROM a{last} GROUP BY vec_id),
+    book AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{last})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id) CROSS JOIN book"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
