@@ -27,7 +27,7 @@ RANGE_BITS = 16
 #: A range is cut when it holds four times as many rows as the mean range and this many have together.
 PIECE_ROWS = 1000
 #: Bitmaps of up to so many words in all are sent to every executor.
-SMALL_WORDS = 200_000
+SMALL_WORDS = 50_000
 
 
 def lines(text: Column) -> Column:
