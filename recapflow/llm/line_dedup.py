@@ -1,9 +1,9 @@
 """Line dedup: lines found in many documents stay in the one with the largest id; the others get keep bitmaps.
 
-The text is read twice and no line travels. The first pass sends one row of hashes, id and position per line. These are
+The first pass over the texts sends one row of hashes, id and position per line. These are
 dealt by ranges of the hash and sorted within by key, document and position, so that one stream over a partition sees
 the documents of a key one after the other and knows the first at once. Dropped positions come back as sparse bitmaps, 64 lines
-to a word, words without a dropped line left out. The second pass applies them to the texts.
+to a word, words without a dropped line left out, and the second pass applies them to the texts.
 
 The hash space is cut into 2**RANGE_BITS equal ranges. Where a key holds a large share of all lines its range is larger
 than the rest; such ranges are cut into pieces, each piece streams on its own, and the few first documents of its keys
@@ -26,8 +26,6 @@ MIN_DOCS = 3
 RANGE_BITS = 16
 #: A range is cut when it holds four times as many rows as the mean range and this many have together.
 PIECE_ROWS = 1000
-#: Bitmaps of up to so many words in all are sent to every executor.
-SMALL_WORDS = 50_000
 
 
 def lines(text: Column) -> Column:
@@ -109,9 +107,8 @@ def kept(
     docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 ) -> DataFrame:
     """(row, n_lines, n_dropped, kept_text): the row as it was and its text without the dropped lines."""
-    bits = common.written(bitmaps(docs, id, text, min_chars, min_docs))
-    size = bits.agg(F.sum(F.size("bits"))).first()[0] or 0
-    bits = F.broadcast(bits) if size <= SMALL_WORDS else bits.hint("shuffle_hash")
+    # Bitmaps grow with the documents, so they are not broadcast; as the hashed side they spare the texts a sort.
+    bits = common.written(bitmaps(docs, id, text, min_chars, min_docs)).hint("shuffle_hash")
     left = docs.select(F.struct("*").alias("row"), F.col(id).alias("__id"), F.xxhash64(text).alias("__version"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     met = left.join(bits, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__version") == F.col("version")), "left")
     gone = F.when(F.col("bits").isNull(), F.array().cast("array<int>")).otherwise(_positions(F.col("bits")))

@@ -60,11 +60,9 @@ def line_rows(n=300, seed=4):
 
 
 @pytest.mark.parametrize("piece_rows", [1000, 10])
-@pytest.mark.parametrize("small_words", [200_000, 0])
-def test_lines_match_plain_version(spark, monkeypatch, piece_rows, small_words):
+def test_lines_match_plain_version(spark, monkeypatch, piece_rows):
     """With and without cut hash ranges; a line of a third of all documents is cut into pieces when these are small."""
     monkeypatch.setattr(line_dedup, "PIECE_ROWS", piece_rows)
-    monkeypatch.setattr(line_dedup, "SMALL_WORDS", small_words)
     rows = line_rows()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     wide = docs.withColumns({n: F.lit(1) for n in "id version pos range piece key line h1 h2 nth bits row gone n_docs __id __text __version".split()})
