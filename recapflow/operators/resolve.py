@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recapflow.functions import text as X
-from recapflow.functions.folds import fold_sorted
-from recapflow.functions.groups import connected
 from recapflow.functions.ordered import top_n
-from recapflow.functions.stages import settled
+from recapflow.functions.stages import settled, written
 from recapflow.functions.similar import similar_keys, similar_within, token_key
 from recapflow.operators.guards import parse_ref
 from recapflow.sources.channels import is_streamer
@@ -138,55 +137,68 @@ def _answers(refs: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFr
     return parsed.join(known, keys, "left").select(*keys, "name", "lname", "entity_id", F.coalesce("tier", F.lit(5)).alias("tier"), "score")
 
 
-class _InOrder:
-    """References of one group of related names in the order they were written. ``known`` maps a name to the entity it
-    leads to so far: (0, stored id, 0), or (1, window, position) of the reference that made a new one; stored entities
-    and earlier ones come first, as their ids do."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, tuple] = {}
-        self.near: dict[str, list[tuple[str, float]]] = {}
-
-    def learn(self, name: str, entity: tuple) -> None:
-        self.known[name] = min(entity, self.known.get(name, entity))
-
-    def decide(self, name: str, place: tuple, stored: tuple | None, tier: int, score: float | None) -> tuple[tuple, int]:
-        named = self.known.get(name)
-        if tier == 1 or (tier == 3 and named is None):
-            return stored, tier
-        if named is not None or tier == 2:
-            return min(x for x in (named, stored if tier == 2 else None) if x is not None), 2
-        close = [(-s, self.known[other]) for other, s in self.near.get(name, []) if other in self.known]
-        close += [(-score, stored)] if tier == 4 else []
-        if close:
-            return min(close)[1], 4
-        self.learn(name, place)
-        return place, 5
-
-    def feed(self, rows: dict[str, list]) -> list[tuple]:
-        out = []
-        for kind, channel, window, pos, name, other, score, entity, tier, seen in zip(
-            *(rows[c] for c in ("kind", "channel_id", "window_id", "pos", "lname", "other", "score", "entity_id", "tier", "seen"))
-        ):
-            stored = None if entity != entity or entity is None else (0, int(entity), 0)
-            if kind == 0:
-                self.near.setdefault(name, []).append((other, score))
-            elif kind == 1:
-                self.learn(name, stored)
-            else:
-                found, how = self.decide(name, (1, window, pos), stored, int(tier), score)
-                for alias in seen if seen is not None else ():
-                    self.learn(alias, found)
-                old = found[1] if found[0] == 0 else None
-                new = found[1:] if found[0] == 1 else (None, None)
-                out.append((channel, window, pos, old, *new, how))
-        return out
-
-    def finish(self) -> list[tuple]:
-        return []
-
-
-_DECIDED = "channel_id BIGINT, window_id BIGINT, pos INT, entity_id BIGINT, made_window BIGINT, made_pos INT, tier INT"
+_NAME, _PLACE = ["channel_id", "lname"], ["channel_id", "window_id", "pos"]
+
+
+def _other(df: DataFrame, **columns: str) -> DataFrame:
+    """Facts about names as facts about the ``other`` name of a pair."""
+    return df.withColumnsRenamed({"lname": "other", **columns})
+
+
+def _makers(first: DataFrame, near: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(channel_id, lname, first) of the names for which the batch makes an entity, at the first place they are written.
+
+    ``first``: the names that stored tables do not answer. A name makes an entity unless it or a name it is like is known
+    before: as an alias (``spoken``), or because that other name made one. By deterministic reservations: a name that is like no
+    undecided earlier name is decided, the names like it drop out, and so on; in random order few rounds are needed."""
+    known = first.join(spoken, _NAME, "left").where(~F.coalesce(F.col("spoken") < F.col("first"), F.lit(False))).drop("spoken")
+    like = near.join(known, _NAME).join(_other(spoken), ["channel_id", "other"], "left")
+    told = like.where(F.col("spoken") < F.col("first")).select(*_NAME)
+    open_ = written(known.join(told, _NAME, "left_anti"))
+    both = near.join(open_, _NAME).join(_other(open_, first="earlier"), ["channel_id", "other"])
+    edges = written(both.where(F.col("earlier") < F.col("first")).select("channel_id", "lname", "other"))
+    made = []
+    while not edges.isEmpty():
+        free = written(open_.join(edges, _NAME, "left_anti"))
+        gone = edges.join(_other(free), ["channel_id", "other"], "left_semi").select(*_NAME).distinct()
+        made.append(free)
+        open_ = written(open_.join(free, _NAME, "left_anti").join(gone, _NAME, "left_anti"))
+        edges = written(edges.join(open_, _NAME, "left_semi").join(_other(open_), ["channel_id", "other"], "left_semi"))
+    return functools.reduce(DataFrame.unionByName, made, open_)
+
+
+def _improvements(told: DataFrame) -> DataFrame:
+    """(channel_id, lname, at, entity): the places at which a name comes to lead to an earlier entity than before. A name
+    that is written very often is one row per entity after the first, partial step."""
+    firsts = told.groupBy(*_NAME, "entity").agg(F.min("at").alias("at"))
+    before = Window.partitionBy(*_NAME).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    best = firsts.withColumn("__best", F.min("entity").over(before))
+    return best.where(F.col("__best").isNull() | (F.col("entity") < F.col("__best"))).drop("__best")
+
+
+def _spread(decided: DataFrame, reads: DataFrame) -> DataFrame:
+    """``decided`` with ``entity``: the earliest of its own ``given`` and of what the names it reads lead to by then.
+
+    ``decided`` (place, at, given, tells) tells its entity under the names ``tells``. Entities travel from name to name in rounds, until nothing improves; a path visits a name once, so the
+    rounds grow with the number of names in a row, not with the number of updates."""
+    def found(steps: DataFrame) -> DataFrame:
+        led = reads.join(steps.withColumnRenamed("at", "since"), _NAME).where(F.col("since") < F.col("at"))
+        read = led.groupBy(*_PLACE).agg(F.min("entity").alias("read"))
+        return decided.join(read, _PLACE, "left").withColumn("entity", F.least("given", "read")).drop("read")
+
+    def steps_of(rows: DataFrame) -> DataFrame:
+        said = rows.where("entity IS NOT NULL").select("channel_id", F.explode("tells").alias("lname"), "at", "entity")
+        return written(_improvements(said))
+
+    def mark(steps: DataFrame) -> tuple:
+        return tuple(steps.agg(F.count("*"), F.bit_xor(F.xxhash64(*_NAME, "at", "entity"))).first())
+
+    if reads.isEmpty():
+        return decided.withColumn("entity", F.col("given"))
+    steps, before = steps_of(decided.withColumn("entity", F.col("given"))), None
+    while (now := mark(steps)) != before:
+        steps, before = steps_of(found(steps)), now
+    return found(steps)
 
 
 def resolve_in_order(updates: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -194,50 +206,58 @@ def resolve_in_order(updates: DataFrame, entities: DataFrame, aliases: DataFrame
     alias can be matched from the place on where it was first written. Adds name, entity_id or, for entities made in
     the batch, the place (made_window, made_pos) of the update that made it, tier and needs_review.
 
-    What the stored tables decide is found once for all. Only names that they leave open, and stored names that the
-    batch uses as aliases, depend on the order; these are split into groups connected by likeness or by a common
-    update, and each group's rows stream through a small state. A reference by id must name a stored entity."""
-    keys, place = ["channel_id", "ref"], ["channel_id", "window_id", "pos"]
+    What the stored tables decide is found once for all. For names that they leave open, and stored names that the
+    batch uses as aliases, three steps follow, each by joins and grouped minima over names: which names make an entity, how
+    each update is then answered, and to which entity its names lead by then. No group of names or updates is held
+    together in a task. A reference by id must name a stored entity."""
+    keys = ["channel_id", "ref"]
     answers = settled(_answers(updates, entities, aliases))
     seen = F.filter(F.transform(F.coalesce("aliases_seen", F.array()), lambda a: F.lower(a)), lambda a: a.isNotNull())
-    rows = settled(updates.select(*place, "ref", seen.alias("seen")).join(answers, keys))
-    spoken = rows.select("channel_id", F.explode("seen").alias("lname")).distinct()
+    rows = written(updates.select(*_PLACE, "ref", seen.alias("seen")).join(answers, keys).withColumn("at", F.struct("window_id", "pos")))
+    spoken = written(rows.select("channel_id", "at", F.explode("seen").alias("lname")).groupBy(*_NAME).agg(F.min("at").alias("spoken")))
     open_ = F.col("tier") >= 4
-    ordered = rows.where(open_).unionByName(rows.where(F.col("tier").isin(2, 3)).join(spoken, ["channel_id", "lname"], "left_semi"))
-    fixed = rows.join(ordered.select(*place), place, "left_anti")
 
     # new names and aliases of the batch that an open name is like
-    fresh = answers.where(open_).select("channel_id", "lname").union(spoken).distinct().withColumn("key", token_key(F.col("lname")))
-    asking = answers.where(open_ & (F.length("name") >= 3)).select("channel_id", "lname").distinct().withColumn("key", token_key(F.col("lname")))
+    fresh = answers.where(open_).select(*_NAME).union(spoken.select(*_NAME)).distinct().withColumn("key", token_key(F.col("lname")))
+    asking = answers.where(open_ & (F.length("name") >= 3)).select(*_NAME).distinct().withColumn("key", token_key(F.col("lname")))
     close = similar_keys(asking.select("channel_id", "key"), fresh.select("channel_id", "key"), ["channel_id"], RESOLVE_SCORE)
-    near = settled(
+    near = written(
         close.join(asking.withColumnRenamed("key", "key_a"), ["channel_id", "key_a"])
         .join(fresh.withColumnsRenamed({"key": "key_b", "lname": "other"}), ["channel_id", "key_b"])
-        .where("lname <> other").select("channel_id", "lname", "other", "score")
+        .where("lname <> other").select(*_NAME, "other", F.col("score").alias("likeness"))
     )
-    node = lambda name: F.xxhash64("channel_id", name)
-    links = near.select(node("lname").alias("a"), node("other").alias("b")).union(
-        ordered.select("channel_id", "lname", F.explode("seen").alias("other")).select(node("lname"), node("other"))
+    first = rows.where("tier = 5").groupBy(*_NAME).agg(F.min("at").alias("first"))
+    made = _makers(first, near, spoken)
+    since = spoken.join(made, _NAME, "full").select(*_NAME, F.least("spoken", "first").alias("since"))
+
+    # how an update is answered: by a name known before it, by its stored answer, by the likest names known before it, or as new
+    timed = rows.join(since, _NAME, "left").withColumn("named", F.coalesce(F.col("since") < F.col("at"), F.lit(False))).drop("since")
+    asks = open_ & ~F.col("named")
+    like = timed.where(asks).select(*_PLACE, "at", "lname").join(near, _NAME).join(_other(since), ["channel_id", "other"]).where(F.col("since") < F.col("at"))
+    best = like.groupBy(*_PLACE).agg(F.max("likeness").alias("best"))
+    stored = F.when(F.col("entity_id").isNotNull(), F.struct(F.lit(0).alias("new"), F.col("entity_id").alias("a"), F.lit(0).alias("b")))
+    new = F.struct(F.lit(1).alias("new"), F.col("window_id").alias("a"), F.col("pos").alias("b"))
+    top = F.greatest("best", "score")
+    how = (
+        F.when((F.col("tier") == 1) | ((F.col("tier") == 3) & ~F.col("named")), F.col("tier")).when(F.col("named") | (F.col("tier") == 2), 2)
+        .when(top.isNotNull(), 4).otherwise(5)
     )
-    roots = connected(links).withColumnRenamed("node", "grp")
-    told = fixed.select("channel_id", "window_id", "pos", F.explode("seen").alias("lname"), "entity_id").groupBy("channel_id", "lname", "entity_id").agg(
-        F.min(F.struct("window_id", "pos")).alias("at")
+    given = F.when((F.col("how") == F.col("tier")) & F.col("how").isin(1, 2, 3), stored).when((F.col("how") == 4) & (F.col("score") == top), stored).when(F.col("how") == 5, new)
+    tells = F.when(F.col("how") == 5, F.array_append("seen", F.col("lname"))).otherwise(F.col("seen"))
+    answered = timed.join(best, _PLACE, "left").withColumn("how", how)
+    decided = written(answered.withColumn("top", top).select(*_PLACE, "at", "lname", "named", "how", "top", given.alias("given"), tells.alias("tells")))
+    likest = decided.where("how = 4").select(*_PLACE, "top").join(like, _PLACE).where("likeness = top")
+    reads = written(
+        decided.where("named AND how = 2").select(*_PLACE, "at", "lname")
+        .unionByName(likest.select(*_PLACE, "at", F.col("other").alias("lname")))
     )
-    start = F.lit(-(2**62)).cast("bigint")
-    none = lambda kind: F.lit(None).cast(kind)
-    events = near.select(
-        F.lit(0).alias("kind"), "channel_id", start.alias("window_id"), F.lit(0).alias("pos"), "lname", "other", "score",
-        none("bigint").alias("entity_id"), none("int").alias("tier"), none("array<string>").alias("seen"),
-    ).unionByName(told.select(
-        F.lit(1).alias("kind"), "channel_id", "at.window_id", "at.pos", "lname", none("string").alias("other"), none("double").alias("score"),
-        "entity_id", none("int").alias("tier"), none("array<string>").alias("seen"),
-    )).unionByName(ordered.select(
-        F.lit(2).alias("kind"), *place, "lname", none("string").alias("other"), "score", "entity_id", "tier", "seen",
-    ))
-    grouped = events.withColumn("grp", node("lname")).join(roots, "grp", "left").withColumn("grp", F.coalesce("root", "grp")).drop("root")
-    decided = fold_sorted(grouped, ["grp"], ["window_id", "pos", "kind"], _InOrder, _DECIDED)
-    done = decided.unionByName(fixed.select(*place, "entity_id", "tier"), allowMissingColumns=True)
-    return updates.join(done, place).join(answers.select(*keys, "name"), keys).withColumn("needs_review", F.col("tier") == 4)
+    found = _spread(decided.select(*_PLACE, "at", "how", "given", "tells"), reads)
+    is_new = F.col("entity.new") == 1
+    done = found.select(
+        *_PLACE, F.when(~is_new, F.col("entity.a")).alias("entity_id"), F.when(is_new, F.col("entity.a")).alias("made_window"),
+        F.when(is_new, F.col("entity.b")).alias("made_pos"), F.col("how").alias("tier"),
+    )
+    return updates.join(done, _PLACE).join(answers.select(*keys, "name"), keys).withColumn("needs_review", F.col("tier") == 4)
 
 
 def follow_merges(entities: DataFrame, rounds: int = 40) -> DataFrame:

@@ -307,9 +307,10 @@ def test_batches_do_not_change_memory(spark):
     assert whole == shown(m) and any(r[2] > 3 for r in whole[0])
 
 
-def test_order_of_names_one_by_one(spark):
-    """The grouped fold against a plain loop over all references."""
-    r = random.Random(7)
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_order_of_names_one_by_one(spark, seed):
+    """The rounds over names against a plain loop over all references."""
+    r = random.Random(seed)
     parts = ["Kael", "Vane", "Blade", "Runner", "Mirelle", "Ash", "Mira", "Blades"]
     name = lambda: " ".join(r.sample(parts, r.choice([1, 1, 2, 3])))
     rows = [(1 + k % 2, k // 3, k % 3, r.choice(["NEW:", ""]) + name(), [name() for _ in range(r.choice([0, 0, 1, 2]))]) for k in range(120)]
@@ -342,6 +343,20 @@ def test_order_of_names_one_by_one(spark):
     assert got == want and {2, 4, 5} <= {x[3] for x in want.values()}
 
 
+def test_names_in_a_row_and_hot_names(spark):
+    """An entity that travels from alias to alias, and two names that half of all updates tell of each other."""
+    chain = [f"{chr(97 + k) * 5} {chr(98 + k) * 5}" for k in range(12)]
+    rows = [(1, k, 0, chain[k], [chain[k + 1]]) for k in range(11)] + [(1, 20, 0, chain[11], [])]
+    hot = ["Xylophone", "Quartz Umbrella"]
+    rows += [(2, k, 0, hot[k % 2], [hot[1 - k % 2], hot[k % 2]]) for k in range(600)] + [(2, k, 1, f"{k}th {k * 7919 % 1000} other", []) for k in range(600)]
+    df = spark.createDataFrame(rows, "channel_id long, window_id long, pos int, ref string, aliases_seen array<string>")
+    none = make(spark, "entities", [], ["id", "channel_id", "canonical_name", "status"])
+    got = resolve.resolve_in_order(df, none, make(spark, "entity_aliases", [], ["entity_id", "alias"])).collect()
+    assert {(r.made_window, r.made_pos) for r in got if r.channel_id == 1} == {(0, 0)}
+    assert {(r.made_window, r.made_pos) for r in got if r.channel_id == 2 and r.pos == 0} == {(0, 0)}
+    assert [r.tier for r in got if r.channel_id == 2 and r.pos == 0].count(5) == 1
+
+
 def test_names_of_a_batch_are_matched(spark):
     names = ["NEW:Kael Vane", "NEW:Blade", "NEW:Kael"]
     docs = [{"entity_updates": [{"ref": n, "type": "person", "aliases_seen": ["Blade"] if k == 0 else [], "confidence": 0.9}]} for k, n in enumerate(names)]
