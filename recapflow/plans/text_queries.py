@@ -317,9 +317,29 @@ def audio_segments(t: Tables) -> DataFrame:
     return audio.segment(_frames(t)).select("file_id", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), "n_frames")
 
 
-@query("audio_segments_stateful")
+# The stateful rule as a recursion: begin of the open piece, its run of silent samples, whether speech was heard, and the piece cut last.
+_STATEFUL_CUTS = """arr AS MATERIALIZED (SELECT user_id % 5 AS file_id, list(value / (500 + 1500 * (user_id % 5)) ORDER BY ts, event_id) AS a FROM events GROUP BY user_id % 5),
+  st AS (SELECT file_id, 0::BIGINT AS n, 1::BIGINT AS b, 0::BIGINT AS silent, FALSE AS speech, 0::BIGINT AS first, 0::BIGINT AS upto, FALSE AS said FROM arr
+    UNION ALL
+    SELECT file_id, n, CASE WHEN cap THEN q WHEN quiet THEN n + 1 ELSE b END, CASE WHEN cap THEN (n - q + 1) * 512 WHEN quiet THEN 0 ELSE silent END,
+           CASE WHEN cap THEN sqrt(list_avg(list_transform(a[q:n], lambda x: x * x))) > 0.02 WHEN quiet THEN FALSE ELSE speech END,
+           CASE WHEN cap OR quiet THEN b ELSE 0 END, CASE WHEN cap THEN q - 1 WHEN quiet THEN n ELSE 0 END, speech FROM (
+      SELECT *, NOT cap AND silent >= 8000 AS quiet, CASE WHEN cap THEN n - 156 + list_position(a[n - 155:n - 1], list_min(a[n - 155:n - 1])) END AS q FROM (
+        SELECT st.file_id, a, st.n + 1 AS n, b, CASE WHEN a[st.n + 1] > 0.02 THEN 0 ELSE silent + 512 END AS silent, speech OR a[st.n + 1] > 0.02 AS speech,
+               (st.n + 2 - b) * 512 >= 480000 AS cap FROM st JOIN arr USING (file_id) WHERE st.n < len(a)))),
+  piece AS (SELECT file_id, first, upto FROM st WHERE first > 0 AND said
+    UNION ALL SELECT st.file_id, b, n FROM st JOIN arr ON arr.file_id = st.file_id AND n = len(a) WHERE speech AND b <= n)"""
+
+
+@query("audio_segments_stateful", """SELECT CAST(file_id AS BIGINT) AS file_id, round((first - 1) * 512 / 16000.0::DOUBLE, 6) AS t_start, round(upto * 512 / 16000.0::DOUBLE, 6) AS t_end, upto - first + 1 AS n_frames
+    FROM piece WHERE upto - first + 1 >= 10""", (), _STATEFUL_CUTS)
 def audio_segments_stateful(t: Tables) -> DataFrame:
-    return audio.segment(_frames(t), "stateful")
+    """All event values as five long rows of frame loudness, with pauses and with speech beyond the cap."""
+    events = t.read("events").select(F.pmod("user_id", F.lit(5)).alias("file_id"), "ts", "event_id", "value")
+    numbered = ordinal(events, ["file_id"], ["ts", "event_id"], "frame_no", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000))
+    frames = numbered.select("file_id", "frame_no", F.lit(512).alias("n_samples"), (F.col("value") / (500 + 1500 * F.col("file_id"))).alias("rms"))
+    cut = audio.segment(frames, "stateful", 60.0)
+    return cut.select("file_id", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), "n_frames")
 
 
 @query("stub_words", """SELECT segment_id, i, 'word' || i AS text, round(i * 0.4::DOUBLE, 6) AS t_start, round(least(i * 0.4::DOUBLE + 0.35, seconds), 6) AS t_end FROM (

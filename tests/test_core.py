@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recapflow.functions import fuzzy, similar, text as X, times as TM
 from recapflow.functions.stages import written
 from recapflow.functions.ordered import id_block, last_before, previous, running_sum, top_n
+from recapflow.operators import audio as cuts
 from recapflow.operators import (
     context, evaluation, extract, final, guards, infer, memory, mentions, recap, resolve, retention, sessions, speakers, summaries, timeline, transcript, triage, windows,
 )
@@ -598,8 +599,6 @@ def test_tables_round_trip(spark):
 
 
 def test_audio_cuts(spark):
-    from recapflow.operators import audio as cuts
-
     loud, quiet = [0.5] * 20, [0.001] * 20
     rows = [(1, i, 512, r) for i, r in enumerate(loud + quiet + loud)] + [(2, i, 512, 0.001) for i in range(40)]
     rows += [(3, i, 512, 0.1 if i == 900 else 0.5) for i in range(1000)]
@@ -625,3 +624,61 @@ def test_voice_drift(spark):
         c = c / np.linalg.norm(c)
     got = speakers.drift(moved.repartition(3), voices).first()
     assert got.updates == 5 and np.allclose(got.embedding, c, atol=1e-5)
+
+class _PlainCuts:
+    """The cutting rules frame by frame."""
+
+    def __init__(self, mode):
+        self.mode, self.begin, self.held, self.silent, self.speech, self.out = mode, 0, [], 0, False, []
+
+    def emit(self, upto):
+        n = sum(k for k, _ in self.held[:upto])
+        if n >= 4800 and (self.mode == "simple" or self.speech):
+            self.out.append((self.begin / 16000, (self.begin + n) / 16000, upto))
+        self.begin, self.held = self.begin + n, self.held[upto:]
+
+    def run(self, frames):
+        for n, rms in frames:
+            self.held.append((n, rms))
+            total = sum(k for k, _ in self.held)
+            if self.mode == "simple":
+                self.silent = 0 if rms > 0.02 else self.silent + 1
+                if (self.silent >= 15 and total >= 4800) or total >= 480000:
+                    self.emit(len(self.held))
+                    self.silent = 0
+                continue
+            self.speech, self.silent = self.speech or rms > 0.02, 0 if rms > 0.02 else self.silent + n
+            if total >= 480000:
+                last = len(self.held) - 1
+                self.emit(min(range(last - 155, last), key=lambda i: self.held[i][1]))
+            elif self.silent >= 8000:
+                self.emit(len(self.held))
+            else:
+                continue
+            self.silent = sum(k for k, _ in self.held)
+            self.speech = bool(self.held) and (sum(k * r * r for k, r in self.held) / self.silent) ** 0.5 > 0.02
+        if self.held:
+            self.emit(len(self.held))
+        return self.out
+
+
+@pytest.mark.parametrize("mode", ["simple", "stateful"])
+def test_audio_cuts_do_not_depend_on_chunks(spark, mode):
+    """Files of pauses and of speech without any, with a short frame now and then, against the plain rule."""
+    r = random.Random(11)
+    files = {}
+    for f in range(5):
+        rows, loud = [], True
+        for _ in range([9000, 6000, 5200, 40, 1][f]):
+            if r.random() < [0.02, 0.002, 0.2, 0.1, 0][f]:
+                loud = not loud
+            rms = r.choice([0.03, 0.05, 0.3]) if loud or f == 1 and r.random() < 0.9 else r.choice([0.001, 0.01, 0.02])
+            rows.append((r.choice([200, 511]) if r.random() < 0.02 else 512, rms))
+        files[f] = rows
+    rows = [(f, k + 3, n, rms) for f, x in files.items() for k, (n, rms) in enumerate(x)]
+    df = spark.createDataFrame(rows, "file_id long, frame_no long, n_samples int, rms double").repartition(5).cache()
+    want = sorted((f, *map(lambda v: round(v, 6), p[:2]), p[2]) for f, x in files.items() for p in _PlainCuts(mode).run(x))
+    for seconds in (41.0, 100.0, 600.0):
+        got = cuts.segment(df, mode, seconds).collect()
+        assert sorted((g.file_id, round(g.t_start, 6), round(g.t_end, 6), g.n_frames) for g in got) == want
+    assert len(want) > 50 and {f for f, *_ in want} >= {0, 1, 2}
