@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recapflow.functions import text as X
-from recapflow.functions.folds import fold_sorted
 from recapflow.functions.fuzzy import partial_token_set_score, word_edit_distance
 from recapflow.functions.similar import similar_keys, similar_within, token_key
+from recapflow.functions.stages import written
 
 # Thresholds per list of a snapshot.
 THRESHOLDS = {"events": 80.0, "entities": 95.0, "threads": 85.0}
@@ -38,36 +38,41 @@ def accuracy(pred: Column, gold: Column) -> Column:
     return F.when(F.size(gold) == 0, 0.0).otherwise(F.size(hits) / F.size(gold))
 
 
-class _Greedy:
-    """Gold items in order, each takes its best still free prediction."""
+def assign(pairs: DataFrame) -> DataFrame:
+    """(session_id, gold_no, pred_no) when gold items in order each take their best prediction that is still free; best by
+    ``cost``, then by number. ``pairs``: session_id, gold_no, pred_no, cost.
 
-    def __init__(self) -> None:
-        self.taken, self.done, self.session, self.matched = set(), None, None, 0
-
-    def feed(self, rows: dict[str, list]) -> list[tuple]:
-        self.session = rows["session_id"][0]
-        for gold, pred in zip(rows["gold_no"], rows["pred_no"]):
-            if gold != self.done and pred not in self.taken:
-                self.taken.add(pred)
-                self.done, self.matched = gold, self.matched + 1
-        return []
-
-    def finish(self) -> list[tuple]:
-        return [(self.session, self.matched)]
+    By deferred acceptance: every gold item asks its best remaining prediction, a prediction holds the first of those that ask
+    and is lost to all later ones, and so on until nobody is turned down. Since predictions rank gold items by their order, the
+    result is that of the loop over gold items. A round is two grouped minima and a join over all sessions; keys are single items."""
+    left = written(pairs.select("session_id", "gold_no", "pred_no", "cost"))
+    n = left.count()
+    while True:
+        asked = left.groupBy("session_id", "gold_no").agg(F.min(F.struct("cost", "pred_no")).alias("best")).select("session_id", "gold_no", "best.pred_no")
+        held = asked.groupBy("session_id", "pred_no").agg(F.min("gold_no").alias("holder"))
+        met = left.join(held, ["session_id", "pred_no"], "left")
+        left = written(met.where(F.col("holder").isNull() | (F.col("gold_no") <= F.col("holder"))).drop("holder"))
+        before, n = n, left.count()
+        if n == before:
+            return asked
 
 
 def matches(pred: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
     """(session_id, matched) for lists ``pred``/``gold`` (session_id, no, text). Only pairs that reach the
-    threshold can be matched, so only those are formed."""
+    threshold can be matched, so only those are formed. Of k gold items with the same words the last gets at best its k-th choice,
+    so its better ones are left out, which spares runs of equal names one round each."""
     key = token_key(X.fold_case(F.col("text")))
     p, g = pred.withColumn("key", key), gold.withColumn("key", key)
     close = similar_keys(g.select("session_id", "key"), p.select("session_id", "key"), ["session_id"], threshold)
-    pairs = (
-        close.join(g.select("session_id", F.col("key").alias("key_a"), F.col("no").alias("gold_no")), ["session_id", "key_a"])
-        .join(p.select("session_id", F.col("key").alias("key_b"), F.col("no").alias("pred_no")), ["session_id", "key_b"])
-        .select("session_id", "gold_no", "pred_no", (-F.col("score")).alias("cost"))
+    choice = Window.partitionBy("session_id", "key_a").orderBy(F.desc("score"), "pred_no")
+    listed = (
+        close.join(p.select("session_id", F.col("key").alias("key_b"), F.col("no").alias("pred_no")), ["session_id", "key_b"])
+        .withColumn("choice", F.row_number().over(choice))
     )
-    return fold_sorted(pairs, ["session_id"], ["gold_no", "cost", "pred_no"], _Greedy, "session_id BIGINT, matched BIGINT")
+    turn = F.row_number().over(Window.partitionBy("session_id", "key").orderBy("no"))
+    golds = g.select("session_id", F.col("key").alias("key_a"), F.col("no").alias("gold_no"), turn.alias("turn"))
+    pairs = listed.join(golds, ["session_id", "key_a"]).where("choice >= turn").withColumn("cost", -F.col("score"))
+    return assign(pairs).groupBy("session_id").agg(F.count(F.lit(1)).alias("matched"))
 
 
 def prf(pred: DataFrame, gold: DataFrame, threshold: float = 85.0) -> DataFrame:

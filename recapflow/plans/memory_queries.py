@@ -279,10 +279,21 @@ def normalize(t: Tables) -> DataFrame:
     return t.read("embeddings").select("vec_id", F.round(vec.norm(v), 4).alias("n"), F.round(vec.norm(vec.normalize(v)), 4).alias("unit"))
 
 
-@query("speaker_drift")
+_UNIT = "list_transform({x}, lambda x: x / sqrt(list_dot_product({x}, {x})))"
+_DRIFTS = f"""mv AS MATERIALIZED (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, embedding::DOUBLE[] AS v FROM embeddings),
+  dr AS (SELECT label, 0::BIGINT AS k, {_UNIT.format(x="v")} AS c FROM mv WHERE k = 1
+    UNION ALL
+    SELECT label, k, {_UNIT.format(x="raw")} FROM (
+      SELECT dr.label, mv.k, list_transform(list_zip(c, v), lambda z: 0.9::DOUBLE * z[1] + 0.1::DOUBLE * z[2]) AS raw FROM dr JOIN mv ON mv.label = dr.label AND mv.k = dr.k + 1))"""
+
+
+@query("speaker_drift", """SELECT CAST(label AS BIGINT) AS speaker_id, k AS updates, CAST(i - 1 AS INTEGER) AS i, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS x FROM (
+    SELECT label, k, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM dr QUALIFY k = max(k) OVER (PARTITION BY label))""", (), _DRIFTS)
 def speaker_drift(t: Tables) -> DataFrame:
+    """Centroids of the labels after all their vectors, one row per component."""
     matched = t.read("embeddings").select(F.col("label").cast("bigint").alias("speaker_id"), F.col("vec_id").cast("double").alias("t_start"), F.col("vec_id").alias("segment_id"), "embedding")
-    return speakers.drift(matched, _voices(t).drop("channel_id"))
+    moved = speakers.drift(matched, _voices(t).drop("channel_id"), 16, 8)
+    return moved.select("speaker_id", "updates", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
 @query("identify_voices")
@@ -696,8 +707,18 @@ def stub_extract(t: Tables) -> DataFrame:
     return asked.select("doc_id", "extraction.window_summary", "status")
 
 
-@query("prf")
+_MATCHED = """, ent AS (SELECT *, array_to_string(list_sort(list_distinct(string_split(lower(canonical_name), ' '))), ' ') AS k FROM entities WHERE status <> 'merged'),
+  gp AS (SELECT channel_id, gold, list(pred ORDER BY score DESC, pred) AS preds, row_number() OVER (PARTITION BY channel_id ORDER BY gold) AS i FROM (
+    SELECT x.channel_id, x.id AS gold, y.id AS pred, CASE WHEN x.k = y.k THEN 100 ELSE sc.score END AS score FROM ent x JOIN ent y ON y.channel_id = x.channel_id AND x.id % 2 = 0 AND y.id % 2 = 1
+      LEFT JOIN sc ON sc.a = least(x.k, y.k) AND sc.b = greatest(x.k, y.k)) WHERE score >= 72 GROUP BY channel_id, gold),
+  mt AS (SELECT DISTINCT channel_id, 0::BIGINT AS i, []::BIGINT[] AS taken FROM gp
+    UNION ALL SELECT m.channel_id, g.i, list_concat(taken, list_filter(preds, lambda x: NOT list_contains(taken, x))[1:1]) FROM mt m JOIN gp g ON g.channel_id = m.channel_id AND g.i = m.i + 1)"""
+
+
+@query("prf", """SELECT session_id, matched, round(matched / n, 4) AS precision, round(matched / k, 4) AS recall, round(CASE WHEN matched = 0 THEN 0 ELSE 2 * (matched / n) * (matched / k) / (matched / n + matched / k) END, 4) AS f1 FROM (
+    SELECT e.channel_id AS session_id, count(*) FILTER (id % 2 = 1) AS n, count(*) FILTER (id % 2 = 0) AS k, coalesce((SELECT max(len(taken)) FROM mt WHERE mt.channel_id = e.channel_id), 0) AS matched FROM ent e GROUP BY e.channel_id)""",
+       ("entities",), _SCORES + _MATCHED)
 def prf(t: Tables) -> DataFrame:
-    """Part names of neighbouring brands as predicted and expected names."""
-    names = t.read("part").select(F.substring_index("p_brand", "#", -1).cast("bigint").alias("session_id"), F.col("p_partkey").alias("no"), F.col("p_name").alias("text"))
-    return evaluation.prf(names, names.withColumn("session_id", F.col("session_id") + 1), 95.0)
+    """Names of a channel, the odd ones as predicted and the even ones as expected names."""
+    names = t.entities.where("status <> 'merged'").select(F.col("channel_id").alias("session_id"), F.col("id").alias("no"), F.col("canonical_name").alias("text"))
+    return evaluation.prf(names.where("no % 2 = 1"), names.where("no % 2 = 0"), 72.0)

@@ -625,6 +625,47 @@ def test_voice_drift(spark):
     got = speakers.drift(moved.repartition(3), voices).first()
     assert got.updates == 5 and np.allclose(got.embedding, c, atol=1e-5)
 
+def test_voice_drift_forgets(spark):
+    """The same for every length of the chunks, also where vectors keep cancelling the centroid."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    rows, want = [], {}
+    for who in (1, 2, 3):
+        c = np.array([1.0, 0.0, 0.0, 0.0])
+        for k in range(400):
+            v = (rnd.normal(size=4) if who < 3 else -9.0 * c + 0.01 * rnd.normal(size=4)).astype("float32")
+            rows.append((who, float(k), k, v.tolist()))
+            c = 0.9 * c + 0.1 * v.astype("float64")
+            c = c / np.linalg.norm(c)
+        want[who] = c
+    voices = spark.createDataFrame([(w, [1.0, 0.0, 0.0, 0.0]) for w in (1, 2, 3, 4)], "speaker_id long, embedding array<float>")
+    moved = spark.createDataFrame(rows, "speaker_id long, t_start double, segment_id long, embedding array<float>").repartition(4)
+    for chunk, halo in ((100, 40), (64, 64), (1000, 10)):
+        got = {r.speaker_id: r for r in speakers.drift(moved, voices, chunk, halo).collect()}
+        assert sorted(got) == [1, 2, 3, 4] and [got[w].updates for w in (1, 4)] == [400, 0]
+        assert all(np.allclose(got[w].embedding, c, atol=1e-6) for w, c in want.items() if w < 3 or chunk == 1000)
+
+
+def test_gold_items_take_predictions_in_order(spark):
+    """Rounds over joins against the loop, with ties, chains of displacement and equal names."""
+    r = random.Random(6)
+    rows = [(s, g, p, -float(r.choice([80, 90, 100]))) for s in range(4) for g in range(25) for p in range(20) if r.random() < 0.3]
+    rows += [(9, g, p, -100.0) for g in range(30) for p in range(30)]
+    want = set()
+    for s in {x[0] for x in rows}:
+        taken = set()
+        for g in sorted({x[1] for x in rows if x[0] == s}):
+            free = sorted((c, p) for q, h, p, c in rows if (q, h) == (s, g) and p not in taken)
+            if free:
+                taken.add(free[0][1])
+                want.add((s, g, free[0][1]))
+    df = spark.createDataFrame(rows, "session_id long, gold_no long, pred_no long, cost double").repartition(6)
+    assert {tuple(x) for x in evaluation.assign(df.where("session_id < 9 OR pred_no >= gold_no")).collect()} == want
+    names = lambda n: spark.createDataFrame([(1, k, "Kael Vane") for k in range(n)], "session_id long, no long, text string")
+    assert evaluation.matches(names(300), names(200), 85.0).first().matched == 200
+
+
 class _PlainCuts:
     """The cutting rules frame by frame."""
 
