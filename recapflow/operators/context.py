@@ -23,6 +23,8 @@ HISTORY = 3
 SPEAKERS = 12
 DORMANT_AFTER = 3
 TOKEN_BUDGET = 3000
+#: Seconds of stream time that windows and rows of a further source are laid out by.
+EXTRA_BUCKET = 300.0
 PREVIOUS_CHARS, CAST_CHARS, AKA_CHARS, THREAD_CHARS, HISTORY_CHARS = 500, 240, 120, 200, 250
 
 
@@ -101,11 +103,30 @@ def _aka(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def extra(windows: DataFrame, notes: DataFrame, bucket_seconds: float = EXTRA_BUCKET) -> DataFrame:
+    """(window_id, seq, text): rows of a further source for every window whose time they touch, in order of time.
+    ``windows``: window_id, session_id, t_start, t_end; ``notes``: session_id, id, t_start, t_end, text. A row that ends as it starts is
+    a point in time; a window includes its start, not its end.
+
+    Both sides are laid out on time buckets and meet by (session, bucket), so a session with a large share of all rows
+    is spread over its time. A pair is taken in the first bucket both share."""
+    def laid(df: DataFrame) -> DataFrame:
+        first, last = (F.floor(F.col(c) / bucket_seconds) for c in ("t_start", "t_end"))
+        return df.withColumn("__first", first).withColumn("__bucket", F.explode(F.sequence(first, last)))
+
+    left = laid(windows.select("window_id", "session_id", "t_start", "t_end"))
+    right = laid(notes.select("session_id", "id", "t_start", "t_end", "text")).withColumnsRenamed({"t_start": "n_start", "t_end": "n_end", "__first": "__n_first"})
+    meets = (F.col("n_start") < F.col("t_end")) & ((F.col("n_end") > F.col("t_start")) | ((F.col("n_start") == F.col("n_end")) & (F.col("n_start") == F.col("t_start"))))
+    met = left.join(right, ["session_id", "__bucket"]).where(meets & (F.col("__bucket") == F.greatest("__first", "__n_first")))
+    order = Window.partitionBy("window_id").orderBy("n_start", "id")
+    return met.select("window_id", F.row_number().over(order).cast("bigint").alias("seq"), "text")
+
+
 def build(windows: DataFrame, channels: DataFrame, sessions: DataFrame, entities: DataFrame, aliases: DataFrame,
           thread_table: DataFrame, done: DataFrame, summaries: DataFrame, speakers: DataFrame | None = None,
-          extra: DataFrame | None = None) -> DataFrame:
+          extra: DataFrame | None = None, budget: int = TOKEN_BUDGET) -> DataFrame:
     """(window_id, context): the blocks in fixed order within the token budget. ``speakers``: window_id,
-    position, label. ``extra``: optional rows (window_id, seq, text) of further sources."""
+    position, label. ``extra``: optional rows (window_id, seq, text) of further sources, such as the function of that name gives."""
     keys = windows.select("window_id", "session_id", "channel_id")
 
     def part(df: DataFrame, block: int, seq: Column, text: Column) -> DataFrame:
@@ -141,6 +162,6 @@ def build(windows: DataFrame, channels: DataFrame, sessions: DataFrame, entities
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
-    return pack(every, ["window_id"]).groupBy("window_id").agg(
+    return pack(every, ["window_id"], budget).groupBy("window_id").agg(
         X.lines(F.collect_list(F.struct("block", "seq", F.col("text").alias("line")))).alias("context")
     )

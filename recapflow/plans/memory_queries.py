@@ -232,15 +232,6 @@ def history(t: Tables) -> DataFrame:
     return context.history(asked, done).select("window_id", F.col("back").cast("bigint").alias("back"), "window_summary")
 
 
-@query("context_build")
-def context_build(t: Tables) -> DataFrame:
-    """Full context pack of the supplier windows."""
-    sess = t.sessions.withColumn("category", F.lit("shop"))
-    done = t.ev_windows.withColumn("window_summary", F.concat(F.lit("w"), F.col("id")))
-    told = t.ev_recaps.withColumn("kind", F.lit("rolling"))
-    return context.build(_texts(t), t.channels, sess, t.entities, t.aliases, t.threads, done, told)
-
-
 # ---------------------------------------------------------------- voices and consent
 
 
