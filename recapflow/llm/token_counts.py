@@ -24,7 +24,10 @@ from pyspark.sql import types as T
 from recapflow.llm import common
 
 MARK = "▁"
-_CACHED_WORDS = 500_000
+#: Words of up to so many characters are remembered, and so many bytes of them, about.
+_CACHED_LENGTH, _CACHED_BYTES = 64, 64_000_000
+#: Longer words, whole texts without a space among them, are counted with the cells that the longest piece reaches back for.
+_LONG = 4096
 UNKNOWN_PENALTY = 10.0
 
 
@@ -35,6 +38,7 @@ class Counter:
     pieces: list[tuple[str, float]]
     byte_fallback: bool = True
     _known: dict[str, int] = field(default_factory=dict)
+    _bytes: int = 0
 
     def __post_init__(self) -> None:
         self.match = ahocorasick.Automaton()
@@ -45,6 +49,7 @@ class Counter:
                 if len(piece) == 1:
                     self.single.add(piece)
         self.match.make_automaton()
+        self.longest = max((len(p) for p, _ in self.pieces), default=1)
         self.bytes = self.byte_fallback and {f"<0x{i:02X}>" for i in range(256)} <= {p for p, _ in self.pieces}
         self.unknown = min((s for _, s in self.pieces), default=0.0) - UNKNOWN_PENALTY
 
@@ -53,6 +58,8 @@ class Counter:
         if not len(self.match):
             return len(word.encode("utf-8", "surrogatepass")) if self.bytes else int(bool(word))
         size = len(word)
+        if size > _LONG:
+            return self._long(word)
         best, count, tail = [0.0] + [None] * size, [0] * (size + 1), [False] * (size + 1)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(size)]
         for end, found in self.match.iter(word):
@@ -72,6 +79,29 @@ class Counter:
                     count[end + 1] = count[end] + step
         return count[size]
 
+    def _long(self, word: str) -> int:
+        """The same in a ring of cells: a piece reaches no further back than the longest one is long."""
+        ring = self.longest + 1
+        best, count, tail = [0.0] * ring, [0] * ring, False
+        matches = self.match.iter(word)
+        at, found = next(matches, (-1, None))
+        last = 0
+        for end, char in enumerate(word):
+            top, pieces, unknown = None, 0, False
+            while at == end:
+                length, score = found
+                start = (end + 1 - length) % ring
+                if top is None or best[start] + score > top:
+                    top, pieces = best[start] + score, count[start] + 1
+                at, found = next(matches, (-1, None))
+            if char not in self.single:
+                total = best[end % ring] + self.unknown
+                if top is None or total > top:
+                    top, unknown = total, True
+                    pieces = count[end % ring] + (len(char.encode("utf-8", "surrogatepass")) if self.bytes else int(not tail))
+            best[(end + 1) % ring], count[(end + 1) % ring], tail, last = top, pieces, unknown, pieces
+        return last
+
     def text(self, text: str) -> int:
         """Pieces of a whole text."""
         if not text:
@@ -81,10 +111,15 @@ class Counter:
             marked = MARK + marked
         head, *rest = marked.split(MARK)  # the first part is empty
         known, total = self._known, 0
-        if len(known) > _CACHED_WORDS:
+        if self._bytes > _CACHED_BYTES:
             known.clear()
+            self._bytes = 0
+        if max(map(len, rest)) > _CACHED_LENGTH:
+            total = sum(self.word(MARK + w) for w in rest if len(w) > _CACHED_LENGTH)
+            rest = [w for w in rest if len(w) <= _CACHED_LENGTH]
         for w in set(rest).difference(known):
             known[w] = self.word(MARK + w)
+            self._bytes += 150 + 2 * len(w)
         for n in map(known.__getitem__, rest):
             total += n
         return total
@@ -103,7 +138,8 @@ def count(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "tex
     """One row per document: id, n_chars and n_tokens under the pieces and scores of a sentencepiece model file, read
     by each worker from ``vocabulary``.
 
-    NULL and empty texts have 0 tokens; repeated rows are counted each; other columns are not read; an empty table
+    NULL and empty texts have 0 tokens; texts of any length are counted whole, also those without a space, and take memory
+    for little more than the text; repeated rows are counted each; other columns are not read; an empty table
     gives an empty table. The file must be readable on every executor, as the tokenizer files are installed there."""
     schema = T.StructType([
         T.StructField(id, docs.schema[id].dataType), T.StructField("n_chars", T.LongType()), T.StructField("n_tokens", T.LongType()),

@@ -124,6 +124,25 @@ def test_ties_and_unknown_characters(fallback):
             assert mine.text(t) == len(model.encode(t, add_special_tokens=False).ids), (vocab, t)
 
 
+def test_long_words_need_little_memory():
+    """A text without a space equals the count of the plain tables, and takes memory for little more than itself."""
+    import tracemalloc
+
+    r = random.Random(12)
+    vocab = [(c, -r.random() * 9) for c in "abc中文字\U0001f600"] + [("".join(r.choice("abc中文") for _ in range(r.randrange(2, 9))), -r.random() * 12) for _ in range(300)]
+    for fallback in (True, False):
+        pieces = vocab + [(f"<0x{i:02X}>", -20.0) for i in range(256)] * fallback
+        mine = token_counts.Counter(pieces, fallback)
+        for _ in range(40):
+            word = "".join(r.choice("abc中文字dé\U0001f600x") for _ in range(r.randrange(1, 400)))
+            assert mine._long(word) == mine.word(word)
+    text = "".join(r.choice("abc中文d") for _ in range(1000)) * 1500
+    tracemalloc.start()
+    assert mine.text(text) > 0 and mine.text(text + " abc") > 0
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000 and len(mine._known) == 1
+    tracemalloc.stop()
+
+
 def plain_secrets(text):
     """The base rules as they are worded."""
     out = []
@@ -168,13 +187,17 @@ def test_structure_confirms_keys():
     for name, k in keys().items():
         flat = base64.b64encode(k).decode()
         lines = "\n".join(flat[i:i + 64] for i in range(0, len(flat), 64))
-        kind = "ssh_key" if name == "ssh" else "der_key"
+        kind = "ssh_key" if name == "ssh" else "private_key"
         for body in (flat, lines):
             for text in (f"é😀 key: {body} and so on", f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----", f"{body}\nNext line of words"):
                 found = secrets.structural_spans(text)
                 assert [(text[a:b], x) for a, b, x in found] == [(body, kind)], (name, text[:60])
-        if name != "ssh":
-            assert [x[2] for x in secrets.structural_spans(f"x {k.hex()} y")] == ["der_key"]
+        dump = k.hex()
+        colons = ":".join(dump[i:i + 2] for i in range(0, len(dump), 2))
+        for body in (dump, dump.upper(), "\n".join(dump[i:i + 32] for i in range(0, len(dump), 32)), colons, ":\n    ".join(colons[i:i + 44] for i in range(0, len(colons), 45))):
+            for before in ("x ", "0x", "key=ab", "a"):
+                text = f"{before}{body} y"
+                assert [(text[a:b], x) for a, b, x in secrets.structural_spans(text)] == [(body, kind)], (name, text[:60])
         broken = bytearray(k)
         broken[len(k) // 2:] = b""
         assert secrets.structural_spans("key " + base64.b64encode(bytes(broken)).decode()) == []
@@ -187,7 +210,7 @@ def test_structure_confirms_keys():
 def test_keys_in_other_wrappings():
     small = {"short sec1": tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(range(32)))), "public": tlv(0x30, tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(3, b"\0" + bytes(range(200, 232))))}
     for name, k in (keys() | small).items():
-        kind, flat = "ssh_key" if name == "ssh" else "der_key", base64.b64encode(k).decode()
+        kind, flat = {"ssh": "ssh_key", "public": "public_key"}.get(name, "private_key"), base64.b64encode(k).decode()
         wrapped = [flat[i:i + 64] for i in range(0, len(flat), 64)]
         for end in ("\\n", "\\r\\n", "\\\\n", "\n    ", "\r\n\t", " \n  "):
             body = end.join(wrapped)
@@ -197,13 +220,47 @@ def test_keys_in_other_wrappings():
         for before in ("", "x", "QUJD/", "n" * 41):
             text = f"at {before}{url} and"
             assert [(text[a:b], x) for a, b, x in secrets.structural_spans(text)] == [(url, kind)], (name, before)
-    assert [x[2] for x in secrets.structural_spans(f"x {small['short sec1'].hex()} y")] == ["der_key"]
+    assert [x[2] for x in secrets.structural_spans(f"x {small['short sec1'].hex()} y")] == ["private_key"]
     pair = base64.b64encode(keys()["sec1"]).decode().rstrip("=") + "\n" + base64.b64encode(keys()["pkcs8"]).decode()
-    assert [x[2] for x in secrets.structural_spans(pair)] == ["der_key", "der_key"]
+    assert [x[2] for x in secrets.structural_spans(pair)] == ["private_key", "private_key"]
     certificate = tlv(0x30, tlv(0x30, tlv(2, b"\1\1\1\1") + small["public"]) + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(3, b"\0" * 65))
     assert secrets.structural_spans("c " + base64.b64encode(certificate).decode()) == []
 
 
+def test_keys_at_any_width():
+    for name, k in keys().items():
+        kind, flat = "ssh_key" if name == "ssh" else "private_key", base64.b64encode(k).decode()
+        for width in (16, 32, 40, 61):
+            wrapped = [flat[i:i + width] for i in range(0, len(flat), width)]
+            for end in ("\n", "\n# ", "\r\n * ", '" +\n    "', '\\n"\n  + "', "' \\\n '", '" "', "\n> "):
+                body = end.join(wrapped)
+                text = f"# 'é {{ \"{body}\" }}"
+                assert [(text[a:b], x) for a, b, x in secrets.structural_spans(text)] == [(body, kind)], (name, width, end)
+
+
+def test_structures_that_are_no_keys():
+    """Signatures, digests, certificates' parts and random structures, in base64 and hex."""
+    r = random.Random(8)
+    number = lambda n: tlv(2, bytes([r.randrange(1, 128)]) + r.randbytes(n - 1))
+    digest = tlv(0x30, tlv(0x30, tlv(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + tlv(5, b"")) + tlv(4, r.randbytes(32)))
+    signatures = [tlv(0x30, number(a) + number(b)) for a, b in ((32, 32), (33, 32), (20, 20), (48, 48), (66, 66), (66, 65))]
+
+    def structure(depth):
+        kind = r.choice([2, 4, 5, 6, 3, 0x0C, 0x13] + [0x30] * 3 * (depth > 0))
+        return tlv(0x30, b"".join(structure(depth - 1) for _ in range(r.randrange(1, 5)))) if kind == 0x30 else tlv(kind, b"" if kind == 5 else r.randbytes(r.randrange(1, 60)))
+
+    others = [tlv(0x30, b"".join(structure(3) for _ in range(r.randrange(1, 6)))) for _ in range(10_000)]
+    for data in [digest, *signatures, *others]:
+        assert secrets.der_kind(data) is None, data.hex()
+    for data in [digest, *signatures, *others[:200]]:
+        for text in (base64.b64encode(data).decode(), data.hex()):
+            assert secrets.structural_spans(f"signed {text} .") == []
+    modulus, exponent = tlv(2, b"\0\xc1" + r.randbytes(126) + b"\x01"), tlv(2, b"\1\0\1")
+    assert secrets.der_kind(tlv(0x30, modulus + exponent)) == "public_key"
+    dsa = tlv(0x30, tlv(2, b"\0") + number(128) + number(20) + number(128) + number(128) + number(20))
+    assert secrets.der_kind(dsa) == "private_key"
+
+
 def test_token_headers_with_white_space():
     for head in (b'{ "alg":"HS256"}', b'{\n  "alg": "none"\n}', b'{\r\n"alg":"x"}', b'{\t"alg":"x"}', b' {"alg":"x"}', b'\n{"alg":"x"}'):
         token = jwt(head)
@@ -228,7 +285,7 @@ def test_secrets_match_the_wording(spark, sf, wide, rows, none):
         assert got == want
     pem = "token = abcdefgh " + base64.b64encode(keys()["pkcs8"]).decode()
     row = secrets.scan(spark.createDataFrame([(1, pem)], "doc_id bigint, text string")).first()
-    assert row["n_structural"] == 1 and row["spans"].split(",")[0] == "assign:0:16" and row["spans"].split(",")[1].startswith("der_key:17:")
+    assert row["n_structural"] == 1 and row["spans"].split(",")[0] == "assign:0:16" and row["spans"].split(",")[1].startswith("private_key:17:")
     assert secrets.scan(none).count() == 0
 
 
