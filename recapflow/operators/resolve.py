@@ -38,10 +38,6 @@ def name_sets(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def shares_name(a: Column, b: Column) -> Column:
-    return F.arrays_overlap(a, b)
-
-
 def aka(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Display list of aliases: sorted, distinct, comma separated; a dash when there are none."""
     shown = aliases.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("alias")), ", ").alias("aka"))
@@ -154,9 +150,12 @@ def _makers(first: DataFrame, near: DataFrame, spoken: DataFrame) -> DataFrame:
     known = first.join(spoken, _NAME, "left").where(~F.coalesce(F.col("spoken") < F.col("first"), F.lit(False))).drop("spoken")
     like = near.join(known, _NAME).join(_other(spoken), ["channel_id", "other"], "left")
     told = like.where(F.col("spoken") < F.col("first")).select(*_NAME)
-    open_ = written(known.join(told, _NAME, "left_anti"))
-    both = near.join(open_, _NAME).join(_other(open_, first="earlier"), ["channel_id", "other"])
+    free = known.join(told, _NAME, "left_anti")
+    both = near.join(free, _NAME).join(_other(free, first="earlier"), ["channel_id", "other"])
     edges = written(both.where(F.col("earlier") < F.col("first")).select("channel_id", "lname", "other"))
+    if edges.isEmpty():
+        return free
+    open_ = written(free)
     made = []
     while not edges.isEmpty():
         free = written(open_.join(edges, _NAME, "left_anti"))
