@@ -723,3 +723,28 @@ def test_audio_cuts_do_not_depend_on_chunks(spark, mode):
         got = cuts.segment(df, mode, seconds).collect()
         assert sorted((g.file_id, round(g.t_start, 6), round(g.t_end, 6), g.n_frames) for g in got) == want
     assert len(want) > 50 and {f for f, *_ in want} >= {0, 1, 2}
+
+
+def test_gold_files_and_vector_hooks(spark, tmp_path):
+    """Gold documents, and the hooks for recognisers and voice models with plain rules behind them."""
+    import pandas as pd
+
+    gold = {"transcript": "hello there", "events": ["one"], "entities": [], "threads": None, "summary_facts": ["a fact"]}
+    (tmp_path / "s1.json").write_text(json.dumps(gold, indent=1))
+    (tmp_path / "s2.json").write_text("{}")
+    got = {r.file.rsplit("/", 1)[1]: r for r in documents.read_gold(spark, str(tmp_path)).collect()}
+    assert (got["s1.json"].transcript, got["s1.json"].events, got["s1.json"].summary_facts) == ("hello there", ["one"], ["a fact"])
+    assert got["s1.json"].threads is None and got["s2.json"].transcript is None
+
+    df = spark.createDataFrame([(1, 2.0, [0.5, -0.5]), (2, 3.0, [1.0])], "segment_id long, t_start double, samples array<float>").cache()
+    doubled = infer.map_vectors(df, lambda s: pd.Series([[2 * v for v in x] for x in s]), "samples").collect()
+    assert {r.segment_id: r.embedding for r in doubled} == {1: [1.0, -1.0], 2: [2.0]}
+    stub = {r.segment_id: r.e for r in df.select("segment_id", infer.stub_embedding(F.col("samples")).alias("e")).collect()}
+    assert all(len(v) == infer.STUB_DIM and abs(sum(x * x for x in v) - 1) < 1e-4 for v in stub.values()) and stub[1] != stub[2]
+
+    class Recogniser:
+        def transcribe(self, samples, t_start):
+            return [(f"w{k}", t_start + k, t_start + k + 1, 0.5) for k in range(len(samples))]
+
+    words = sorted((r.segment_id, r.text, r.t_start, r.prob) for r in infer.transcribe(df, Recogniser).collect())
+    assert words == [(1, "w0", 2.0, 0.5), (1, "w1", 3.0, 0.5), (2, "w0", 3.0, 0.5)]
