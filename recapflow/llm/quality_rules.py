@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 
 from recapflow.llm import common
 
-#: Symbols counted by the base rule, and common function words of the four languages of the corpus.
+#: Symbols counted by the base rule, and characters that words of prose in any script do without.
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
-FUNCTION_WORDS = (
-    "a and are as at be by for in is it of on or that the this to was with "
-    "auf das der des die ein eine für ist mit nicht sich und von zu "
-    "au dans de du en est et la le les par pas pour que qui sur un une "
-    "al con del el las los no por se su una y"
-).split()
+ODD = r"[#$%&*+<=>@\\^_`{|}~]"
+LETTER = r"\p{L}"
 
 #: Thresholds of the votes: rule -> (feature, good when at most, bad when more than); between them it abstains.
 RULES = {
@@ -32,11 +28,9 @@ RULES = {
     "dup_lines": ("dup_line_share", 0.05, 0.3),
     "repeats": ("repeat_share", 0.15, 0.35),
     "word_length": ("length_gap", 3.0, 5.0),
-    "function_words": ("rare_function_words", 0.0, 1.0),
+    "odd_words": ("odd_word_share", 0.1, 0.25),
 }
 KEEP_AT = 0.5
-#: Words in so many of 100 documents of a language count as its function words, if it has so many documents.
-FREQUENT_PERCENT, LANGUAGE_DOCS = 25, 20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -57,56 +51,39 @@ def _repeat_words(h: Column) -> Column:
     return F.when(F.size(F.array_distinct(h)) < F.size(h), covered(places)).otherwise(F.lit(0).cast("long"))
 
 
-def frequent_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(language, known): per language the words with a letter, in lower case, that FREQUENT_PERCENT of its documents of 20 words
-    and more hold. At most 100 / FREQUENT_PERCENT times the distinct words of a mean document are. Languages with
-    fewer than LANGUAGE_DOCS such documents, and NULL, have no row."""
-    w = common.words(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    # no word is empty, so the empty one counts the documents
-    held = common.let(w, lambda x: F.when(F.size(x) >= 20, F.array_append(F.array_distinct(x), F.lit(""))))
-    counts = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("language"), F.explode(held).alias("word")).groupBy("language", "word").count()
-    often = common.settled(counts.where(F.col("count") * 100 >= LANGUAGE_DOCS * FREQUENT_PERCENT))
-    of = common.settled(often.where(f"word = '' AND count >= {LANGUAGE_DOCS}").select("language", F.col("count").alias("n")))
-    shared = common.join_small(often, of, ["language"], of.count(), F.xxhash64("word")).where(F.col("count") * 100 >= F.col("n") * FREQUENT_PERCENT)
-    return common.settled(shared.where(F.col("word").rlike(r"\p{L}")).groupBy("language").agg(F.collect_set("word").alias("known")))
-
-
-def features(docs: DataFrame, keep: list[Column], text: str = "text", known: Column | None = None) -> DataFrame:
-    """Counts of each text beside the ``keep`` columns; a NULL text counts as empty. ``known`` are function words of
-    the text's language beside the fixed ones, NULL if there are none; words are then compared in lower case."""
+def features(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
+    """Counts of each text beside the ``keep`` columns; a NULL text counts as empty. Odd words have no letter or hold a
+    symbol of ODD; letters of any script and either case count alike, so no language needs a word list."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(common.SPACE)) != "")
     without = lambda chars: F.length(F.translate(t, chars, ""))
     base = docs.select(
         *keep,
         common.words(t).alias("__w"),
-        (F.lit(None) if known is None else common.words(F.lower(t))).alias("__spoken"),
-        F.lit(None).cast("array<string>").alias("__known") if known is None else known.alias("__known"),
         lines.alias("__lines"),
         without(common.SPACE).cast("long").alias("word_chars"),
         (F.length(t) - without(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.length(t) - without(PUNCTUATION)).cast("long").alias("__n_punct"),
     )
-    w, fixed = F.col("__w"), F.array(*[F.lit(x) for x in FUNCTION_WORDS])
-    met = F.array_intersect(w, fixed) if known is None else F.array_intersect("__spoken", F.concat(fixed, F.coalesce("__known", F.array().cast("array<string>"))))
+    w = F.col("__w")
+    odd = F.filter(w, lambda x: ~x.rlike(LETTER) | x.rlike(ODD))
     window = F.transform(
         F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     )
-    kept = [c for c in base.columns if not c.startswith("__w") and c not in ("__lines", "__spoken", "__known")]
+    kept = [c for c in base.columns if c not in ("__w", "__lines")]
     counted = base.select(
         *kept,
         F.size(w).cast("long").alias("n_words"),
         F.size("__lines").cast("long").alias("__n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.size(met).alias("__function_words"),
-        F.coalesce(F.size("__known") >= 2, F.lit(known is None)).alias("__language_known"),
+        F.size(odd).cast("long").alias("__n_odd"),
         F.when(F.size(w) >= 3, window).otherwise(F.array().cast("array<bigint>")).alias("__h"),
     )
     return common.computed(counted.withColumn("n_repeat_words", _repeat_words(F.col("__h"))).drop("__h"))
 
 
 def votes() -> dict[str, Column]:
-    """1 good, -1 bad, 0 abstain, per rule. NULL: no function word occurs and those of the language are not known."""
+    """1 good, -1 bad, 0 abstain, per rule; texts without words get bad votes."""
     n, share = F.col("n_words"), lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     measures = {
         "symbol_share": share("n_symbols", "n_words"),
@@ -114,16 +91,12 @@ def votes() -> dict[str, Column]:
         "dup_line_share": share("n_dup_lines", "__n_lines"),
         "repeat_share": share("n_repeat_words", "n_words"),
         "length_gap": F.abs(share("word_chars", "n_words") - 6.0),
-        "rare_function_words": F.when(n < 20, F.lit(0.5)).otherwise(
-            F.when(F.col("__function_words") >= 2, 0.0).otherwise(F.when(F.col("__function_words") == 1, 0.5).otherwise(2.0))
-        ),
+        "odd_word_share": share("__n_odd", "n_words"),
     }
     out = {}
     for rule, (measure, good, bad) in RULES.items():
         m = measures[measure]
         out[rule] = F.when(n == 0, -1).when(m > bad, -1).when(m <= good, 1).otherwise(0).cast("int")
-    judged = (n < 20) | (F.col("__function_words") > 0) | F.col("__language_known")
-    out["function_words"] = F.when(judged, out["function_words"])
     return out
 
 
@@ -138,17 +111,17 @@ class Reliability:
         odds = F.lit(self.prior)
         for rule, (bad, none, good) in self.weight.items():
             v = F.col(f"vote_{rule}")
-            odds = odds + F.when(v.isNull(), 0.0).when(v == -1, bad).when(v == 1, good).otherwise(none)
+            odds = odds + F.when(v == -1, bad).when(v == 1, good).otherwise(none)
         return 1 / (1 + F.exp(-odds))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> Reliability:
     """EM over (votes, count) patterns, started from the majority of votes. The probability of each vote given good
     or bad quality is smoothed by one document each, so empty input and unanimous rules are defined; the result
-    depends on the counts alone, and patterns are summed in one fixed order. A vote of None is no observation."""
+    depends on the counts alone, and patterns are summed in one fixed order."""
     names = list(RULES)
-    patterns = sorted(patterns, key=lambda p: [-2 if x is None else x for x in p[0]])
-    soft = [1 / (1 + math.exp(-2.0 * sum(x or 0 for x in v))) for v, _ in patterns]
+    patterns = sorted(patterns)
+    soft = [1 / (1 + math.exp(-2.0 * sum(v))) for v, _ in patterns]
     prior, given = 0.0, {r: [[1 / 3] * 3, [1 / 3] * 3] for r in names}
     for _ in range(rounds):
         mass = [1.0, 1.0]
@@ -157,20 +130,20 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> R
             for c, q in ((1, p), (0, 1 - p)):
                 mass[c] += n * q
                 for j, x in enumerate(v):
-                    if x is not None:
-                        seen[j][c][x + 1] += n * q
+                    seen[j][c][x + 1] += n * q
         prior = math.log(mass[1] / mass[0])
         for j, r in enumerate(names):
             given[r] = [[x / sum(seen[j][c]) for x in seen[j][c]] for c in (0, 1)]
         soft = []
         for v, _ in patterns:
-            odds = prior + sum(math.log(given[r][1][x + 1] / given[r][0][x + 1]) for r, x in zip(names, v, strict=True) if x is not None)
+            odds = prior + sum(math.log(given[r][1][x + 1] / given[r][0][x + 1]) for r, x in zip(names, v, strict=True))
             soft.append(1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))))
     return Reliability(prior, {r: tuple(math.log(g[1][k] / g[0][k]) for k in range(3)) for r, g in given.items()})
 
 
-def _voted(docs: DataFrame, keep: list[Column], text: str, known: Column | None = None) -> DataFrame:
-    return features(docs, keep, text, known).withColumns({f"vote_{r}": v for r, v in votes().items()})
+def _voted(docs: DataFrame, keep: list[Column], text: str) -> DataFrame:
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return features(docs, keep, text).withColumns({f"vote_{r}": v for r, v in votes().items()}).withColumn("base_failed", failed)
 
 
 def learn(voted: DataFrame) -> Reliability:
@@ -179,11 +152,7 @@ def learn(voted: DataFrame) -> Reliability:
 
 
 def _verdict(voted: DataFrame, rules: Reliability) -> DataFrame:
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (
-        voted.withColumn("p_quality", rules.posterior()).withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= KEEP_AT))
-    )
+    return voted.withColumn("p_quality", rules.posterior()).withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= KEEP_AT))
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,16 +168,11 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
-    """The documents that ``score`` keeps, with all their columns. Texts are read twice, once for the rules'
-    reliability and once for the verdict, which shuffles nothing but the vote counts.
-
-    With ``lang``, the column of the language, function words are those of ``frequent_words`` too, in either case, and
-    a text of a language without them is judged by the other rules alone; texts are read once more for the counts."""
-    row, known = docs.select(F.struct("*").alias("row")).withColumn("text", F.col("row")[text]), None
-    if lang is not None:
-        words = frequent_words(docs, text, lang)
-        row = common.join_small(row.withColumn("language", F.col("row")[lang]), words, ["language"], words.count(), F.xxhash64("text"), "left")
-        known = F.col("known")
-    rules = learn(_voted(row, [], "text", known))
-    return _verdict(_voted(row, [F.col("row")], "text", known), rules).where("kept").select("row.*")
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that ``score`` keeps, with all their columns. Texts are read once: votes are written to the shared
+    folder beside the rows that pass the base rules, and the verdict filters what was written, without a shuffle."""
+    row = docs.select(F.struct("*").alias("__row")).withColumn("__text", F.col("__row")[text])
+    names = [f"vote_{r}" for r in RULES]
+    voted = _voted(row, [F.col("__row")], "__text")
+    voted = common.written(voted.select(F.when(~F.col("base_failed"), F.col("__row")).alias("row"), "base_failed", *names))
+    return _verdict(voted, learn(voted)).where("kept").select("row.*")

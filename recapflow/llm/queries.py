@@ -47,16 +47,17 @@ _SHINGLES = """
 
 
 @query("op1_decontaminate", f"""
-    WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
-    i AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
-    ds AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM d),
-    si AS (SELECT item_id, {_SHINGLES} AS ss FROM i),
-    ii AS (SELECT item_id, len(ss) AS n, unnest(ss) AS s FROM si)
+    WITH d AS (SELECT DISTINCT doc_id, text, {_LOWER_WORDS} AS w FROM documents),
+    i AS (SELECT DISTINCT item_id, text AS item, {_LOWER_WORDS} AS w FROM benchmark),
+    si AS (SELECT item_id, item, {_SHINGLES} AS ss FROM i),
+    ii AS (SELECT item_id, item, len(ss) AS n, unnest(ss) AS s FROM si),
+    m AS (SELECT DISTINCT least(len(w), 5) AS m FROM i WHERE len(w) > 0),
+    ds AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS s FROM d, m)
     SELECT doc_id, item_id, any_value(n)::BIGINT AS n_item_shingles, count(*) AS n_shared,
            round(count(*) / any_value(n), 6) AS containment
-    FROM ds JOIN ii USING (s) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)""")
+    FROM ds JOIN ii USING (s) GROUP BY doc_id, text, item_id, item HAVING 100 * count(*) >= 80 * any_value(n)""")
 def op1(spark, sf_dir):
-    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("own")
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("own", "which")
 
 
 @query("op2_token_counts")
@@ -168,11 +169,11 @@ _NEXT = "list_transform(vs, lambda v: 1 / (1 + exp(-(prior + list_sum(list_trans
                  length(t) - length(translate(t, {_quoted(quality_rules.SYMBOLS)}, '')) AS n_symbols,
                  length(t) - length(translate(t, {_quoted(quality_rules.PUNCTUATION)}, '')) AS n_punct, len(lines) AS n_lines,
                  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-                 len(list_intersect(w, [{", ".join(map(_quoted, quality_rules.FUNCTION_WORDS))}])) AS fw
+                 len(list_filter(w, lambda x: NOT regexp_matches(x, {_quoted(quality_rules.LETTER)}) OR regexp_matches(x, {_quoted(quality_rules.ODD)}))) AS n_odd
           FROM g LEFT JOIN cover USING (doc_id)),
     m AS (SELECT *, n_symbols / greatest(n, 1) AS symbol_share, n_punct / greatest(word_chars, 1) AS punct_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
                  n_repeat_words / greatest(n, 1) AS repeat_share, abs(word_chars / greatest(n, 1) - 6.0::DOUBLE) AS length_gap,
-                 CASE WHEN n < 20 THEN 0.5 WHEN fw >= 2 THEN 0.0 WHEN fw = 1 THEN 0.5 ELSE 2.0 END AS rare_function_words FROM c),
+                 n_odd / greatest(n, 1) AS odd_word_share FROM c),
     voted AS MATERIALIZED (SELECT *, [{_VOTES}]::INTEGER[] AS v FROM m),
     pat AS (SELECT list(v ORDER BY v) AS vs, list(k ORDER BY v) AS cs FROM (SELECT v, count(*)::DOUBLE AS k FROM voted GROUP BY v)),
     em AS (

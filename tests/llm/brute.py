@@ -72,13 +72,17 @@ def components(rows):
 
 
 def leaks(rows, items):
+    """(row's place, item's place, item shingles, shared) of the pairs of 80 % and more."""
     out = set()
-    for d, t, *_ in rows:
+    for d, (_, t, *_) in enumerate(rows):
         s = shingles(t)
-        for i, x in items:
+        w = f" {' '.join(words(t, lower=True))} "
+        for i, (_, x) in enumerate(items):
             q = shingles(x)
-            if q and 100 * len(s & q) >= 80 * len(q):
-                out.add((d, i, len(q), len(s & q)))
+            short = 0 < len(words(x or "")) < 5
+            shared = sum(f" {' '.join(z)} " in w for z in q) if short else len(s & q)
+            if q and 100 * shared >= 80 * len(q):
+                out.add((d, i, len(q), shared))
     return out
 
 
