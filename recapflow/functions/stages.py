@@ -31,7 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, read back. For loops: a checkpoint hands on the estimated size of its
-    plan, and estimates multiply with every join of a loop, while a table has its own size."""
+    plan, and estimates multiply with every join of a loop, while a table has its own size. Tables stay until the
+    folder is cleared, so they are packed tightly."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
