@@ -8,6 +8,8 @@ import struct
 import tempfile
 import wave
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,6 +491,48 @@ def test_final_and_triage_runs(spark):
 # ---------------------------------------------------------------- voices, retention, evaluation
 
 
+def _cloud(spark, rng, centres, spread, counts, item):
+    at = np.repeat(np.arange(len(counts)), counts)
+    x = (centres[at] + rng.normal(size=(len(at), centres.shape[1])) * spread).astype("float32")
+    rows = pa.table({"channel_id": np.ones(len(at), "int64"), item: np.arange(len(at)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    return x.astype("float64"), spark.createDataFrame(rows)
+
+
+def _plain_nearest(x, y, n):
+    score = x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :] + 1e-9)
+    order = np.lexsort((np.broadcast_to(-np.arange(len(y)), score.shape), -score), axis=1)[:, :n]
+    return {(i, int(j), k + 1): round(float(score[i, j]), 9) for i, row in enumerate(order) for k, j in enumerate(row)}
+
+
+@pytest.mark.parametrize("spread, seed", [(0.1, 1), (0.4, 2), (5.0, 3)])
+def test_nearest_voices_match_all_pairs(spark, monkeypatch, spread, seed):
+    """Tight groups, loose groups and no groups at all, with a zero vector, equal voices and a hot group on both sides."""
+    for name, size in (("VOICES_PER_PIVOT", 16), ("VECTORS_PER_TASK", 50), ("VOICES_PER_TASK", 20), ("ROWS_PER_BLOCK", 7)):
+        monkeypatch.setattr(speakers, name, size)
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 12))
+    centres[5] = 0
+    y, voices = _cloud(spark, rng, centres, spread, [120, 30, 30, 30, 30, 0], "speaker_id")
+    x, vectors = _cloud(spark, rng, centres, spread, [100, 10, 10, 10, 10, 5], "vec_id")
+    more = [(1, 1000 + i, [0.0] * 12) for i in range(2)] + [(1, 1100 + i, y[3].tolist()) for i in range(3)] + [(2, 2000, [1.0] * 12)]
+    y = np.vstack([y, np.zeros((2, 12)), np.repeat(y[3:4], 3, axis=0)])
+    number = {**{1000 + i: 240 + i for i in range(2)}, **{1100 + i: 242 + i for i in range(3)}}
+    voices = voices.union(spark.createDataFrame(more, voices.schema))
+    vectors = vectors.union(spark.createDataFrame([(1, 145, [0.0] * 12), (3, 999, [1.0] * 12)], vectors.schema))
+    x = np.vstack([x, np.zeros((1, 12))])
+    got = {(r.vec_id, number.get(r.speaker_id, r.speaker_id), r["rank"]): round(r.score, 9) for r in speakers.nearest(vectors, voices, 3).collect()}
+    assert got == pytest.approx(_plain_nearest(x, y, 3), abs=1e-8)
+
+
+def test_nearest_voices_skip_far_groups(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 64))
+    _, voices = _cloud(spark, rng, centres, 0.1, [1000] * 20, "speaker_id")
+    _, vectors = _cloud(spark, rng, centres, 0.1, [100] * 20, "vec_id")
+    r = speakers.multiplied(vectors, voices).first()
+    assert r.all_pairs == 2000 * 20000 and r.pairs < 0.1 * r.all_pairs
+
+
 def test_speaker_match_rules(spark):
     v = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0]), (1, 2, [1.0, 1.0, 0.0]), (1, 3, [0.0, 0.0, 1.0]), (2, 4, [1.0, 0.0, 0.0])], "channel_id long, vec_id long, embedding array<float>")
     lib = spark.createDataFrame([(1, 10, [1.0, 0.0, 0.0]), (1, 11, [0.0, 1.0, 0.0])], "channel_id long, speaker_id long, embedding array<float>")
