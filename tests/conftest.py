@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from recapflow.streaming.stateful import ROCKSDB  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -16,6 +18,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="recapflow-test-"))
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )

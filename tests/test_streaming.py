@@ -1,8 +1,10 @@
+import json
 import tempfile
 
 from pyspark.sql import functions as F
 
 from recapflow.operators import infer, speakers, windows
+from recapflow.params import Params
 from recapflow.plans.bindings import Tables
 from recapflow.streaming import batches, stateful
 
@@ -90,6 +92,43 @@ def test_feed_keeps_latest(spark):
     assert max((list(r.messages) for r in spark.table("feed").collect()), key=lambda m: m[-1]) == [f'[{i}, "t", "{i}"]' for i in (5, 6, 7, 8)]
 
 
+def feed_of(spark, root, checkpoint, table, n=4):
+    """Starts, drains and stops the feed over what lies in ``root``; rows of all starts so far."""
+    messages = spark.readStream.schema("session_id long, seq long, type string, payload string").option("maxFilesPerTrigger", 1).parquet(root)
+    write = stateful.feed(messages, n).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    q = write.foreachBatch(lambda df, _: df.write.mode("append").parquet(table)).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return [(r.session_id, list(r.messages)) for r in spark.read.parquet(table).collect()]
+
+
+def said(spark, root, *rows):
+    spark.createDataFrame([(s, i, "t", str(i)) for s, i in rows], "session_id long, seq long, type string, payload string").coalesce(1).write.mode("append").parquet(root)
+
+
+def test_feed_goes_on_after_restart(spark):
+    root, checkpoint, table = (tempfile.mkdtemp(prefix="recapflow-feed-") for _ in range(3))
+    said(spark, root, *[(1, i) for i in (0, 1, 2, 2, 3)], (2, 7))
+    feed_of(spark, root, checkpoint, table)
+    said(spark, root, (1, 4), (1, 1))
+    rows = feed_of(spark, root, checkpoint, table)
+    assert len(rows) == 3  # the second start sends only what changed
+    assert (1, [f'[{i}, "t", "{i}"]' for i in (2, 2, 3, 4)]) in rows  # a message that came twice counts twice
+
+
+def test_feed_forgets_silent_sessions(spark):
+    def say(*rows):
+        df = spark.createDataFrame([(s, i, "t", str(i), float(t)) for s, i, t in rows], "session_id long, seq long, type string, payload string, t double")
+        return df.withColumn("ts", at(F.col("t"))).drop("t")
+
+    stream = landed(spark, say((1, 0, 0), (3, 0, 0)), say((2, 0, 4000), (3, 1, 3000)), say((2, 1, 4001)), say((1, 1, 4002), (3, 2, 4003)))
+    drain(stateful.feed(stream, 4, p=Params(max_age_hours=1.0)), "silent", "update")
+    rows = [(r.session_id, [json.loads(m)[0] for m in r.messages]) for r in spark.table("silent").collect()]
+    assert (1, [1]) in rows and (1, [0, 1]) not in rows and (3, [0, 1, 2]) in rows
+
+
 def test_missing_heartbeat(spark):
     def beat(rows):
         return spark.createDataFrame(rows, "session_id long, t double").select("session_id", at(F.col("t")).alias("ts"))
