@@ -115,9 +115,11 @@ def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def partial_token_set_score(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
-    return pd.Series([partial_token_set_ratio(x, y, f) for x, y, f in zip(a, b, floor)], dtype="float64")
+@F.pandas_udf(T.LongType())
+def aligned_count(many: pd.Series, counts: pd.Series, text: pd.Series, floor: pd.Series) -> pd.Series:
+    """How many of the strings, each as often as its count, reach ``floor`` against the text."""
+    rows = zip(many, counts, text, floor)
+    return pd.Series([sum(int(n) for x, n in zip(xs, ns) if partial_token_set_ratio(x, y, f) >= f) for xs, ns, y, f in rows], dtype="int64")
 
 
 @F.pandas_udf(T.LongType())

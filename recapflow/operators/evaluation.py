@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recapflow.functions import text as X
-from recapflow.functions.fuzzy import partial_token_set_score, word_edit_distance
+from recapflow.functions.fuzzy import aligned_count, word_edit_distance
 from recapflow.functions.similar import similar_keys, similar_within, token_key
 from recapflow.functions.stages import written
 
@@ -17,6 +17,8 @@ THRESHOLDS = {"events": 80.0, "entities": 95.0, "threads": 85.0}
 FACT_SCORE = 80.0
 DUPLICATE_SCORE = 90.0
 
+FACTS_PER_PACK = 64  # our own layout choice: facts that travel with one copy of a text
+
 
 def wer(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Word errors and word error rate per pair."""
@@ -91,20 +93,29 @@ def fact_recall(summaries: DataFrame, facts: DataFrame, groups: Sequence[str] =
     ``facts``: groups, fact.
 
     As defined, a fact counts as soon as one of its words occurs in the text, which most pairs settle without
-    any scoring; only pairs without a common word are aligned. ``strict`` asks for all words of the fact."""
+    any scoring; only pairs without a common word are aligned. ``strict`` asks for all words of the fact. NULL facts
+    and texts do not count. A text travels once per pack of facts."""
     groups = list(groups)
-    text, fact = X.fold_case(F.col("text")), X.fold_case(F.col("fact"))
-    pairs = facts.join(summaries, groups)
-    words_f, words_t = F.array_distinct(X.tokens(fact)), F.array_distinct(X.tokens(text))
-    if strict:
-        found = pairs.withColumn("hit", F.size(F.array_except(words_f, words_t)) == 0)
-    else:
-        marked = pairs.withColumn("shared", F.arrays_overlap(words_f, words_t))
-        easy = marked.where("shared").select(*groups, F.lit(True).alias("hit"))
-        # Aligning is the expensive part: spread the pairs, so that one text with many facts is shared out.
-        hard = marked.where("NOT shared").repartition(*groups, "fact").select(*groups, (partial_token_set_score(fact, text, F.lit(FACT_SCORE)) >= FACT_SCORE).alias("hit"))
-        found = easy.unionByName(hard)
-    share = found.groupBy(*groups).agg(F.round(F.avg(F.col("hit").cast("double")), 4).alias("fact_recall"))
+    counted = facts.where("fact IS NOT NULL").groupBy(*groups, X.fold_case(F.col("fact")).alias("fact")).agg(F.count(F.lit(1)).alias("n"))
+    packs = counted.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / FACTS_PER_PACK).alias("__n"))
+    chunk = F.pmod(F.xxhash64("fact"), F.col("__n"))
+    packed = counted.join(packs, groups).groupBy(*groups, chunk.alias("__c")).agg(F.collect_list(F.struct("fact", "n")).alias("__facts"))
+    texts = summaries.where("text IS NOT NULL").select(*groups, X.fold_case(F.col("text")).alias("__text"))
+    words = F.array_distinct(X.tokens(F.col("__text")))
+    pairs = packed.join(texts, groups).withColumn("__words", words)
+
+    def hit(f: Column) -> Column:
+        own = F.array_distinct(X.tokens(f))
+        return F.size(F.array_except(own, "__words")) == 0 if strict else F.arrays_overlap(own, "__words")
+
+    # Aligning is the expensive part, so its rows, each a text with a bounded number of facts, are spread.
+    def total(c: str) -> Column:
+        return F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, f: acc + f["n"])
+
+    aligned = F.lit(0) if strict else F.when(F.size("__open") > 0, aligned_count("__open.fact", "__open.n", "__text", F.lit(FACT_SCORE))).otherwise(0)
+    parted = pairs.withColumn("__open", F.filter("__facts", lambda f: ~hit(f["fact"]))).drop("__words").repartition(*groups, "__c")
+    found = parted.withColumns({"__all": total("__facts"), "__hits": total("__facts") - total("__open") + aligned})
+    share = found.groupBy(*groups).agg(F.round(F.sum("__hits") / F.sum("__all"), 4).alias("fact_recall"))
     return summaries.select(*groups).distinct().join(share, groups, "left").na.fill(1.0, ["fact_recall"])
 
 

@@ -491,6 +491,18 @@ def test_final_and_triage_runs(spark):
 # ---------------------------------------------------------------- voices, retention, evaluation
 
 
+def test_fact_recall_of_many_facts(spark):
+    """More facts than fit into a pack, repeated and missing ones, and facts that only an alignment finds."""
+    text = "The harbourmaster unlocked seventeen warehouses"
+    facts = ["harbourmastr", "harbourmastr", "seventen", "qqqq", "the end", None] + [f"zz{i}vv" for i in range(150)]
+    f = spark.createDataFrame([(1, x) for x in facts] + [(2, "a")], "session_id long, fact string")
+    t = spark.createDataFrame([(1, text), (2, None), (3, "x")], "session_id long, text string")
+    known = [x for x in facts if x]
+    hits = sum(fuzzy.partial_token_set_ratio(x, text.lower(), evaluation.FACT_SCORE) >= evaluation.FACT_SCORE for x in known)
+    got = {r.session_id: r.fact_recall for r in evaluation.fact_recall(t, f).collect()}
+    assert hits == 4 and got == {1: round(hits / len(known), 4), 2: 1.0, 3: 1.0}
+
+
 def _cloud(spark, rng, centres, spread, counts, item):
     at = np.repeat(np.arange(len(counts)), counts)
     x = (centres[at] + rng.normal(size=(len(at), centres.shape[1])) * spread).astype("float32")
