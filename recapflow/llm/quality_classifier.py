@@ -33,7 +33,7 @@ def _measures() -> dict[str, Column]:
         "dup_lines": share("n_dup_lines", "__n_lines"),
         "repeats": share("n_repeat_words", "n_words"),
         "word_length": capped(F.abs(share("word_chars", "n_words") - 6.0), 6.0),
-        "function_words": capped(F.col("__function_words").cast("double"), 6.0),
+        "odd_words": share("__n_odd", "n_words"),
     }
 
 
