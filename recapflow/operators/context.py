@@ -23,8 +23,8 @@ HISTORY = 3
 SPEAKERS = 12
 DORMANT_AFTER = 3
 TOKEN_BUDGET = 3000
-#: Seconds of stream time that windows and rows of a further source are laid out by.
-EXTRA_BUCKET = 300.0
+#: Seconds of stream time that windows and rows of a further source are laid out by, and the step to the next larger size.
+EXTRA_BUCKET, EXTRA_FACTOR = 300.0, 32
 PREVIOUS_CHARS, CAST_CHARS, AKA_CHARS, THREAD_CHARS, HISTORY_CHARS = 500, 240, 120, 200, 250
 
 
@@ -109,15 +109,27 @@ def extra(windows: DataFrame, notes: DataFrame, bucket_seconds: float = EXTRA_BU
     a point in time; a window includes its start, not its end.
 
     Both sides are laid out on time buckets and meet by (session, bucket), so a session with a large share of all rows
-    is spread over its time. A pair is taken in the first bucket both share."""
-    def laid(df: DataFrame) -> DataFrame:
-        first, last = (F.floor(F.col(c) / bucket_seconds) for c in ("t_start", "t_end"))
-        return df.withColumn("__first", first).withColumn("__bucket", F.explode(F.sequence(first, last)))
-
-    left = laid(windows.select("window_id", "session_id", "t_start", "t_end"))
-    right = laid(notes.select("session_id", "id", "t_start", "t_end", "text")).withColumnsRenamed({"t_start": "n_start", "t_end": "n_end", "__first": "__n_first"})
+    is spread over its time. Buckets come in sizes, each EXTRA_FACTOR times the one before; a row's own size is the first
+    that it fits into, and a pair meets at the larger of its two sizes, in the first bucket both share. So a row is laid
+    out a few times per size of the other side, however long it is."""
+    def sized(df: DataFrame) -> DataFrame:
+        long = F.abs(F.col("t_end") - F.col("t_start")) / bucket_seconds
+        return df.withColumn("__size", F.greatest(F.lit(0.0), F.ceil(F.log(float(EXTRA_FACTOR), long)).cast("double")))
+
+    def laid(df: DataFrame, other: DataFrame) -> DataFrame:
+        # The sizes in use are few: one row each.
+        sizes = F.array(*[F.lit(r[0]) for r in sorted(other.select("__size").distinct().collect())]).cast("array<double>")
+        met = df.withColumn("__at", F.explode(F.array_distinct(F.transform(sizes, lambda x: F.greatest(x, "__size")))))
+        first, last = (F.floor(F.col(c) / (bucket_seconds * F.pow(F.lit(float(EXTRA_FACTOR)), F.col("__at")))) for c in ("t_start", "t_end"))
+        # The planner takes rows before they are laid out for their number after it, and would broadcast them.
+        return met.withColumn("__first", first).withColumn("__bucket", F.explode(F.sequence(first, last))).hint("merge")
+
+    left, right = sized(windows.select("window_id", "session_id", "t_start", "t_end")), sized(notes.select("session_id", "id", "t_start", "t_end", "text"))
+    apart = {"t_start": "n_start", "t_end": "n_end", "__first": "__n_first", "__size": "__n_size"}
+    left, right = laid(left, right), laid(right, left).withColumnsRenamed(apart)
     meets = (F.col("n_start") < F.col("t_end")) & ((F.col("n_end") > F.col("t_start")) | ((F.col("n_start") == F.col("n_end")) & (F.col("n_start") == F.col("t_start"))))
-    met = left.join(right, ["session_id", "__bucket"]).where(meets & (F.col("__bucket") == F.greatest("__first", "__n_first")))
+    once = (F.col("__at") == F.greatest("__size", "__n_size")) & (F.col("__bucket") == F.greatest("__first", "__n_first"))
+    met = left.join(right, ["session_id", "__at", "__bucket"]).where(meets & once)
     order = Window.partitionBy("window_id").orderBy("n_start", "id")
     return met.select("window_id", F.row_number().over(order).cast("bigint").alias("seq"), "text")
 

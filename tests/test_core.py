@@ -804,3 +804,30 @@ def test_gold_files_and_vector_hooks(spark, tmp_path):
 
     words = sorted((r.segment_id, r.text, r.t_start, r.prob) for r in infer.transcribe(df, Recogniser).collect())
     assert words == [(1, "w0", 2.0, 0.5), (1, "w1", 3.0, 0.5), (2, "w0", 3.0, 0.5)]
+
+
+def _joins(df):
+    """Names of the joins in the plan, whatever the sizes of small tables suggest."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {k for k in ("SortMergeJoin", "BroadcastHashJoin", "BroadcastNestedLoopJoin") if k in plan}
+
+
+def test_further_sources_of_any_length(spark):
+    """Rows far longer than a bucket, points, reversed and missing times, against all pairs."""
+    r = random.Random(9)
+    def span(k):
+        a = r.choice([0.0, r.random() * 50, r.random() * 1e6])
+        return a, None if k == 7 else a + r.choice([0.0, 0.01, 5.0, 3000.0, 1e6, -4.0])
+
+    w = [(k, k % 3, *span(k)) for k in range(60)]
+    n = [(k % 3, k, *span(k), f"n{k}") for k in range(60)]
+    want = set()
+    for k, s, a, b in w:
+        hits = [(x, i, text) for t, i, x, y, text in n if t == s and None not in (b, y) and x < b and (y > a or x == y == a)]
+        want |= {(k, seq, text) for seq, (_, _, text) in enumerate(sorted(hits), 1)}
+    wins = spark.createDataFrame(w, "window_id long, session_id long, t_start double, t_end double")
+    notes = spark.createDataFrame(n, "session_id long, id long, t_start double, t_end double, text string")
+    for seconds in (1e-3, 10.0, 300.0):
+        got = context.extra(wins, notes, seconds)
+        assert {tuple(x) for x in got.collect()} == want and len(want) > 100
+    assert _joins(got) == {"SortMergeJoin"}
