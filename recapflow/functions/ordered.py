@@ -79,7 +79,8 @@ def last_before(
     ``back`` = 1 for the nearest. Both sides carry ``keys`` and ``order``; other columns are kept.
 
     Right rows are numbered per key, left rows learn how many right rows precede them, and an equi-join
-    on the number fetches the matches."""
+    on the number fetches the matches. It is a merge join, since the planner does not see that each left row asks ``n``
+    times and would broadcast them."""
     lcols = [c for c in left.columns if c not in keys and c not in order]
     rcols = [c for c in right.columns if c not in keys and c not in order]
     base = [*keys, *order]
@@ -94,5 +95,5 @@ def last_before(
         .select(*keys, "__l", "__n", F.explode(F.sequence(F.greatest(F.col("__n") - (n - 1), F.lit(1)), "__n")).alias("__at"))
     )
     found = counted.where("__is_right = 1").select(*keys, F.col("__n").alias("__at"), "__r")
-    joined = wanted.join(found, [*keys, "__at"])
+    joined = wanted.hint("merge").join(found, [*keys, "__at"])
     return joined.select("__l.*", (F.col("__n") - F.col("__at") + 1).alias(back), *[F.col(f"__r.{c}").alias(c) for c in rcols])

@@ -51,14 +51,16 @@ def closed_hours(sessions: DataFrame, now: Column, p: Params = DEFAULTS) -> Data
 
 
 def due_hours(sessions: DataFrame, runs: DataFrame, now: Column, p: Params = DEFAULTS) -> DataFrame:
-    """(session_id, hour) closed but without a run yet, for sessions running or ended within a day."""
+    """(session_id, hour) closed but without a run yet, for sessions running or ended within a day.
+
+    Hours are many per session, which the planner's estimate of their size leaves out, so they are never broadcast."""
     recent = TM.seconds_between(now, F.col("ended_at")) <= p.max_age_hours * TM.HOUR
     due = (
         closed_hours(sessions.where(TM.is_running(F.col("status")) | recent), now, p).where("closed_hours > 0")
         .select(F.col("id").alias("session_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("closed_hours") - 1)).alias("hour"))
     )
     done = runs.where(F.col("run_label") == RUN_LABEL).select("session_id", F.col("hour_index").alias("hour"))
-    return due.join(done, ["session_id", "hour"], "left_anti")
+    return due.hint("merge").join(done, ["session_id", "hour"], "left_anti")
 
 
 def next_due(due: DataFrame, limit: int = HOURS_PER_TICK) -> DataFrame:
@@ -88,7 +90,7 @@ def timeline(sessions: DataFrame, windows: DataFrame, events: DataFrame, beats:
 
 
 def notable(timed: DataFrame, hours: DataFrame) -> DataFrame:
-    return timed.where(F.col("importance") >= BEAT_MIN_IMPORTANCE).join(hours, ["session_id", "hour"], "left_semi")
+    return timed.where(F.col("importance") >= BEAT_MIN_IMPORTANCE).join(hours.hint("merge"), ["session_id", "hour"], "left_semi")
 
 
 def earlier(hours: DataFrame, beats: DataFrame, n: int = EARLIER_HEADLINES) -> DataFrame:
@@ -157,5 +159,5 @@ def generate(sessions: DataFrame, windows: DataFrame, events: DataFrame, summari
         return rows.select("session_id", F.col("hour").alias("hour_index"), F.lit(RUN_LABEL).alias("run_label"),
                            F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"), now.alias("created_at"))
 
-    quiet = hours.join(asked.select("session_id", "hour"), ["session_id", "hour"], "left_anti")
+    quiet = hours.hint("merge").join(asked.select("session_id", "hour"), ["session_id", "hour"], "left_anti")
     return made, mark(parsed, "done", None).unionByName(mark(quiet, "skipped", SKIP_REASON))

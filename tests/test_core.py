@@ -812,6 +812,21 @@ def _joins(df):
     return {k for k in ("SortMergeJoin", "BroadcastHashJoin", "BroadcastNestedLoopJoin") if k in plan}
 
 
+def test_hours_are_not_broadcast(spark):
+    """A session of many hours looks small to the planner, which would send all its hours to the driver."""
+    s = make(spark, "sessions", [(i, 1, "live", "2026-01-01 00:00:00", None) for i in range(3)], ["id", "channel_id", "status", "started_at", "ended_at"])
+    runs = spark.createDataFrame([(1, 0, "live"), (2, 5, "other")], "session_id long, hour_index long, run_label string")
+    due = timeline.due_hours(s, runs, stamp("2026-01-01 05:30:00"))
+    assert _joins(due) == {"SortMergeJoin"}
+    assert sorted((r.session_id, r.hour) for r in due.collect()) == [(s, h) for s in range(3) for h in range(5) if (s, h) != (1, 0)]
+    timed = spark.createDataFrame([(1, 1, 3), (1, 0, 3), (2, 4, 1)], "session_id long, hour long, importance int")
+    hours = spark.createDataFrame([(1, 1), (2, 4)], "session_id long, hour long")
+    shown = timeline.notable(timed, hours)
+    assert _joins(shown) == {"SortMergeJoin"} and [tuple(r) for r in shown.collect()] == [(1, 1, 3)]
+    told = last_before(hours, hours.withColumn("x", F.col("hour") * 2), ["session_id"], ["hour"], 2, id_block("hour"))
+    assert "SortMergeJoin" in _joins(told)
+
+
 def test_further_sources_of_any_length(spark):
     """Rows far longer than a bucket, points, reversed and missing times, against all pairs."""
     r = random.Random(9)
