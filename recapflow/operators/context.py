@@ -44,13 +44,20 @@ def previous(sessions: DataFrame, n: int = PREVIOUS) -> DataFrame:
     return last_before(left, told, ["channel_id"], ["id"], n, id_block("id")).drop("channel_id", "id")
 
 
+def _named(windows: DataFrame, names: DataFrame, rows: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """(channel_id, window_id, id): the first ``limit`` named in each window's text, greatest ``by`` first. A window keeps no
+    more, and those that come after them come after them in every ranking by tier, ``by`` and id. ``names``: channel_id, id, name."""
+    best = rows.groupBy("channel_id", "id").agg(F.max(F.struct(*by)).alias("best"))
+    return mentions(names.join(best, ["channel_id", "id"]), windows, ["channel_id"], "id", "window_id", "text", "best", limit)
+
+
 def threads(windows: DataFrame, open_threads: DataFrame, sessions: DataFrame, limit: int = THREADS) -> DataFrame:
     """Open storylines per window: those named in its text first, then the ones not dormant, by latest
     change and importance. ``open_threads`` is the threads table; other statuses are ignored."""
     live = open_threads.where("status = 'open'")
     order = [F.desc_nulls_last("last_updated_at"), F.desc("importance"), F.asc("id")]
     titles = live.select("channel_id", "id", F.col("title").alias("name"))
-    named = mentions(titles, windows, ["channel_id"], "id", "window_id", "text").withColumn("tier", F.lit(1))
+    named = _named(windows, titles, live, ["last_updated_at", "importance"], limit).withColumn("tier", F.lit(1))
     keys = windows.select("window_id", "session_id", "channel_id").join(dormancy_cutoff(sessions), "session_id", "left")
     # Ranking by latest change puts all active storylines first, so the newest few serve every window.
     fresh = top_n(live, ["channel_id"], order, limit, "__r").select("channel_id", "id", "last_updated_at")
@@ -66,10 +73,8 @@ def cast(windows: DataFrame, entities: DataFrame, aliases: DataFrame, channels:
     live = entities.where("status <> 'merged'")
     order = [F.desc_nulls_last("last_seen_at"), F.desc("mention_count"), F.asc("id")]
     keys = windows.select("window_id", "channel_id")
-    named = mentions(
-        entity_names(live, aliases).select("channel_id", F.col("entity_id").alias("id"), "name"),
-        windows, ["channel_id"], "id", "window_id", "text",
-    ).withColumn("tier", F.lit(2))
+    called = entity_names(live, aliases).select("channel_id", F.col("entity_id").alias("id"), "name")
+    named = _named(windows, called, live, ["last_seen_at", "mention_count"], limit).withColumn("tier", F.lit(2))
     host = streamer_of(channels).where("entity_id IS NOT NULL").select("channel_id", F.col("entity_id").alias("id"))
     first = keys.join(host, "channel_id").withColumn("tier", F.lit(1))
     recent = keys.join(top_n(live, ["channel_id"], order, limit, "__r").select("channel_id", "id"), "channel_id").withColumn("tier", F.lit(3))

@@ -846,3 +846,30 @@ def test_further_sources_of_any_length(spark):
         got = context.extra(wins, notes, seconds)
         assert {tuple(x) for x in got.collect()} == want and len(want) > 100
     assert _joins(got) == {"SortMergeJoin"}
+
+
+def test_names_of_many_owners(spark):
+    """A name that a whole channel shares gives each text its first owners alone; the cast is that of all owners."""
+    r = random.Random(11)
+    ents = [(k, k % 2, "person", r.choice(["Al", "Bo Rand", "Cy", "Di"]), "confirmed", r.choice([None, 1, 5, 9]), False) for k in range(300)]
+    ents += [(k, k % 2, "person", "Di", "confirmed", 7, False) for k in (4, 5, 4)]
+    entities = make(spark, "entities", ents, ENT).withColumn("last_seen_at", F.when(F.col("id") % 7 < 5, F.timestamp_seconds(F.col("id") % 7)))
+    aliases = spark.createDataFrame([(k, "Ed") for k in range(0, 300, 3)], "entity_id long, alias string")
+    texts = {k: " and ".join(r.sample(["al", "BO RAND", "cy", "di", "ed", "fay"], r.randrange(4))) for k in range(40)}
+    w = spark.createDataFrame([(k, k % 2, t) for k, t in texts.items()], "window_id long, channel_id long, text string")
+    hosts = make(spark, "channels", [(1, "one", '{"streamer":{"entity_id":21}}'), (0, "two", None)], ["id", "login", "config_json"])
+    stored = [(e.id, e.channel_id, e.canonical_name.lower(), e.mention_count, e.last_seen_at) for e in entities.collect()]
+    want = set()
+    for k, t in texts.items():
+        said = t.lower().split(" and ")
+        called = {i for i, c, name, _, _ in stored if name in said or ("ed" in said and i < 300 and i % 3 == 0)}
+        rows = sorted((1 if (i, k % 2) == (21, 1) else 2 if i in called else 3, at is None, -(at.timestamp() if at else 0), n is None, -(n or 0), i)
+                      for i, c, _, n, at in stored if c == k % 2)
+        want |= {(k, row[-1], row[0], rank) for rank, row in enumerate(rows[:12], 1)}
+    got = context.cast(w, entities, aliases, hosts)
+    assert {(x.window_id, x.id, x.tier, x["rank"]) for x in got.collect()} == want
+    own = [(1, i, "Al", i % 50) for i in range(2000)] + [(1, 9000 + i, "Bo", 100) for i in range(3)]
+    names = spark.createDataFrame(own, "g long, who long, name string, best long")
+    said = spark.createDataFrame([(1, 1, "al, bo"), (1, 2, "al"), (1, 3, "")], "g long, k long, text string")
+    first = mentions.mentions(names, said, ["g"], "who", "k", "text", "best", 4)
+    assert sorted((x.k, x.who) for x in first.collect()) == [(1, 49), (1, 9000), (1, 9001), (1, 9002), (2, 49), (2, 99), (2, 149), (2, 199)]
