@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recapflow.functions import text as X
+from recapflow.functions.folds import fold_sorted
 from recapflow.functions.fuzzy import aligned_count, word_edit_distance
 from recapflow.functions.similar import similar_keys, similar_within, token_key
 from recapflow.functions.stages import written
@@ -60,21 +63,62 @@ def assign(pairs: DataFrame) -> DataFrame:
 
 
 def matches(pred: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
-    """(session_id, matched) for lists ``pred``/``gold`` (session_id, no, text). Only pairs that reach the
-    threshold can be matched, so only those are formed. Of k gold items with the same words the last gets at best its k-th choice,
-    so its better ones are left out, which spares runs of equal names one round each."""
+    """(session_id, matched) for lists ``pred``/``gold`` (session_id, no, text). Only pairs that reach the threshold can be
+    matched, and these are held per name, not per gold item: items of the same words have the same choices.
+
+    Each round every name deals its choices to its items in order, leaving out what an earlier item of another name asked for
+    in a round before. An item is never dealt less than it gets in the end, so when no two items ask for the same, all are right."""
     key = token_key(X.fold_case(F.col("text")))
-    p, g = pred.withColumn("key", key), gold.withColumn("key", key)
+    p, g = (df.where("no IS NOT NULL").withColumn("key", key) for df in (pred, gold))
     close = similar_keys(g.select("session_id", "key"), p.select("session_id", "key"), ["session_id"], threshold)
-    choice = Window.partitionBy("session_id", "key_a").orderBy(F.desc("score"), "pred_no")
-    listed = (
-        close.join(p.select("session_id", F.col("key").alias("key_b"), F.col("no").alias("pred_no")), ["session_id", "key_b"])
-        .withColumn("choice", F.row_number().over(choice))
+    # An item listed under several names chooses among those close to any of them.
+    golds = written(g.groupBy("session_id", "no").agg(F.array_sort(F.collect_set("key")).alias("names")))
+    held = golds.select("session_id", "names").distinct().select("session_id", "names", F.explode("names").alias("key_a"))
+    choices = held.join(close, ["session_id", "key_a"]).groupBy("session_id", "names", "key_b").agg(F.max("score").alias("score"))
+    listed = written(
+        choices.join(p.select("session_id", F.col("key").alias("key_b"), "no"), ["session_id", "key_b"])
+        .groupBy("session_id", "names", "no").agg((-F.max("score")).alias("cost"))
     )
-    turn = F.row_number().over(Window.partitionBy("session_id", "key").orderBy("no"))
-    golds = g.select("session_id", F.col("key").alias("key_a"), F.col("no").alias("gold_no"), turn.alias("turn"))
-    pairs = listed.join(golds, ["session_id", "key_a"]).where("choice >= turn").withColumn("cost", -F.col("score"))
-    return assign(pairs).groupBy("session_id").agg(F.count(F.lit(1)).alias("matched"))
+    free = F.lit(2**63 - 1)
+    name = F.array_join("names", "\n").alias("name")
+    items = golds.select("session_id", name, F.lit(0).alias("kind"), F.lit(0.0).alias("cost"), "no", free.alias("holder"))
+    kind = golds.schema["session_id"].dataType.simpleString()
+    holders, closed, every_listed, every_item = None, [], listed, items
+    while True:
+        known = listed.withColumn("holder", free) if holders is None else listed.join(holders, ["session_id", "no"], "left").withColumn("holder", F.coalesce("holder", free))
+        offers = known.select("session_id", name, F.lit(1).alias("kind"), "cost", "no", "holder")
+        asked = fold_sorted(items.unionByName(offers), ["session_id", "name"], ["kind", "cost", "no"], _Deal, f"session_id {kind}, no BIGINT, holder BIGINT")
+        asked = asked.withColumn("n", F.lit(1))
+        every = asked if holders is None else asked.unionByName(holders.withColumn("n", F.lit(0)))
+        holders = written(every.groupBy("session_id", "no").agg(F.min("holder").alias("holder"), F.sum("n").alias("n")))
+        state = written(holders.groupBy("session_id").agg(F.sum("n").alias("matched"), F.max("n").alias("most")))
+        # Sessions without a clash are done; the others go on alone.
+        closed.append(state.where("most <= 1 AND matched > 0").select("session_id", "matched"))
+        going = state.where("most > 1").select("session_id")
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, closed)
+        holders, listed, items = (df.join(going, "session_id", "left_semi") for df in (holders.drop("n"), every_listed, every_item))
+
+
+class _Deal:
+    """Deals the choices of one name, in order, to its gold items, in order: (session, prediction, gold item). Items come first
+    and are kept as numbers; a choice held by an item before the next one is past for all that follow."""
+
+    def __init__(self) -> None:
+        self.items, self.at = array("q"), 0
+
+    def feed(self, rows: dict[str, list]) -> list[tuple]:
+        out = []
+        for session, kind, no, holder in zip(rows["session_id"], rows["kind"], rows["no"], rows["holder"]):
+            if kind == 0:
+                self.items.append(no)
+            elif self.at < len(self.items) and self.items[self.at] <= holder:
+                out.append((session, no, self.items[self.at]))
+                self.at += 1
+        return out
+
+    def finish(self) -> list[tuple]:
+        return []
 
 
 def prf(pred: DataFrame, gold: DataFrame, threshold: float = 85.0) -> DataFrame:

@@ -873,3 +873,29 @@ def test_names_of_many_owners(spark):
     said = spark.createDataFrame([(1, 1, "al, bo"), (1, 2, "al"), (1, 3, "")], "g long, k long, text string")
     first = mentions.mentions(names, said, ["g"], "who", "k", "text", "best", 4)
     assert sorted((x.k, x.who) for x in first.collect()) == [(1, 49), (1, 9000), (1, 9001), (1, 9002), (2, 49), (2, 99), (2, 149), (2, 199)]
+
+
+def test_matches_follow_the_loop(spark, monkeypatch):
+    """Shared and repeated names, ties, displacement across names and an item under two names, against the loop; the pairs of
+    equal names are never formed, so no table of the rounds grows with their product."""
+    r = random.Random(4)
+    words = ["Kael Vane", "Kael Vance", "Vane Kael", "Kael Vanes", "Mira Sol", "Mira Sole", "Kal Vane"]
+    gold = [(s, k, r.choice(words)) for s in range(3) for k in range(60)] + [(1, 5, "Mira Sol"), (1, 5, "Mira Sol"), (1, 6, "Kael Vane")]
+    pred = [(s, k, r.choice(words)) for s in range(3) for k in range(50)] + [(2, 3, "Mira Sole"), (0, 4, "Kal Vane")]
+    score = lambda a, b: fuzzy.token_set_ratio(" ".join(sorted(set(a.lower().split()))), " ".join(sorted(set(b.lower().split()))))
+    want = {}
+    for s in range(3):
+        taken = set()
+        for k in sorted({g for t, g, _ in gold if t == s}):
+            names = [x for t, g, x in gold if (t, g) == (s, k)]
+            fits = sorted((-score(x, y), n) for x in names for t, n, y in pred if t == s and n not in taken and score(x, y) >= 80.0)
+            if fits:
+                taken.add(fits[0][1])
+        want[s] = len(taken)
+    table = lambda rows: spark.createDataFrame(rows, "session_id long, no long, text string").repartition(3)
+    sizes = []
+    monkeypatch.setattr(evaluation, "written", lambda df: sizes.append((t := written(df)).count()) or t)
+    assert {x.session_id: x.matched for x in evaluation.matches(table(pred), table(gold), 80.0).collect()} == want
+    sizes.clear()
+    many = lambda n, f: table([(1, k, "Kael Vane" if k % 2 else "Kael Vanes") for k in range(0, n * f, f)])
+    assert evaluation.matches(many(600, 1), many(500, 3), 85.0).first().matched == 500 and max(sizes) <= 2000
