@@ -899,3 +899,25 @@ def test_matches_follow_the_loop(spark, monkeypatch):
     sizes.clear()
     many = lambda n, f: table([(1, k, "Kael Vane" if k % 2 else "Kael Vanes") for k in range(0, n * f, f)])
     assert evaluation.matches(many(600, 1), many(500, 3), 85.0).first().matched == 500 and max(sizes) <= 2000
+
+
+def test_windows_that_share_few_bigrams_are_passed_over():
+    """The best window is that of all windows, and texts of other words are settled without trying any."""
+    r = random.Random(2)
+    for _ in range(400):
+        long = "".join(r.choice("abc é") for _ in range(r.randrange(1, 40)))
+        short = "".join(r.choice("abc é") if r.random() < 0.15 else x for x in long[r.randrange(len(long)):][:r.randrange(1, 14)])
+        n = len(short)
+        cut = [long[max(0, end - n):end] for end in range(1, len(long) + n)]
+        scores = [200 * fuzzy.lcs_length(short, x) / (n + len(x)) for x in cut]
+        for floor in (50.0, 80.0):
+            best = max(scores, default=0.0)
+            assert fuzzy._best_window(short, long, floor) == pytest.approx(best if best >= floor else 0.0)
+    assert len(fuzzy._ends("abcdefghij", "jihgfedcba" * 50, 80.0)) == 0
+
+
+def test_drift_sends_no_vectors_to_the_driver(spark):
+    """The tables of centroids meet by merging."""
+    voices = spark.createDataFrame([(1, [1.0, 0.0])], "speaker_id long, embedding array<float>")
+    moved = spark.createDataFrame([(1, float(k), k, [0.0, 1.0]) for k in range(9)], "speaker_id long, t_start double, segment_id long, embedding array<float>")
+    assert _joins(speakers.drift(moved, voices, 4, 2)) == {"SortMergeJoin"}
