@@ -921,3 +921,21 @@ def test_drift_sends_no_vectors_to_the_driver(spark):
     voices = spark.createDataFrame([(1, [1.0, 0.0])], "speaker_id long, embedding array<float>")
     moved = spark.createDataFrame([(1, float(k), k, [0.0, 1.0]) for k in range(9)], "speaker_id long, t_start double, segment_id long, embedding array<float>")
     assert "SortMergeJoin" in _joins(speakers.drift(moved, voices, 4, 2))
+
+
+def test_drift_replays_runs_of_growing_length(spark, monkeypatch):
+    """Vectors that never let a centroid forget need rounds by the logarithm of the chunks, and no table is broadcast."""
+    rnd = np.random.default_rng(7)
+    c, rows = np.eye(32)[0], []
+    for k in range(600):
+        v = np.round(rnd.normal(size=32) * 0.1, 4)
+        rows.append((1, float(k), k, v.tolist()))
+        raw = 0.9 * c + 0.1 * v
+        c = raw / np.linalg.norm(raw)
+    voices = spark.createDataFrame([(1, np.eye(32)[0].tolist())], "speaker_id long, embedding array<float>")
+    moved = spark.createDataFrame(rows, "speaker_id long, t_start double, segment_id long, embedding array<double>").repartition(3)
+    tables = []
+    monkeypatch.setattr(speakers, "written", lambda df: tables.append(df) or written(df))
+    got = speakers.drift(moved, voices, 4, 2).first()
+    assert got.updates == 600 and np.allclose(got.embedding, c, atol=1e-5)
+    assert len(tables) <= 3 + 2 * 9
