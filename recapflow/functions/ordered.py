@@ -9,8 +9,10 @@ other buckets of its key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _BUCKET = "__bucket"
@@ -78,22 +80,32 @@ def last_before(
     """For every left row the last ``n`` right rows strictly before it: one output row per match, with
     ``back`` = 1 for the nearest. Both sides carry ``keys`` and ``order``; other columns are kept.
 
-    Right rows are numbered per key, left rows learn how many right rows precede them, and an equi-join
-    on the number fetches the matches. It is a merge join, since the planner does not see that each left row asks ``n``
-    times and would broadcast them."""
+    Both sides are sorted together inside (key, bucket) pieces, where a left row looks back at the right rows before it. A
+    piece hands its last ``n`` right rows on to the later pieces of its key. Each row is shuffled once; each side
+    gets a shuffle of its own, so that the sort does not share a task with the work that made the rows."""
     lcols = [c for c in left.columns if c not in keys and c not in order]
     rcols = [c for c in right.columns if c not in keys and c not in order]
-    base = [*keys, *order]
-    lhs = left.select(*base, F.struct(*base, *lcols).alias("__l"), F.lit(None).cast("int").alias("__none"))
-    rhs = right.select(*base, F.struct(*rcols).alias("__r"))
-    both = lhs.drop("__none").withColumn("__is_right", F.lit(0)).unionByName(
-        rhs.withColumn("__is_right", F.lit(1)), allowMissingColumns=True
-    )
-    counted = running_sum(both, keys, [*order, "__is_right"], F.col("__is_right"), "__n", bucket)
-    wanted = (
-        counted.where("__is_right = 0 AND __n > 0")
-        .select(*keys, "__l", "__n", F.explode(F.sequence(F.greatest(F.col("__n") - (n - 1), F.lit(1)), "__n")).alias("__at"))
-    )
-    found = counted.where("__is_right = 1").select(*keys, F.col("__n").alias("__at"), "__r")
-    joined = wanted.hint("merge").join(found, [*keys, "__at"])
-    return joined.select("__l.*", (F.col("__n") - F.col("__at") + 1).alias(back), *[F.col(f"__r.{c}").alias(c) for c in rcols])
+    base, place = [*keys, *order], [*keys, _BUCKET]
+    held = [f"__l{i}" for i in range(len(lcols))]
+    known = reduce(and_, [F.col(c).isNotNull() for c in place])
+    lhs = left.select(*base, *[F.col(c).alias(h) for c, h in zip(lcols, held)]).withColumn(_BUCKET, bucket).where(known)
+    rhs = right.select(*base, F.struct(*rcols).alias("__r")).withColumn(_BUCKET, bucket).where(known).repartition(*place)
+    pieces = lhs.repartition(*place).unionByName(rhs, allowMissingColumns=True)
+
+    def back_by(column: str, w: WindowSpec) -> Column:
+        """The last ``n`` values before a row, nearest first; rows without one are passed over."""
+        return F.array_compact(F.array(*[F.expr(f"lag({column}, {k}) IGNORE NULLS").over(w) for k in range(1, n + 1)]))
+
+    near = back_by("__r", Window.partitionBy(*place).orderBy(*order, F.col("__r").isNotNull()))
+    local = pieces.withColumn("__near", near).where("__r IS NULL").drop("__r")
+    ends = top_n(rhs, place, [F.desc(c) for c in order], n, "__rank").select(*place, "__rank", "__r")
+    asked = lhs.select(*place).distinct()
+    nearest = F.array_sort(F.collect_list(F.when(F.col("__rank").isNotNull(), F.struct("__rank", "__r"))), lambda a, b: a["__rank"] - b["__rank"])
+    steps = ends.unionByName(asked, allowMissingColumns=True).groupBy(*place).agg(F.transform(nearest, lambda e: e["__r"]).alias("__ends"))
+    steps = steps.withColumn("__ends", F.when(F.size("__ends") > 0, F.col("__ends")))
+    earlier = F.slice(F.flatten(back_by("__ends", Window.partitionBy(*keys).orderBy(_BUCKET))), 1, n)
+    carried = steps.select(*place, earlier.alias("__earlier"))
+    found = F.slice(F.concat("__near", "__earlier"), 1, n)
+    typed = [F.col(c).cast(left.schema[c].dataType).alias(c) for c in base]
+    told = local.hint("merge").join(carried, place).select(*typed, *[F.col(h).alias(c) for h, c in zip(held, lcols)], F.posexplode(found).alias("__pos", "__r"))
+    return told.select(*base, *lcols, (F.col("__pos") + 1).cast("bigint").alias(back), *[F.col(f"__r.{c}").alias(c) for c in rcols])

@@ -939,3 +939,19 @@ def test_drift_replays_runs_of_growing_length(spark, monkeypatch):
     got = speakers.drift(moved, voices, 4, 2).first()
     assert got.updates == 600 and np.allclose(got.embedding, c, atol=1e-5)
     assert len(tables) <= 3 + 2 * 9
+
+
+def test_look_back_moves_rows_once(spark):
+    """One join of small carried rows, whatever the buckets; missing keys and times never meet, repeated ones do."""
+    r = random.Random(3)
+    asked = [(r.choice([0, 1, 2, None]), r.choice([None, *range(120)]), i) for i in range(200)]
+    given = [(r.choice([0, 1, 2, None]), t, r.choice([None, f"w{t}"])) for t in r.sample(range(120), 70)]
+    told = last_before(
+        spark.createDataFrame(asked, "k long, t int, x long"), spark.createDataFrame(given, "k long, t long, w string"), ["k"], ["t"], 3, id_block("t", 7))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    found = collections.defaultdict(list)
+    for row in sorted(told.collect(), key=lambda row: row.back):
+        found[row.k, row.t, row.x].append((row.back, row.w))
+    for k, t, x in asked:
+        want = [] if k is None or t is None else [w for _, w in sorted(((b, w) for a, b, w in given if a == k and b < t), key=lambda z: -z[0])[:3]]
+        assert found[k, t, x] == [*enumerate(want, 1)]
