@@ -28,19 +28,29 @@ EXTRA_BUCKET, EXTRA_FACTOR = 300.0, 32
 PREVIOUS_CHARS, CAST_CHARS, AKA_CHARS, THREAD_CHARS, HISTORY_CHARS = 500, 240, 120, 200, 250
 
 
-def dormancy_cutoff(sessions: DataFrame, n: int = DORMANT_AFTER) -> DataFrame:
+def _looking_back(sessions: DataFrame, rows: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(sessions, rows) that meet each other: all, or the sessions ``asked`` for by session_id and the ``rows`` of their
+    channels. A batch of windows belongs to few of all sessions; the others are neither sorted nor moved for it."""
+    left = sessions.select("channel_id", "id", F.col("id").alias("session_id"))
+    if asked is None:
+        return left, rows
+    left = left.join(asked.select("session_id").distinct(), "session_id", "left_semi")
+    return left, rows.join(left.select("channel_id").distinct(), "channel_id", "left_semi")
+
+
+def dormancy_cutoff(sessions: DataFrame, n: int = DORMANT_AFTER, asked: DataFrame | None = None) -> DataFrame:
     """(session_id, cutoff): start of the ``n``-th most recent earlier session of the channel; no row for
-    sessions with fewer earlier ones."""
+    sessions with fewer earlier ones. ``asked``: the sessions wanted (session_id), all without it."""
     started = sessions.where("started_at IS NOT NULL").select("channel_id", "id", "started_at")
-    left = sessions.select("channel_id", "id", F.col("id").alias("session_id"))
+    left, started = _looking_back(sessions, started, asked)
     back = last_before(left, started, ["channel_id"], ["id"], n, id_block("id"))
     return back.where(F.col("back") == n).select("session_id", F.col("started_at").alias("cutoff"))
 
 
-def previous(sessions: DataFrame, n: int = PREVIOUS) -> DataFrame:
-    """Last ``n`` earlier sessions of the channel that have a wrap-up; ``back`` = 1 is the nearest."""
+def previous(sessions: DataFrame, n: int = PREVIOUS, asked: DataFrame | None = None) -> DataFrame:
+    """Last ``n`` earlier sessions of the channel that have a wrap-up; ``back`` = 1 is the nearest. ``asked`` as above."""
     told = sessions.where("final_summary IS NOT NULL").select("channel_id", "id", "started_at", "title", "final_summary")
-    left = sessions.select("channel_id", "id", F.col("id").alias("session_id"))
+    left, told = _looking_back(sessions, told, asked)
     return last_before(left, told, ["channel_id"], ["id"], n, id_block("id")).drop("channel_id", "id")
 
 
@@ -58,7 +68,7 @@ def threads(windows: DataFrame, open_threads: DataFrame, sessions: DataFrame, li
     order = [F.desc_nulls_last("last_updated_at"), F.desc("importance"), F.asc("id")]
     titles = live.select("channel_id", "id", F.col("title").alias("name"))
     named = _named(windows, titles, live, ["last_updated_at", "importance"], limit).withColumn("tier", F.lit(1))
-    keys = windows.select("window_id", "session_id", "channel_id").join(dormancy_cutoff(sessions), "session_id", "left")
+    keys = windows.select("window_id", "session_id", "channel_id").join(dormancy_cutoff(sessions, asked=windows), "session_id", "left")
     # Ranking by latest change puts all active storylines first, so the newest few serve every window.
     fresh = top_n(live, ["channel_id"], order, limit, "__r").select("channel_id", "id", "last_updated_at")
     active = keys.join(fresh, "channel_id").where(
@@ -158,7 +168,7 @@ def build(windows: DataFrame, channels: DataFrame, sessions: DataFrame, entities
         F.array_join("aliases", ", "), F.lit(" | character: "), F.array_join("characters", ", "), F.lit(" | POV: "), F.col("pov_mode"))))
     day = F.coalesce(F.date_format("started_at", "yyyy-MM-dd"), blank)
     label = F.when(F.coalesce("title", blank) != "", F.concat(day, F.lit(" "), F.col("title"))).otherwise(day)
-    parts.append(part(keys.join(previous(sessions), "session_id"), 3, -F.col("back"), F.concat(
+    parts.append(part(keys.join(previous(sessions, asked=windows), "session_id"), 3, -F.col("back"), F.concat(
         F.lit("[previously "), label, F.lit("] "), X.snippet(F.col("final_summary"), PREVIOUS_CHARS))))
     chosen = cast(windows, entities, aliases, channels).join(_aka(entities, aliases), "id", "left")
     also = F.when(F.coalesce("aka", blank) != "", F.concat(F.lit(" aka "), F.col("aka"))).otherwise("")

@@ -955,3 +955,11 @@ def test_look_back_moves_rows_once(spark):
     for k, t, x in asked:
         want = [] if k is None or t is None else [w for _, w in sorted(((b, w) for a, b, w in given if a == k and b < t), key=lambda z: -z[0])[:3]]
         assert found[k, t, x] == [*enumerate(want, 1)]
+
+
+def test_look_back_for_the_sessions_asked(spark):
+    s = make(spark, "sessions", [(i, i % 3, f"2026-01-{i + 1:02d} 00:00:00", f"told {i}" if i % 2 else None) for i in range(20)], ["id", "channel_id", "started_at", "final_summary"])
+    asked = spark.createDataFrame([(19,), (19,), (10,), (None,), (77,)], "session_id long")
+    for step in (context.previous, context.dormancy_cutoff):
+        every = [tuple(r) for r in step(s).collect() if r.session_id in (10, 19)]
+        assert every and sorted(map(repr, every)) == sorted(repr(tuple(r)) for r in step(s, asked=asked).collect())
