@@ -82,8 +82,9 @@ def problems(ext: Column) -> Column:
 
 
 def validate(df: DataFrame, ext: str = "extraction") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) documents; rejected ones carry ``problems``."""
-    checked = df.withColumn("problems", problems(F.col(ext)))
+    """(accepted, rejected) documents; rejected ones carry ``problems``. The checks come out of a generator, as filters on a
+    plain column would run them once more."""
+    checked = df.drop("problems").select("*", F.explode(F.array(problems(F.col(ext)))).alias("problems"))
     return checked.where(F.size("problems") == 0).drop("problems"), checked.where(F.size("problems") > 0)
 
 

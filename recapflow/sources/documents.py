@@ -19,10 +19,12 @@ def unfence(c: Column) -> Column:
 
 def parse_extraction(df: DataFrame, raw: str = "raw", out: str = "extraction") -> DataFrame:
     """Model text to the extraction struct; NULL when it is not valid JSON of that shape. The struct ends with
-    an extra ``broken`` field, which holds unreadable text while parsing and is NULL in every kept document."""
+    an extra ``broken`` field, which holds unreadable text while parsing and is NULL in every kept document. It comes out of a
+    generator: the planner copies a plain expression into every filter and check that reads it, and each copy parses again."""
     schema = EXTRACTION[:-1] + ", broken: STRING>"
     doc = F.from_json(unfence(F.col(raw)), schema, {"columnNameOfCorruptRecord": "broken"})
-    return df.withColumn(out, F.filter(F.array(doc), lambda d: d["broken"].isNull())).withColumn(out, F.try_element_at(out, F.lit(1)))
+    kept = df.drop(out) if out in df.columns else df
+    return kept.select("*", F.explode_outer(F.filter(F.array(doc), lambda d: d["broken"].isNull())).alias(out))
 
 
 def parse_beats(df: DataFrame, raw: str = "raw", out: str = "proposal") -> DataFrame:
