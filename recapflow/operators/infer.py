@@ -110,22 +110,22 @@ def classify(df: DataFrame, factory: Callable[[], Classifier], state: str = "sta
 def extract_with_repair(df: DataFrame, factory: Callable[[], Model] = StubModel, system: str = "", p: Params = DEFAULTS) -> DataFrame:
     """Extraction documents for ``prompt``: a valid but empty answer is asked for once more, a failed or
     invalid one is asked for once more as plain JSON. Adds ``extraction``, ``status`` (done / failed).
-    Every pass only calls the model for the rows still open and is settled before it is split."""
+    Every pass only calls the model for the rows still open and is settled, parsed and judged, before it is split."""
     base = df.columns
 
     def ask(rows: DataFrame, suffix: str) -> DataFrame:
         asked = run(rows.withColumn("__p", F.concat("prompt", F.lit(suffix))), factory, "__p", "json", system, p=p)
-        return parse_extraction(settled(asked)).drop("__p").withColumn("__ok", F.size(problems(F.col("extraction"))) == 0)
+        ext = F.col("extraction")
+        return settled(parse_extraction(asked).drop("__p").withColumns({"__ok": F.size(problems(ext)) == 0, "__empty": is_empty(ext)}))
 
     first = ask(df, "")
-    empty = is_empty(F.col("extraction"))
-    done = first.where(F.col("__ok") & ~empty)
-    nudged = ask(first.where(F.col("__ok") & empty).select(*base), NUDGE)
+    done = first.where(F.col("__ok") & ~F.col("__empty"))
+    nudged = ask(first.where(F.col("__ok") & F.col("__empty")).select(*base), NUDGE)
     bad = first.where(~F.col("__ok")).select(*base).unionByName(nudged.where(~F.col("__ok")).select(*base))
     repaired = ask(bad, REPAIR)
     rest = repaired.withColumn("extraction", F.when(F.col("__ok"), F.col("extraction")))
     every = done.unionByName(nudged.where("__ok")).unionByName(rest)
-    return every.withColumn("status", F.when(F.col("__ok"), "done").otherwise("failed")).drop("__ok")
+    return every.withColumn("status", F.when(F.col("__ok"), "done").otherwise("failed")).drop("__ok", "__empty")
 
 
 def stub_words(segments: DataFrame) -> DataFrame:

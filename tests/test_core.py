@@ -963,3 +963,20 @@ def test_look_back_for_the_sessions_asked(spark):
     for step in (context.previous, context.dormancy_cutoff):
         every = [tuple(r) for r in step(s).collect() if r.session_id in (10, 19)]
         assert every and sorted(map(repr, every)) == sorted(repr(tuple(r)) for r in step(s, asked=asked).collect())
+
+
+def test_documents_are_parsed_once(spark, monkeypatch):
+    """Neither checks nor filters repeat the parsing or each other, and every answer of a model is settled parsed."""
+    df = spark.createDataFrame([(1, '{"window_summary": "a"}'), (2, "broken"), (3, None), (4, '{"events": [{"type": "plot"}]}')], "id long, raw string")
+    parsed = documents.parse_extraction(df)
+    good, bad = guards.validate(parsed)
+    for side in (good, bad):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("array_compact(") + plan.count("filter(array(CASE WHEN") <= 1
+    assert [one(good, "id"), sorted(one(bad, "id"))] == [[1], [2, 3, 4]] and parsed.columns == ["id", "raw", "extraction"]
+    again = documents.parse_extraction(parsed)
+    assert again.columns == parsed.columns and one(again, "id") == [1, 2, 3, 4]
+    seen, settle = [], infer.settled
+    monkeypatch.setattr(infer, "settled", lambda d: seen.append(d.columns) or settle(d))
+    got = infer.extract_with_repair(spark.createDataFrame([(1, "p")], "id long, prompt string"))
+    assert one(got, "status") == ["done"] and len(seen) == 3 and all("extraction" in c for c in seen)
