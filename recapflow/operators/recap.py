@@ -168,7 +168,7 @@ def recap(sessions: DataFrame, windows: DataFrame, events: DataFrame, threads: D
     """(answers, new summary rows): cached text where nothing material changed, new text elsewhere. Only
     sessions in the build branch reach the model."""
     paused = budget.status(sessions, windows, summaries, TM.month(now), p)
-    state = split_cached(keys(sessions, events, threads), summaries, "recap", paused)
+    state = settled(split_cached(keys(sessions, events, threads), summaries, "recap", paused))
     build = state.where("branch = 'build'").select("session_id", F.col("key").alias("cache_key"))
     mine = sessions.join(build.select(F.col("session_id").alias("id")), "id", "left_semi")
     asked = infer.run(prompts(mine, events, threads, summaries, feedback, names), model, system=system, max_tokens=RECAP_TOKENS, p=p)
@@ -185,7 +185,7 @@ def full(sessions: DataFrame, windows: DataFrame, events: DataFrame, beats: Data
     cached under the same key as its full text; a failed preview never hides the full text."""
     paused = budget.status(sessions, windows, summaries, TM.month(now), p)
     known = full_keys(sessions, events).where("event_count > 0").select("session_id", F.col("full_key").alias("key"))
-    state = split_cached(known, summaries, "full", paused)
+    state = settled(split_cached(known, summaries, "full", paused))
     build = state.where("branch = 'build'").select("session_id", F.col("key").alias("cache_key"))
     mine = sessions.join(build.select(F.col("session_id").alias("id")), "id", "left_semi")
     asked = infer.run(full_prompts(mine, events, beats, summaries, names), model, system=system, max_tokens=FULL_TOKENS, p=p)

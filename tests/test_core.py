@@ -980,3 +980,16 @@ def test_documents_are_parsed_once(spark, monkeypatch):
     monkeypatch.setattr(infer, "settled", lambda d: seen.append(d.columns) or settle(d))
     got = infer.extract_with_repair(spark.createDataFrame([(1, "p")], "id long, prompt string"))
     assert one(got, "status") == ["done"] and len(seen) == 3 and all("extraction" in c for c in seen)
+
+
+def test_recap_state_is_settled_before_it_is_split(spark):
+    """The branches, of which three tables are made, are worked out once."""
+    s = make(spark, "sessions", [(1, 1), (2, 1)], ["id", "channel_id"])
+    e = make(spark, "events", [(1, 1, 20.0, "plot", "an event", 3), (2, 2, 20.0, "plot", "an event", 3)], ["id", "session_id", "t_start", "type", "description", "importance"])
+    sums = make(spark, "summaries", [(5, 1, "recap", "before", "1:")], ["id", "session_id", "kind", "text", "cache_key"])
+    empty = lambda name, *fields: make(spark, name, [], list(fields))
+    names = spark.createDataFrame([], "channel_id long, speaker string, name string")
+    answers, _ = recap.recap(
+        s, empty("windows", "id", "session_id", "cost_usd", "created_at"), e, empty("threads", "id", "channel_id", "title", "status"), sums,
+        empty("summary_feedback", "id", "session_id", "kind", "vote"), names, stamp("2026-01-01 00:00:00"))
+    assert _joins(answers) == set() and sorted((r.session_id, r.branch) for r in answers.collect()) == [(1, "cached"), (2, "fresh")]
