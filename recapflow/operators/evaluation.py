@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from recapflow.functions import text as X
 from recapflow.functions.folds import fold_sorted
 from recapflow.functions.fuzzy import aligned_count, word_edit_distance
+from recapflow.functions.groups import connected
 from recapflow.functions.similar import similar_keys, similar_within, token_key
 from recapflow.functions.stages import written
 
@@ -64,61 +66,108 @@ def assign(pairs: DataFrame) -> DataFrame:
 
 def matches(pred: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
     """(session_id, matched) for lists ``pred``/``gold`` (session_id, no, text). Only pairs that reach the threshold can be
-    matched, and these are held per name, not per gold item: items of the same words have the same choices.
+    matched, and these are held per name, not per item: items of the same words have the same choices, and an item listed
+    under several names chooses, or is chosen, by all of them.
 
-    Each round every name deals its choices to its items in order, leaving out what an earlier item of another name asked for
-    in a round before. An item is never dealt less than it gets in the end, so when no two items ask for the same, all are right."""
+    Names that reach each other over such pairs form a group, and no item matters to another group. So each group is done in one
+    pass: its gold items stream in order past its predictions, which are kept as numbers (see ``_Take``)."""
     key = token_key(X.fold_case(F.col("text")))
-    p, g = (df.where("no IS NOT NULL").withColumn("key", key) for df in (pred, gold))
+    told = [
+        df.where("session_id IS NOT NULL AND no IS NOT NULL").select("session_id", F.lit(side).alias("side"), F.col("no").cast("bigint").alias("no"), key.alias("key"))
+        for side, df in enumerate((pred, gold))
+    ]
+    listed = told[0].unionByName(told[1]).groupBy("session_id", "side", "no").agg(F.array_join(F.array_sort(F.collect_set("key")), "\n").alias("names"))
+    items = written(listed.where("names <> ''"))
+    spans = items.groupBy("session_id", "side", "names").agg(F.min("no").alias("first"), F.max("no").alias("last"))
+    names = written(spans.withColumn("id", F.monotonically_increasing_id()))
+    worded = names.select("session_id", "side", "id", F.explode(F.split("names", "\n")).alias("key"))
+    p, g = (worded.where(F.col("side") == side).drop("side") for side in (0, 1))
     close = similar_keys(g.select("session_id", "key"), p.select("session_id", "key"), ["session_id"], threshold)
-    # An item listed under several names chooses among those close to any of them.
-    golds = written(g.groupBy("session_id", "no").agg(F.array_sort(F.collect_set("key")).alias("names")))
-    held = golds.select("session_id", "names").distinct().select("session_id", "names", F.explode("names").alias("key_a"))
-    choices = held.join(close, ["session_id", "key_a"]).groupBy("session_id", "names", "key_b").agg(F.max("score").alias("score"))
-    listed = written(
-        choices.join(p.select("session_id", F.col("key").alias("key_b"), "no"), ["session_id", "key_b"])
-        .groupBy("session_id", "names", "no").agg((-F.max("score")).alias("cost"))
-    )
-    free = F.lit(2**63 - 1)
-    name = F.array_join("names", "\n").alias("name")
-    items = golds.select("session_id", name, F.lit(0).alias("kind"), F.lit(0.0).alias("cost"), "no", free.alias("holder"))
-    kind = golds.schema["session_id"].dataType.simpleString()
-    holders, closed, every_listed, every_item = None, [], listed, items
-    while True:
-        known = listed.withColumn("holder", free) if holders is None else listed.join(holders, ["session_id", "no"], "left").withColumn("holder", F.coalesce("holder", free))
-        offers = known.select("session_id", name, F.lit(1).alias("kind"), "cost", "no", "holder")
-        asked = fold_sorted(items.unionByName(offers), ["session_id", "name"], ["kind", "cost", "no"], _Deal, f"session_id {kind}, no BIGINT, holder BIGINT")
-        asked = asked.withColumn("n", F.lit(1))
-        every = asked if holders is None else asked.unionByName(holders.withColumn("n", F.lit(0)))
-        holders = written(every.groupBy("session_id", "no").agg(F.min("holder").alias("holder"), F.sum("n").alias("n")))
-        state = written(holders.groupBy("session_id").agg(F.sum("n").alias("matched"), F.max("n").alias("most")))
-        # Sessions without a clash are done; the others go on alone.
-        closed.append(state.where("most <= 1 AND matched > 0").select("session_id", "matched"))
-        going = state.where("most > 1").select("session_id")
-        if going.isEmpty():
-            return reduce(DataFrame.unionByName, closed)
-        holders, listed, items = (df.join(going, "session_id", "left_semi") for df in (holders.drop("n"), every_listed, every_item))
-
-
-class _Deal:
-    """Deals the choices of one name, in order, to its gold items, in order: (session, prediction, gold item). Items come first
-    and are kept as numbers; a choice held by an item before the next one is past for all that follow."""
+    a, b = (df.withColumnsRenamed({"id": end, "key": f"key_{end}"}) for df, end in ((g, "a"), (p, "b")))
+    pairs = written(close.join(a, ["session_id", "key_a"]).join(b, ["session_id", "key_b"]).groupBy("a", "b").agg((-F.max("score")).alias("cost")))
+    # Groups meet by hashes, which tell ids apart, and go by the id of one of their names: the fold compares keys as doubles, and
+    # ids, unlike hashes, are exact there.
+    roots = connected(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    group = names.select(F.xxhash64("id").alias("root"), F.col("id").alias("group"))
+    placed = written(names.withColumn("node", F.xxhash64("id")).join(roots, "node").join(group, "root").drop("node", "root"))
+
+    # Predictions by name and number; then each gold item by number, the first of a name after the choices of the name.
+    own, past = F.col("side") == 0, F.when(F.col("no") == F.col("last"), 2).otherwise(1)
+    rows = items.join(placed, ["session_id", "side", "names"]).select(
+        "group", "side", F.when(own, F.col("id")).otherwise(F.col("no")).alias("at"), F.when(own, F.col("no")).otherwise(past).alias("step"), F.lit(0.0).alias("cost"), "id")
+    choices = pairs.join(placed.select(F.col("id").alias("a"), "group", "first"), "a").select(
+        "group", F.lit(1).alias("side"), F.col("first").alias("at"), F.lit(0).cast("bigint").alias("step"), "cost", F.col("b").alias("id"))
+    taken = fold_sorted(rows.unionByName(choices), ["group"], ["side", "at", "step", "cost"], _Take, "group BIGINT, matched BIGINT")
+    return written(taken.join(placed.select("group", "session_id").distinct(), "group").groupBy("session_id").agg(F.sum("matched").alias("matched")))
+
+
+class _Take:
+    """Gold items, in order, each take their best free prediction: by cost, then by number. Predictions of one name are taken
+    in order, so of each name only the place of its next one moves. Choices of a gold name are kept from its first item to its
+    last one, or until nothing of them is left."""
 
     def __init__(self) -> None:
-        self.items, self.at = array("q"), 0
+        self.numbers, self.ids, self.heads, self.ends = (array("q") for _ in range(4))
+        self.costs, self.choices = array("d"), array("q")
+        self.open: dict[int, _Wish] = {}
+        self.group, self.matched = None, 0
 
     def feed(self, rows: dict[str, list]) -> list[tuple]:
-        out = []
-        for session, kind, no, holder in zip(rows["session_id"], rows["kind"], rows["no"], rows["holder"]):
-            if kind == 0:
-                self.items.append(no)
-            elif self.at < len(self.items) and self.items[self.at] <= holder:
-                out.append((session, no, self.items[self.at]))
-                self.at += 1
-        return out
+        self.group = rows["group"][0]
+        for side, at, step, cost, own in zip(rows["side"], rows["at"], rows["step"], rows["cost"], rows["id"]):
+            if side == 0:
+                if not self.ids or self.ids[-1] != own:
+                    self.ids.append(own)
+                    self.heads.append(len(self.numbers))
+                    self.ends.append(len(self.numbers))
+                self.numbers.append(step)
+                self.ends[-1] += 1
+            elif step == 0:
+                k = bisect_left(self.ids, own)
+                if self.heads[k] < self.ends[k]:
+                    self.costs.append(cost)
+                    self.choices.append(k)
+            else:
+                if self.choices:
+                    self.open[own] = _Wish(self.costs, self.choices)
+                    self.costs, self.choices = array("d"), array("q")
+                if (wish := self.open.get(own)) is not None:
+                    found = self._take(wish)
+                    self.matched += found
+                    if not found or step == 2:
+                        del self.open[own]
+        return []
+
+    def _take(self, wish: _Wish) -> bool:
+        numbers, heads, ends = self.numbers, self.heads, self.ends
+        while True:
+            tied = wish.tied
+            while tied:
+                number, k = tied[0]
+                if heads[k] == ends[k]:
+                    heapq.heappop(tied)
+                elif numbers[heads[k]] != number:
+                    heapq.heapreplace(tied, (numbers[heads[k]], k))
+                else:
+                    heads[k] += 1
+                    return True
+            if wish.at == len(wish.choices):
+                return False
+            equal = bisect_right(wish.costs, wish.costs[wish.at], wish.at)
+            wish.tied = [(numbers[heads[k]], k) for k in wish.choices[wish.at:equal] if heads[k] < ends[k]]
+            heapq.heapify(wish.tied)
+            wish.at = equal
 
     def finish(self) -> list[tuple]:
-        return []
+        return [(self.group, self.matched)]
+
+
+class _Wish:
+    """Choices of a gold name by cost; of those tied at the lowest cost with something left, the next numbers as a heap."""
+
+    def __init__(self, costs: array, choices: array) -> None:
+        self.costs, self.choices, self.at = costs, choices, 0
+        self.tied: list[tuple[int, int]] = []
 
 
 def prf(pred: DataFrame, gold: DataFrame, threshold: float = 85.0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small seeded cases with known answers."""
 
 import collections
+import functools
 import itertools
 import json
 import random
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recapflow.functions import fuzzy, similar, text as X, times as TM
+from recapflow.functions import folds, fuzzy, similar, text as X, times as TM
 from recapflow.functions.stages import written
 from recapflow.functions.ordered import id_block, last_before, previous, running_sum, top_n
 from recapflow.operators import audio as cuts
@@ -901,6 +902,29 @@ def test_matches_follow_the_loop(spark, monkeypatch):
     assert evaluation.matches(many(600, 1), many(500, 3), 85.0).first().matched == 500 and max(sizes) <= 2000
 
 
+def test_matches_take_one_pass(spark, monkeypatch):
+    """Displacement across many names, ties, blank and missing values: as the loop, and without rounds over the items."""
+    r = random.Random(8)
+    words = [f"{a} {b}" for a in ("Kael", "Kaela", "Mira", "Mirat") for b in ("Vane", "Vance", "Vale", "Sol")]
+    gold = [(s, k, r.choice(words)) for s in range(2) for k in range(200)] + [(None, 1, "Kael Vane"), (0, None, "Kael Vane"), (0, 900, "  "), (0, 901, None)]
+    pred = [(s, k, r.choice(words)) for s in range(2) for k in range(150)] + [(None, 1, "Kael Vane"), (0, None, "Kael Vane"), (0, 900, ""), (0, 901, None), (0, 7, "Mirat Sol")]
+    score = functools.cache(lambda a, b: fuzzy.token_set_ratio(*(" ".join(sorted(x.lower().split())) for x in (a, b))))
+    want = {}
+    for s in range(2):
+        taken = set()
+        for k in range(200):
+            names = [x for t, g, x in gold if (t, g) == (s, k)]
+            fits = sorted((-score(x, y), n) for x in names for t, n, y in pred if t == s and n is not None and y and n not in taken and score(x, y) >= 72.0)
+            if fits:
+                taken.add(fits[0][1])
+        want[s] = len(taken)
+    passes = []
+    monkeypatch.setattr(evaluation, "fold_sorted", lambda *a: passes.append(a) or folds.fold_sorted(*a))
+    table = lambda rows: spark.createDataFrame(rows, "session_id long, no long, text string").repartition(3)
+    assert {x.session_id: x.matched for x in evaluation.matches(table(pred), table(gold), 72.0).collect()} == want
+    assert len(passes) == 1
+
+
 def test_windows_that_share_few_bigrams_are_passed_over():
     """The best window is that of all windows, and texts of other words are settled without trying any."""
     r = random.Random(2)
