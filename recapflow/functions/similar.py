@@ -100,7 +100,9 @@ def _all_pairs(keys: DataFrame, groups: list[str], per_piece: int = 512) -> Data
 def _scored(keys: DataFrame, groups: list[str], threshold: float) -> DataFrame:
     """(groups, x, y, score) for all x < y that reach the threshold."""
     pairs = candidates(keys, groups, threshold)
-    return pairs.withColumn("score", token_set_score("x", "y")).where(F.col("score") >= threshold)
+    # The planner moves a filter on a plain function below ``distinct`` and the bigram test, to every hit of every item.
+    score = token_set_score.asNondeterministic()
+    return pairs.withColumn("score", score("x", "y")).where(F.col("score") >= threshold)
 
 
 def similar_keys(left: DataFrame, right: DataFrame, groups: Sequence[str], threshold: float) -> DataFrame:

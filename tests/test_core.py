@@ -179,6 +179,14 @@ def test_similar_pairs_are_complete(spark):
         assert {(r.key_a, r.key_b) for r in similar.similar_within(df, ["g"], threshold).collect()} == want
 
 
+def test_only_distinct_candidates_are_scored(spark):
+    df = spark.createDataFrame([(0, "kael vane"), (0, "kael vance"), (0, "mira sol")], "g int, key string")
+    close = similar.similar_within(df, ["g"], 72.0)
+    assert one(close, "key_a") == ["kael vance"]
+    plan = close._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Aggregate") < plan.index("Union")
+
+
 def test_packing_cuts_before_the_shuffle(spark):
     parts = spark.range(40).select((F.col("id") % 2).alias("k"), F.lit(0).alias("block"), F.col("id").alias("seq"), F.lit("abcd" * 3).alias("text"))
     out = context.pack(parts, ["k"], 10)
